@@ -70,15 +70,18 @@ def _count(left: pa.Array, right: pa.Array, orders: int, split) -> pa.Array:
         before = sizes[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(sizes, before + _UNITS_PER_SLICE, side="right")))
         both = pa.concat_arrays([left[start:stop], right[start:stop]])
-        rows.append(matches_per_order(*split(both), orders))
+        units, lengths = split(both)
+        matches = matches_per_order(units, lengths, orders)
+        rows.append(np.column_stack([matches, lengths[: stop - start], lengths[stop - start :]]))
         start = stop
+    width = orders + 2
     flat = np.concatenate(rows).reshape(-1) if rows else np.zeros(0, dtype=np.int64)
-    offsets = np.arange(0, len(left) * orders + 1, orders, dtype=np.int32)
+    offsets = np.arange(0, len(left) * width + 1, width, dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def character_matches(left: Column, right: Column, orders: int) -> Column:
-    """``ARRAY<BIGINT>`` with the clipped matches of character n-grams of order 1 to ``orders``."""
+    """``ARRAY<BIGINT>``: clipped matches of character n-grams of order 1 to ``orders``, then both text lengths."""
 
     @F.arrow_udf("array<bigint>")
     def count(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -88,7 +91,7 @@ def character_matches(left: Column, right: Column, orders: int) -> Column:
 
 
 def word_matches(left: Column, right: Column, orders: int) -> Column:
-    """``character_matches`` for texts whose words are separated by single blanks."""
+    """The same for words, in texts whose words are separated by single blanks."""
 
     @F.arrow_udf("array<bigint>")
     def count(a: pa.Array, b: pa.Array) -> pa.Array:

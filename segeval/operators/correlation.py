@@ -181,13 +181,14 @@ def _summed_up(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"metric": frame["metric"].iloc[0], **{k: float(v) for k, v in row.items()}}])
 
 
-def _sums(scores: DataFrame) -> DataFrame:
+def _sums(scores: DataFrame, stored: bool) -> DataFrame:
     """``STATS``, ``SUMS`` and the discordant weight, one row per metric.
 
-    The scores are written once; the number of pairs per metric then decides
-    how each metric is summed up. Both ways give the same sums.
+    The scores are written once, unless they are ``stored`` already; the number
+    of pairs per metric then decides how each metric is summed up. Both ways
+    give the same sums.
     """
-    pairs = materialize(finite_pairs(scores), "scores")
+    pairs = finite_pairs(scores) if stored else materialize(finite_pairs(scores), "scores")
     sizes = {row["metric"]: row["count"] for row in pairs.groupBy("metric").count().collect()}
     small = [m for m, size in sizes.items() if size <= GROUP_LIMIT]
     columns = ["metric", *STATS, *SUMS, "discordant"]
@@ -279,25 +280,26 @@ def _kendall_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def spearman(scores: DataFrame) -> DataFrame:
+def spearman(scores: DataFrame, stored: bool = False) -> DataFrame:
     """``(metric, n, spearman)``: Pearson's coefficient of the average ranks."""
-    return _sums(scores).select("metric", F.col("n").cast("long").alias("n"), _spearman_column().alias("spearman"))
+    return _sums(scores, stored).select("metric", F.col("n").cast("long").alias("n"), _spearman_column().alias("spearman"))
 
 
-def kendall(scores: DataFrame) -> DataFrame:
+def kendall(scores: DataFrame, stored: bool = False) -> DataFrame:
     """``(metric, n, discordant, kendall, kendall_z)``: tau-b and its normal deviate."""
-    return _kendall_columns(_sums(scores)).select(
+    return _kendall_columns(_sums(scores, stored)).select(
         "metric", F.col("n").cast("long").alias("n"), F.col("discordant").cast("long").alias("discordant"), "kendall", "kendall_z"
     )
 
 
-def correlations(scores: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+def correlations(scores: DataFrame, metrics: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """All three coefficients and their p-values, one row per metric.
 
     ``metrics`` (a column ``metric``) lists metrics that must appear even if
-    they have no usable pair; their values are NULL.
+    they have no usable pair; their values are NULL. ``stored`` says that
+    ``scores`` comes from a written table, so that reading it again is cheap.
     """
-    table = _kendall_columns(_sums(scores))
+    table = _kendall_columns(_sums(scores, stored))
     untied = (F.col("x_ties") == 0) & (F.col("y_ties") == 0)
     result = table.select(
         "metric",
