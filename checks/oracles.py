@@ -125,12 +125,18 @@ def split_marks(text: str) -> str:
 
 def gram_counts(source: str, orders: int, glue: str, tag: str) -> str:
     """``(tag, row_id, n, match)`` for two token lists ``h`` and ``f`` of ``source``."""
-    grams = f"list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], '{glue}'))"
+    following = ", ".join(f"lead(tok, {k}) OVER side AS t{k}" for k in range(1, orders))
+    grams = " UNION ALL ".join(
+        f"SELECT row_id, {n} AS n, side, {f" || '{glue}' || ".join(['tok', *[f't{k}' for k in range(1, n)]])} AS gram FROM placed"
+        + (f" WHERE t{n - 1} IS NOT NULL" if n > 1 else "")
+        for n in range(1, orders + 1)
+    )
     return f"""(SELECT '{tag}' AS tag, row_id, n, sum(least(ch, cf))::BIGINT AS match FROM (
-    SELECT row_id, n, gram, count(*) FILTER (WHERE side = 'h') AS ch, count(*) FILTER (WHERE side = 'f') AS cf FROM (
-      SELECT row_id, n, side, unnest({grams}) AS gram FROM (
-        SELECT row_id, 'h' AS side, h AS t FROM {source} UNION ALL SELECT row_id, 'f', f FROM {source}) sides,
-        (SELECT unnest(range(1, {orders + 1})) AS n) orders) GROUP BY ALL) GROUP BY ALL)"""
+    WITH units AS (
+      SELECT row_id, 'h' AS side, unnest(h) AS tok, generate_subscripts(h, 1) AS place FROM {source}
+      UNION ALL SELECT row_id, 'f', unnest(f), generate_subscripts(f, 1) FROM {source}),
+    placed AS (SELECT row_id, side, tok, {following} FROM units WINDOW side AS (PARTITION BY row_id, side ORDER BY place))
+    SELECT row_id, n, gram, count(*) FILTER (WHERE side = 'h') AS ch, count(*) FILTER (WHERE side = 'f') AS cf FROM ({grams}) GROUP BY ALL) GROUP BY ALL)"""
 
 
 BLEU = f"""bt AS (SELECT row_id, {tokens(mteval('targetText'))} AS h, {tokens(mteval('referenceText'))} AS f FROM r),
@@ -173,12 +179,12 @@ wer AS (
 
 
 def longest_common(words: str) -> str:
-    """CTEs giving ``rouge``; the references have fewer than 62 tokens, so one integer holds a row of the table."""
+    """CTEs giving ``rouge``; the references have fewer than 120 tokens, so one integer holds a row of the table."""
     return f"""rt AS (SELECT row_id, {words.format('targetText')} AS h, {words.format('referenceText')} AS f FROM r),
 rm AS (
-  SELECT row_id, len(h) AS hl, len(f) AS fl, (1::BIGINT << len(f)::INT) - 1 AS ones,
+  SELECT row_id, len(h) AS hl, len(f) AS fl, (1::HUGEINT << len(f)::HUGEINT) - 1 AS ones,
     list_transform(list_filter(h, lambda w: list_contains(f, w)), lambda w:
-      list_sum(list_transform(range(0, len(f)), lambda j: CASE WHEN f[j + 1] = w THEN 1::BIGINT << j::INT ELSE 0 END))::BIGINT) AS masks
+      list_sum(list_transform(range(0, len(f)), lambda j: CASE WHEN f[j + 1] = w THEN 1::HUGEINT << j::HUGEINT ELSE 0::HUGEINT END))::HUGEINT) AS masks
   FROM rt),
 rl AS (
   SELECT row_id, hl, fl, fl - bit_count(list_reduce(list_prepend(ones, masks), lambda v, m: ((v + (v & m)) | (v & ~m)) & ones)) AS lcs FROM rm),
