@@ -204,7 +204,7 @@ def extracted(text: str) -> str:
     found = ", ".join(
         f"nullif(regexp_extract({text}, '{p}', 1), '')" for p in (f"(?:^|{edge}){number}(?:$|{edge})", rf"Score:\s*{number}", number)
     )
-    return f"coalesce(least(coalesce({found})::DOUBLE, 100.0), 0.0)"
+    return f"least(coalesce(coalesce({found})::DOUBLE, 0.0), 100.0)"
 
 
 EVENT_RESULTS = """res AS (

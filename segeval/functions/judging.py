@@ -27,7 +27,7 @@ def extract_score(answer: Column) -> Column:
     """Score between 0 and 100 in a free-text answer; more than 100 counts as 100, none as 0."""
     plain = F.translate(answer, *_other_digits())
     found = [F.nullif(F.regexp_extract(plain, "(?U)" + p, 1), F.lit("")) for p in SCORE_PATTERNS]
-    return F.coalesce(F.least(F.coalesce(*found).try_cast("double"), F.lit(100.0)), F.lit(0.0))
+    return F.least(F.coalesce(F.coalesce(*found).try_cast("double"), F.lit(0.0)), F.lit(100.0))
 
 
 def render_prompt(template: str, **values: Column) -> Column:

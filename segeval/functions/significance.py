@@ -54,7 +54,7 @@ def two_sided_t(r: float, n: float) -> float:
     log_front = a * math.log1p(-r * r) + b * math.log(r * r) - _log_beta_half(a)
     if x < (a + 1) / (a + b + 2):
         return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1 - math.exp(log_front) * _beta_fraction(b, a, 1 - x) / b
+    return 1 - math.exp(log_front) * _beta_fraction(b, a, r * r) / b
 
 
 def exact_kendall(n: int, discordant: int) -> float:

@@ -94,7 +94,11 @@ def word_edit_rate(hypothesis: Column, reference: Column) -> Column:
 
 def word_edit_score(hypothesis: Column, reference: Column) -> Column:
     """``word_edit_rate`` turned around and cut at 0: higher is better, 0 to 1."""
-    return F.greatest(F.lit(0.0), 1 - word_edit_rate(hypothesis, reference) / 100)
+    # `greatest` skips NULL, so a missing rate is kept apart.
+    return let(
+        word_edit_rate(hypothesis, reference),
+        lambda rate: F.when(rate.isNotNull(), F.greatest(F.lit(0.0), 1 - rate / 100)),
+    )
 
 
 def rouge_l(hypothesis: Column, reference: Column, stem: bool = True, unicode_tokens: bool = False) -> Column:

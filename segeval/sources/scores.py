@@ -10,6 +10,8 @@ from pyspark.sql.utils import AnalysisException
 
 from segeval.functions.expr import nan_to_null
 
+# Longest list that goes into one JSON record.
+LIST_LIMIT = 5_000_000
 SCORE_FILE_SCHEMA = "metric_name string, scores array<double>, num_samples bigint"
 
 
@@ -24,7 +26,14 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_score_files(scores: DataFrame, path: str, key: str = "row_id") -> None:
-    """One JSON record per metric with its scores in key order. The list of a metric must fit in memory."""
+    """One JSON record per metric with its scores in key order.
+
+    The format holds a metric in a single list, so longer ones are refused;
+    ``write_scores`` has no limit.
+    """
+    longest = scores.groupBy("metric").count().agg(F.max("count")).first()[0] or 0
+    if longest > LIST_LIMIT:
+        raise ValueError(f"a metric has {longest} scores, more than {LIST_LIMIT}; use write_scores")
     listed = scores.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct(key, "score"))).alias("s"))
     listed.select(
         F.col("metric").alias("metric_name"),

@@ -1,0 +1,223 @@
+"""Tokenisers and text-similarity metrics against plain Python on small inputs."""
+
+import math
+import random
+import string
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from segeval.functions import text
+from segeval.functions.ngrams import character_matches, word_matches
+from segeval.functions.sequence import lcs_length, word_edits
+from segeval.functions.stem import porter_stem
+from segeval.operators import lexical
+
+PLAIN = ("the cat sat on the mat", "the cat is on a mat now")
+
+
+def grams(units, n):
+    return Counter(tuple(units[i : i + n]) for i in range(len(units) - n + 1))
+
+
+def overlap(a, b, n):
+    return sum((grams(a, n) & grams(b, n)).values())
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def expected_bleu(h, r):
+    if not overlap(h, r, 1):
+        return 0.0
+    logs, halvings = [], 1
+    for n in range(1, 5):
+        total = len(h) - n + 1
+        if total <= 0:
+            break
+        match = overlap(h, r, n)
+        if not match:
+            halvings *= 2
+        logs.append(math.log(100 * match / total if match else 100 / (halvings * total)))
+    penalty = math.exp(1 - len(r) / len(h)) if len(h) < len(r) else 1.0
+    return penalty * math.exp(sum(logs) / len(logs))
+
+
+def chrf_words(sentence):
+    out = []
+    for w in sentence.split():
+        if len(w) > 1 and w[-1] in string.punctuation:
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and w[0] in string.punctuation:
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
+    return out
+
+
+def expected_chrf(hyp, ref):
+    pairs = []
+    for a, b, orders in (("".join(hyp.split()), "".join(ref.split()), 6), (chrf_words(hyp), chrf_words(ref), 2)):
+        for n in range(1, orders + 1):
+            ha, rb = len(a) - n + 1, len(b) - n + 1
+            if ha > 0 and rb > 0:
+                m = overlap(a, b, n)
+                pairs.append((m / ha, m / rb))
+    if not pairs:
+        return 0.0
+    p, r = (sum(x) / len(pairs) for x in zip(*pairs))
+    return 100 * 5 * p * r / (4 * p + r) if p + r else 0.0
+
+
+def sample_pairs(seed=5, size=120):
+    rng = random.Random(seed)
+    words = ["ab", "a", "b,", "(c", "é", "𝟗x", "end.", "x-y", "1,5", "'q'", "ქარ", "…"]
+    pairs = [PLAIN, ("", "a b"), ("a b", ""), ("", ""), ("same text here now.", "same text here now.")]
+    for _ in range(size):
+        pairs.append(tuple(" ".join(rng.choices(words, k=rng.randrange(0, 15))) for _ in range(2)))
+    return pairs
+
+
+def test_tokenisers(spark):
+    raw = "\"Hello,\" (she said) it's 1,000.5 -- a-b 5-6 x... &amp; <skipped> end.  \n foo-\nbar ! 'q' ''"
+    df = spark.createDataFrame([(raw,)], "t string")
+    row = df.select(
+        text.bleu_text(F.col("t")).alias("bleu"),
+        text.chrf_text(F.col("t")).alias("chrf"),
+        text.chrf_characters(F.col("t")).alias("chars"),
+        text.rouge_words(F.col("t")).alias("rouge"),
+    ).first()
+    assert row.bleu == "\" Hello , \" ( she said ) it's 1,000.5 -- a-b 5 - 6 x . . . & end . foobar ! 'q' ''"
+    assert row.chrf.split(" ") == chrf_words(raw)
+    assert row.chars == "".join(raw.split())
+    assert row.rouge[:4] == ["hello", "she", "said", "it"]
+
+
+def test_rouge_tokens_of_other_scripts(spark):
+    df = spark.createDataFrame([("ქართული Text 12",)], "t string")
+    row = df.select(text.rouge_words(F.col("t")).alias("a"), text.rouge_words(F.col("t"), True).alias("u")).first()
+    assert row.a == ["text", "12"]
+    assert row.u == ["ქართული", "text", "12"]
+
+
+def test_matches_equal_multiset_intersection(spark):
+    pairs = sample_pairs()
+    df = spark.createDataFrame(pairs, "h string, r string")
+    rows = df.select(
+        "h", "r", character_matches(F.col("h"), F.col("r"), 6).alias("c"), word_matches(F.col("h"), F.col("r"), 4).alias("w")
+    ).collect()
+    for row in rows:
+        assert row.c == [overlap(row.h, row.r, n) for n in range(1, 7)] + [len(row.h), len(row.r)]
+        h, r = row.h.split(), row.r.split()
+        assert row.w == [overlap(h, r, n) for n in range(1, 5)] + [len(h), len(r)]
+
+
+def test_matches_do_not_depend_on_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from segeval.functions import ngrams
+
+    left, right = (pa.array(list(side)) for side in zip(*sample_pairs()))
+    whole = ngrams._count(left, right, 6, ngrams._characters)
+    monkeypatch.setattr(ngrams, "_UNITS_PER_SLICE", 50)
+    assert ngrams._count(left, right, 6, ngrams._characters).equals(whole)
+
+
+def test_hand_worked_counts(spark):
+    df = spark.createDataFrame([PLAIN], "h string, r string")
+    row = df.select(word_matches(F.col("h"), F.col("r"), 4).alias("w")).first()
+    assert row.w == [4, 1, 0, 0, 6, 7]
+
+
+def test_bleu_and_chrf(spark):
+    df = spark.createDataFrame(sample_pairs(), "h string, r string")
+    rows = df.select(
+        "h",
+        "r",
+        text.bleu_text(F.col("h")).alias("ht"),
+        text.bleu_text(F.col("r")).alias("rt"),
+        lexical.bleu(F.col("h"), F.col("r")).alias("bleu"),
+        lexical.chrf_plus_plus(F.col("h"), F.col("r")).alias("chrf"),
+    ).collect()
+    for row in rows:
+        assert row.bleu == pytest.approx(expected_bleu(row.ht.split(), row.rt.split()), abs=1e-9)
+        assert row.chrf == pytest.approx(expected_chrf(row.h, row.r), abs=1e-9)
+
+
+def test_edits_and_common_subsequence(spark):
+    rng = random.Random(9)
+    pairs = [tuple(s.split() for s in PLAIN), ([], ["a", "b"]), (["x", "y"], ["x", "y"]), ([], [])]
+    for size in (1, 5, 61, 62, 63, 124, 125, 190):
+        for vocabulary in (2, 6, 60):
+            pairs.append(tuple([str(rng.randrange(vocabulary)) for _ in range(n)] for n in (size, rng.randrange(200))))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    rows = df.select("a", "b", word_edits(F.col("a"), F.col("b")).alias("e"), lcs_length(F.col("a"), F.col("b")).alias("l")).collect()
+    for row in rows:
+        assert row.e == edit_distance(row.a, row.b)
+        assert row.l == common_length(row.a, row.b)
+
+
+def test_edit_rate_and_rouge_hand_worked(spark):
+    df = spark.createDataFrame([PLAIN, ("a", ""), ("", ""), ("", "a b"), ("x y", "X y")], "h string, r string")
+    rows = df.select(
+        lexical.word_edit_rate(F.col("h"), F.col("r")).alias("rate"),
+        lexical.word_edit_score(F.col("h"), F.col("r")).alias("score"),
+        lexical.rouge_l(F.col("h"), F.col("r"), stem=False).alias("rouge"),
+    ).collect()
+    assert [r.rate for r in rows] == pytest.approx([300 / 7, 100, 0, 100, 0])
+    assert [r.score for r in rows] == pytest.approx([4 / 7, 0, 1, 0, 1])
+    assert [r.rouge for r in rows] == pytest.approx([8 / 13, 0, 0, 0, 1])
+
+
+def test_missing_text_has_no_score(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None)], "h string, r string")
+    for metric in (lexical.bleu, lexical.chrf_plus_plus, lexical.word_edit_score, lexical.rouge_l):
+        assert [r[0] for r in df.select(metric(F.col("h"), F.col("r"))).collect()] == [None, None]
+
+
+def test_equal_texts_score_best(spark):
+    df = spark.createDataFrame([("Some text, 12 words!",), ("ერთი two",)], "t string")
+    t = F.col("t")
+    for row in df.select(lexical.bleu(t, t), lexical.chrf_plus_plus(t, t), lexical.word_edit_score(t, t), lexical.rouge_l(t, t)).collect():
+        assert list(row) == pytest.approx([100, 100, 1, 1])
+
+
+# Worked examples of the published algorithm, and of its later departures.
+STEMS = """caresses:caress ponies:poni ties:tie caress:caress cats:cat feed:feed agreed:agre plastered:plaster
+bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan
+falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi relational:relat
+conditional:condit rational:ration valenci:valenc digitizer:digit conformabli:conform radicalli:radic
+differentli:differ vileli:vile analogousli:analog vietnamization:vietnam predication:predic operator:oper
+feudalism:feudal decisiveness:decis hopefulness:hope callousness:callous formaliti:formal
+sensitiviti:sensit sensibiliti:sensibl triplicate:triplic formative:form formalize:formal
+electriciti:electr electrical:electr hopeful:hope goodness:good revival:reviv allowance:allow
+inference:infer airliner:airlin gyroscopic:gyroscop adjustable:adjust defensible:defens irritant:irrit
+replacement:replac adjustment:adjust dependent:depend adoption:adopt communism:commun activate:activ
+angulariti:angular homologous:homolog effective:effect bowdlerize:bowdler probate:probat rate:rate
+cease:ceas controll:control roll:roll flies:fli dies:die denied:deni dying:die news:news sky:sky
+proceed:proceed generically:gener operationally:oper analogy:analog apologies:apolog spied:spi
+enjoying:enjoy international:intern cat:cat"""
+
+
+def test_stems(spark):
+    words, stems = zip(*(pair.split(":") for pair in STEMS.split()))
+    got = spark.createDataFrame([(list(words),)], "w array<string>").select(porter_stem(F.col("w"))).first()[0]
+    assert dict(zip(words, got)) == dict(zip(words, stems))
