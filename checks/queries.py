@@ -158,15 +158,15 @@ def pearson_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spearman_avg_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(spearman(line_scores(spark, sf)), 9)
+    return rounded(spearman(line_scores(spark, sf), stored=True), 9)
 
 
 def kendall_tau_b(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(kendall(event_scores(spark, sf)), 9)
+    return rounded(kendall(event_scores(spark, sf), stored=True), 9)
 
 
 def corr_pvalues(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(correlations(event_scores(spark, sf)))
+    return rounded(correlations(event_scores(spark, sf), stored=True))
 
 
 def corr_guards(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,7 +188,7 @@ def corr_guards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.with_ordinal(correlations(event_scores(spark, sf)), ["key", "hour"])
+    return ranking.with_ordinal(correlations(event_scores(spark, sf), stored=True), ["key", "hour"])
 
 
 def best_metric(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +208,7 @@ def significance_class(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str, name: str, metric: Callable[[Column, Column], Column]) -> DataFrame:
     score = metric(F.col("targetText"), F.col("referenceText")).alias(name)
-    return rounded(rated_documents(spark, sf).select("row_id", score))
+    return rounded(scoring.spread_rows(rated_documents(spark, sf)).select("row_id", score))
 
 
 def bleu_sentence(spark: SparkSession, sf: str) -> DataFrame:

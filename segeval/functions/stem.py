@@ -90,7 +90,8 @@ def _first(word: Column, rules: list[tuple[str, Column]]) -> Column:
 
 
 def _mark_consonant_y(word: Column) -> Column:
-    return F.replace(F.regexp_replace(word, "(^|[aeiou])y", "$1Y"), F.lit("yy"), F.lit("yY"))
+    marked = F.replace(F.regexp_replace(word, "(^|[aeiou])y", "$1Y"), F.lit("yy"), F.lit("yY"))
+    return F.when(F.contains(word, F.lit("y")), marked).otherwise(word)
 
 
 def _plural(word: Column) -> Column:
@@ -131,12 +132,12 @@ def _past_and_gerund(word: Column) -> Column:
 
 
 def _final_y(word: Column) -> Column:
-    return F.regexp_replace(word, f"^(.+{_C})y$", "$1i")
+    return _first(word, [("y", F.regexp_replace(word, f"^(.+{_C})y$", "$1i"))])
 
 
 def _double_suffix(word: Column) -> Column:
     # "-alli" loses two letters first and is then looked at again as "-al".
-    once = _rewrite(word, _MEASURE_ABOVE_0, "alli", "al")
+    once = _first(word, [("alli", _rewrite(word, _MEASURE_ABOVE_0, "alli", "al"))])
 
     def rules(w: Column) -> Column:
         table = [(s, _rewrite(w, _MEASURE_ABOVE_0, s, new)) for s, new in STEP_2]
@@ -166,7 +167,7 @@ def _final_e(word: Column) -> Column:
 
 
 def _double_l(word: Column) -> Column:
-    return _rewrite(word, _MEASURE_ABOVE_1, "l", "", last="l")
+    return _first(word, [("ll", _rewrite(word, _MEASURE_ABOVE_1, "l", "", last="l"))])
 
 
 def porter_stem(tokens: Column, longer_than: int = 3) -> Column:

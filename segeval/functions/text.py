@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that Unicode-aware whitespace splitting removes.
-SPACE = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# The characters that Unicode-aware whitespace splitting removes, the plain blank aside.
+OTHER_SPACES = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+SPACE = f"[ {OTHER_SPACES}]"
 
 # Rewrite rules of the mteval-v13a tokeniser, applied in this order.
 TOKENS_13A = [
@@ -18,8 +21,9 @@ TOKENS_13A = [
     ("&lt;", "<"),
     ("&gt;", ">"),
 ]
+# The first class also names the blank there, which changes nothing once blanks are squeezed.
 SPLITS_13A = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -31,7 +35,8 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 def squeeze(text: Column) -> Column:
     """Collapse whitespace runs to one blank and trim both ends."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    # Single blanks, by far the most common case, are not matched at all.
+    return F.trim(F.regexp_replace(text, f"[{OTHER_SPACES}]{SPACE}*| {SPACE}+", " "))
 
 
 def words(text: Column) -> Column:
@@ -42,7 +47,7 @@ def words(text: Column) -> Column:
 
 def bleu_text(text: Column) -> Column:
     """Text as 13a tokens joined by single blanks, case kept."""
-    out = F.regexp_replace(text, SPACE + "+$", "")
+    out = F.rtrim(text, F.lit(" " + OTHER_SPACES))
     for old, new in TOKENS_13A:
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.concat(F.lit(" "), out, F.lit(" "))

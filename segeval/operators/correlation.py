@@ -49,7 +49,7 @@ def finite_pairs(scores: DataFrame, metric: str = "metric", score: str = "score"
 
 
 def _unit_range(value: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+    return F.when(value > 1, 1.0).when(value < -1, -1.0).otherwise(value)
 
 
 def _guarded(value: Column) -> Column:
@@ -163,8 +163,8 @@ def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return average[place] - (len(values) + 1) / 2, size.astype(np.float64)
 
 
-def _summed_up(frame: pd.DataFrame) -> pd.DataFrame:
-    """All statistics and sums of one metric, from all its pairs."""
+def _summed_up(frame: pd.DataFrame, discordant: bool = True) -> pd.DataFrame:
+    """All statistics and sums of one metric, from all its pairs; counting discordant ones is optional."""
     x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
     n = len(frame)
     dx, dy = x - x.mean(), y - y.mean()
@@ -177,12 +177,12 @@ def _summed_up(frame: pd.DataFrame) -> pd.DataFrame:
         row[f"{axis}_ties"] = t @ (t - 1) / 2
         row[f"{axis}_var"] = (t * (t - 1)) @ (2 * t + 5)
         row[f"{axis}_cube"] = (t * (t - 1)) @ (t - 2)
-    row["discordant"] = inversion_weight(x, y, np.ones(n), np.zeros(n, dtype=np.int64))
+    row["discordant"] = inversion_weight(x, y, np.ones(n), np.zeros(n, dtype=np.int64)) if discordant else np.nan
     return pd.DataFrame([{"metric": frame["metric"].iloc[0], **{k: float(v) for k, v in row.items()}}])
 
 
-def _sums(scores: DataFrame, stored: bool) -> DataFrame:
-    """``STATS``, ``SUMS`` and the discordant weight, one row per metric.
+def _sums(scores: DataFrame, stored: bool, discordant: bool = True) -> DataFrame:
+    """``STATS``, ``SUMS`` and, if wanted, the discordant weight, one row per metric.
 
     The scores are written once, unless they are ``stored`` already; the number
     of pairs per metric then decides how each metric is summed up. Both ways
@@ -195,10 +195,14 @@ def _sums(scores: DataFrame, stored: bool) -> DataFrame:
     schema = "metric string, " + ", ".join(f"{c} double" for c in columns[1:])
     parts = []
     if small or not sizes:
-        parts.append(pairs.where(F.col("metric").isin(small)).groupBy("metric").applyInPandas(_summed_up, schema))
+        groups = pairs.where(F.col("metric").isin(small)).groupBy("metric")
+        parts.append(groups.applyInPandas(lambda frame: _summed_up(frame, discordant), schema))
     if len(small) < len(sizes):
         binned = _weighted_pairs(pairs.where(~F.col("metric").isin(small)))
-        parts.append(_moments(binned).join(_discordant(binned), "metric"))
+        moments = _moments(binned)
+        parts.append(
+            moments.join(_discordant(binned), "metric") if discordant else moments.withColumn("discordant", F.lit(None).cast("double"))
+        )
     table = parts[0].select(*columns)
     for part in parts[1:]:
         table = table.unionByName(part.select(*columns))
@@ -282,7 +286,8 @@ def _kendall_columns(df: DataFrame) -> DataFrame:
 
 def spearman(scores: DataFrame, stored: bool = False) -> DataFrame:
     """``(metric, n, spearman)``: Pearson's coefficient of the average ranks."""
-    return _sums(scores, stored).select("metric", F.col("n").cast("long").alias("n"), _spearman_column().alias("spearman"))
+    sums = _sums(scores, stored, discordant=False)
+    return sums.select("metric", F.col("n").cast("long").alias("n"), _spearman_column().alias("spearman"))
 
 
 def kendall(scores: DataFrame, stored: bool = False) -> DataFrame:

@@ -51,14 +51,32 @@ register_metric("WER", lambda hyp, ref, src: lexical.word_edit_score(hyp, ref))
 register_metric("ROUGE", lambda hyp, ref, src: lexical.rouge_l(hyp, ref))
 
 
+def spread_rows(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Shuffle rows evenly before per-row work.
+
+    Scoring a text costs far more than moving it, and input files or earlier
+    joins may leave most texts in a few partitions. Rows are spread by their
+    id, never by their text, so copies of one text do not meet.
+    """
+    # An explicit number keeps the partitions from being merged for their small size.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, key) if key in df.columns else df.repartition(partitions)
+
+
 def add_scores(
     df: DataFrame,
     metrics: list[str] | None = None,
     hypothesis: str = "targetText",
     reference: str = "referenceText",
     source: str = "sourceText",
+    spread: bool = True,
 ) -> DataFrame:
-    """Add one ``<metric>_score`` column per metric; all metrics share one pass over the texts."""
+    """Add one ``<metric>_score`` column per metric; all metrics share one pass over the texts.
+
+    Rows are spread first unless ``spread`` is off, for input that is balanced already.
+    """
+    if spread:
+        df = spread_rows(df)
     texts = [F.col(hypothesis), F.col(reference), F.col(source) if source in df.columns else F.lit(None).cast("string")]
     return df.select("*", *[_METRICS[m](*texts).cast("double").alias(score_column(m)) for m in select_metrics(metrics)])
 
