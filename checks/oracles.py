@@ -192,6 +192,56 @@ rouge AS (SELECT row_id, CASE WHEN hl = 0 OR fl = 0 THEN 0.0 ELSE 2.0 * lcs / (h
 
 
 ASCII_WORDS = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def stemmed(words: str) -> str:
+    """Porter stems of a list of words, step by step."""
+    v, c = "[aeiouy]", "[^aeiouy]"
+    above_0, above_1, is_1 = f"{c}*{v}+{c}.*", f"{c}*{v}+{c}+{v}+{c}.*", f"^{c}*{v}+{c}+{v}*$"
+    short = f"({c}{v}[^aeiouywxY]|^{v}{c})$"
+    double = "|".join(x + x for x in "bcdfghjklmnpqrstvwxYz0123456789") + "|yY"
+
+    def cases(rules, otherwise="w"):
+        return "CASE " + " ".join(f"WHEN w LIKE '%{suffix}' THEN {result}" for suffix, result in rules) + f" ELSE {otherwise} END"
+
+    def cut(stem, suffix, new=""):
+        return f"regexp_replace(w, '^({stem}){suffix}$', '\\1{new}')"
+
+    def repaired(suffix):
+        rest = f"list_transform([regexp_replace(w, '{suffix}$', '')], lambda s: CASE WHEN regexp_matches(s, '(at|bl|iz)$') THEN s || 'e' " \
+               f"WHEN regexp_matches(s, '({double})$') THEN regexp_replace(s, '[^lsz]$', '') " \
+               f"WHEN regexp_matches(s, '{is_1}') AND regexp_matches(s, '{short}') THEN s || 'e' ELSE s END)[1]"
+        return f"CASE WHEN regexp_matches(w, '{v}.*{suffix}$') THEN {rest} ELSE w END"
+
+    step_2 = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", bli="ble", alli="al", entli="ent", eli="e", ousli="ous", ization="ize")
+    step_2 |= dict(ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble", fulli="ful")
+    step_3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
+    step_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+    ion = f"CASE WHEN regexp_matches(w, '[st]ion$') THEN {cut(above_1, 'ion')} ELSE w END"
+    final_e = f"list_transform([w[:-2]], lambda s: CASE WHEN regexp_matches(s, '^{above_1}') OR (regexp_matches(s, '{is_1}') AND NOT regexp_matches(s, '{short}')) THEN s ELSE w END)[1]"
+    steps = [
+        "replace(regexp_replace(w, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY')",
+        cases([("sses", "w[:-3]"), ("ies", "CASE WHEN length(w) = 4 THEN w[:-2] ELSE w[:-3] END"), ("ss", "w"), ("s", "w[:-2]")]),
+        cases([("ied", "CASE WHEN length(w) = 4 THEN w[:-2] ELSE w[:-3] END"), ("eed", cut(above_0, "eed", "ee")), ("ed", repaired("ed")), ("ing", repaired("ing"))]),
+        f"regexp_replace(w, '^(.+{c})y$', '\\1i')",
+        cut(above_0, "alli", "al"),
+        cases([(s, cut(above_0, s, new)) for s, new in step_2.items()] + [("logi", cut(above_0, "ogi", "og"))]),
+        cases([(s, cut(above_0, s, new)) for s, new in step_3.items()]),
+        cases([(s, ion if s == "ion" else cut(above_1, s)) for s in step_4]),
+        cases([("e", final_e)]),
+        cases([("ll", cut(above_1, "l"))]),
+    ]
+    irregular = "{'sky': 'sky', 'skies': 'sky', 'dying': 'die', 'lying': 'lie', 'tying': 'tie', 'innings': 'inning', 'outings': 'outing', 'cannings': 'canning'}"
+    fixed = "('sky', 'skies', 'dying', 'lying', 'tying', 'news', 'innings', 'inning', 'outings', 'outing', 'cannings', 'canning', 'howe', 'proceed', 'exceed', 'succeed')"
+    out = words
+    for step in steps:
+        out = f"list_transform({out}, lambda w: {step})"
+    replaced = "CASE " + " ".join(f"WHEN t = '{k}' THEN '{x}'" for k, x in (p.split(": ") for p in irregular.replace("'", "")[1:-1].split(", "))) + " ELSE t END"
+    pairs = f"list_zip({words}, list_transform({out}, lambda w: lower(w)))"
+    picked = f"CASE WHEN length(t) <= 3 THEN t WHEN t IN {fixed} THEN {replaced} ELSE u END"
+    return f"list_transform({pairs}, lambda p: list_transform([p[1]], lambda t: list_transform([p[2]], lambda u: {picked})[1])[1])"
+
+
 UNICODE_WORDS = r"list_filter(string_split(regexp_replace(lower({0}), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 SUMMARY = "avg({0}) AS mean, {1}({0}) AS {2}, min({0}) AS min, max({0}) AS max, count({0}) AS count"
@@ -217,6 +267,19 @@ DESCRIBED = """SELECT count({0}) AS count, round(avg({0}), {2}) + 0.0 AS mean, r
 
 AVERAGED = "(pearson + spearman + kendall) / 3"
 
+STEMMED_WORDS = stemmed(ASCII_WORDS).replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}")
+
+# Lexical scores and standardised labels of all rated documents: ``w`` has one row each.
+EVALUATED = f"""{RATED}, {zscored('r', 5)}, {BLEU}, {CHRF}, {EDITS}, {longest_common(STEMMED_WORDS)},
+w AS (SELECT row_id, round(standardized_score, 12) AS human_score, bleu_score, chrfplusplus_score, greatest(0.0, 1 - word_edit_rate / 100) AS wer_score, rouge_score
+      FROM z JOIN bleu USING (row_id) JOIN chrf USING (row_id) JOIN wer USING (row_id) JOIN rouge USING (row_id))"""
+
+LEXICAL_SCORES = """s AS (
+  SELECT row_id AS id, 'BLEU' AS metric, bleu_score AS x, human_score AS y FROM w
+  UNION ALL SELECT row_id, 'CHRF++', chrfplusplus_score, human_score FROM w
+  UNION ALL SELECT row_id, 'WER', wer_score, human_score FROM w
+  UNION ALL SELECT row_id, 'ROUGE', rouge_score, human_score FROM w)"""
+
 # --- one statement per query ----------------------------------------------------------------
 
 ORACLES: dict[str, str] = {
@@ -285,6 +348,7 @@ SELECT metric, round(least(p_value_pearson, p_value_spearman, p_value_kendall),
     "word_edit_score": f"WITH {RATED}, {EDITS} SELECT row_id, round(greatest(0.0, 1 - word_edit_rate / 100), 6) AS wer_score FROM wer",
     "rouge_l": f"WITH {RATED}, {longest_common(ASCII_WORDS)} SELECT row_id, round(rouge_score, 6) AS rouge_score FROM rouge",
     "rouge_l_unicode": f"WITH {RATED}, {longest_common(UNICODE_WORDS)} SELECT row_id, round(rouge_score, 6) AS rouge_score FROM rouge",
+    "rouge_l_stemmed": f"WITH {RATED}, {longest_common(STEMMED_WORDS)} SELECT row_id, round(rouge_score, 6) AS rouge_score FROM rouge",
     "registered_metric": f"""WITH {RATED} SELECT row_id, round(coalesce(least(length(targetText), length(referenceText))
   / nullif(greatest(length(targetText), length(referenceText)), 0), 1.0), 6) AS length_ratio_score FROM r""",
     "model_scoring": f"""WITH {RATED} SELECT row_id, round(least(1.0, length(targetText) / greatest(1, length(referenceText))), 6) AS comet_score FROM r""",
@@ -320,4 +384,11 @@ FROM orders LEFT JOIN res ON res.row_id = o_orderkey""",
     "valid_set": f"""WITH {RATED}, kept AS (SELECT * FROM r WHERE createdBy_id IN (SELECT createdBy_id FROM r GROUP BY 1 HAVING count(*) > 18))
 SELECT row_id, createdBy_id, score AS raw, sourceText AS src, targetText AS mt, referenceText AS ref, 'en-ka' AS lp,
   round((score - avg(score) OVER ()) / stddev_samp(score) OVER (), 9) AS score FROM kept""",
+    "evaluation_scores": f"""WITH {EVALUATED} SELECT row_id, round(human_score, 6) AS human_score, round(bleu_score, 6) AS bleu_score,
+  round(chrfplusplus_score, 6) AS chrfplusplus_score, round(wer_score, 6) AS wer_score, round(rouge_score, 6) AS rouge_score FROM w""",
+    "evaluation_report": f"""WITH {EVALUATED}, {LEXICAL_SCORES}, {CORRELATED}, {P_VALUES}
+SELECT metric, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(kendall, 6) AS kendall,
+  round(p_value_pearson, 6) AS p_value_pearson, round(p_value_spearman, 6) AS p_value_spearman, round(p_value_kendall, 6) AS p_value_kendall,
+  CASE metric WHEN 'BLEU' THEN 0 WHEN 'CHRF++' THEN 1 WHEN 'WER' THEN 2 ELSE 3 END AS ordinal, round({AVERAGED}, 6) AS avg_correlation,
+  round(least(p_value_pearson, p_value_spearman, p_value_kendall), 6) AS min_p_value, {SIGNIFICANCE} AS significance FROM p""",
 }

@@ -259,7 +259,7 @@ def _load_model() -> Callable:
 
 def model_scoring(spark: SparkSession, sf: str) -> DataFrame:
     score = scoring.model_score(F.col("targetText"), F.col("referenceText"), F.col("sourceText"), _load_model)
-    return rounded(rated_documents(spark, sf).select("row_id", score.alias("comet_score")))
+    return rounded(scoring.spread_rows(rated_documents(spark, sf)).select("row_id", score.alias("comet_score")))
 
 
 def sampled_mean_fill(spark: SparkSession, sf: str) -> DataFrame:

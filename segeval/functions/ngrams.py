@@ -29,6 +29,15 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], np.where(empty, 0, lengths)
 
 
+def _numbered(keys: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place of every key among them."""
+    if span <= 8 * len(keys) + 65536:
+        seen = np.zeros(span, dtype=bool)
+        seen[keys] = True
+        return np.flatnonzero(seen), (np.cumsum(seen) - 1)[keys]
+    return np.unique(keys, return_inverse=True)
+
+
 def matches_per_order(units: np.ndarray, lengths: np.ndarray, orders: int) -> np.ndarray:
     """``min`` of the two n-gram counts, summed per pair and order.
 
@@ -37,28 +46,30 @@ def matches_per_order(units: np.ndarray, lengths: np.ndarray, orders: int) -> np
     one it extends matched, so each order looks at surviving positions only.
     """
     pairs = len(lengths) // 2
+    out = np.zeros((pairs, orders), dtype=np.int64)
+    if not len(units):
+        return out
     owner = np.repeat(np.arange(2 * pairs), lengths)
     ends = np.repeat(np.cumsum(lengths), lengths)
-    pair, second = owner % max(pairs, 1), owner >= pairs
-    _, unit = np.unique(units, return_inverse=True)
-    width = int(unit.max()) + 1 if len(unit) else 1
-    at, gram = np.arange(len(units)), pair
-    out = np.zeros((pairs, orders), dtype=np.int64)
+    second = owner >= pairs
+    alphabet, unit = _numbered(units, int(units.max()) + 1)
+    # Grams are numbered per pair, starting from one empty gram for each pair.
+    at, gram, pair_of = np.arange(len(units)), owner % pairs, np.arange(pairs)
     for n in range(orders):
         inside = at + n < ends[at]
         at, gram = at[inside], gram[inside]
-        if not len(at):
-            break
-        keys, gram = np.unique(gram * width + unit[at + n], return_inverse=True)
+        keys, gram = _numbered(gram * len(alphabet) + unit[at + n], len(pair_of) * len(alphabet))
+        pair_of = pair_of[keys // len(alphabet)]
         right = second[at]
         clipped = np.minimum(
             np.bincount(gram[~right], minlength=len(keys)), np.bincount(gram[right], minlength=len(keys))
         )
-        of_pair = np.empty(len(keys), dtype=np.int64)
-        of_pair[gram] = pair[at]
-        out[:, n] = np.bincount(of_pair, weights=clipped, minlength=pairs)
-        alive = clipped[gram] > 0
-        at, gram = at[alive], gram[alive]
+        out[:, n] = np.bincount(pair_of, weights=clipped, minlength=pairs)
+        matched = clipped > 0
+        alive = matched[gram]
+        at, gram, pair_of = at[alive], (np.cumsum(matched) - 1)[gram[alive]], pair_of[matched]
+        if not len(at):
+            break
     return out
 
 

@@ -104,13 +104,11 @@ def word_edit_score(hypothesis: Column, reference: Column) -> Column:
 def rouge_l(hypothesis: Column, reference: Column, stem: bool = True, unicode_tokens: bool = False) -> Column:
     """ROUGE-L F1, 0 to 1: longest common subsequence of alphanumeric tokens."""
 
-    def tokens(value: Column) -> Column:
-        found = text.rouge_words(value, unicode_tokens)
-        return porter_stem(found) if stem else found
-
     def score(t: Column) -> Column:
-        hyp, ref = F.size(t["h"]), F.size(t["r"])
-        return F.when((hyp == 0) | (ref == 0), 0.0).otherwise(2.0 * lcs_length(t["h"], t["r"]) / (hyp + ref))
+        hyp, ref = F.size(t[0]), F.size(t[1])
+        return F.when((hyp == 0) | (ref == 0), 0.0).otherwise(2.0 * lcs_length(t[0], t[1]) / (hyp + ref))
 
-    pair = F.struct(tokens(hypothesis).alias("h"), tokens(reference).alias("r"))
+    pair = F.array(*[text.rouge_words(t, unicode_tokens) for t in (hypothesis, reference)])
+    if stem:
+        pair = F.transform(pair, lambda tokens: porter_stem(tokens))
     return F.when(_present(hypothesis, reference), let(pair, score))

@@ -42,9 +42,8 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     value = nan_to_null(F.col(column))
     head = df.agg(*_summary(value, F.stddev_samp, "std_samp"))
     quartiles = exact_quantiles(df, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    # Two one-row tables.
-    both = head.withColumn("one", F.lit(1)).join(quartiles.withColumn("one", F.lit(1)), "one")
-    return both.select("count", "mean", "std_samp", "min", "p25", "p50", "p75", "max")
+    head = head.withColumn("q", quartiles.select(F.struct("*")).scalar())
+    return head.select("count", "mean", "std_samp", "min", "q.*", "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

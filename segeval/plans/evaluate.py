@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segeval.operators.correlation import correlations
+from segeval.functions.significance import significance_class
+from segeval.operators.correlation import COEFFICIENTS, correlations
 from segeval.operators.profile import metric_summary
-from segeval.operators.ranking import average_correlation, significance, with_ordinal
+from segeval.operators.ranking import average_correlation, with_ordinal
 from segeval.operators.ratings import drop_null_texts, standardize_by_rater
 from segeval.operators.scoring import add_scores, scores_long, select_metrics, widen_scores
 from segeval.scratch import materialize
@@ -17,6 +18,9 @@ from segeval.sources.csv import write_csv
 from segeval.sources.scores import write_summary
 
 
+HUMAN_DIGITS = 12
+
+
 @dataclass
 class Evaluation:
     """Results of a run. ``scores`` is written to the scratch folder, the rest is lazy."""
@@ -28,9 +32,13 @@ class Evaluation:
 
     def report(self) -> DataFrame:
         """One row per metric: coefficients, p-values, their average and the significance class."""
-        classes = significance(self.correlations).select("metric", "min_p_value", "significance")
-        table = self.correlations.withColumn("avg_correlation", average_correlation())
-        return table.join(classes, "metric")
+        p_values = [F.col(f"p_value_{c}") for c in COEFFICIENTS]
+        return self.correlations.select(
+            "*",
+            average_correlation().alias("avg_correlation"),
+            F.least(*p_values).alias("min_p_value"),
+            significance_class(*p_values).alias("significance"),
+        )
 
     def wide(self) -> DataFrame:
         """``(row_id, human_score, <metric>_score ...)``."""
@@ -57,7 +65,10 @@ def evaluate(
     ``extra_metrics``, computed elsewhere, such as judge or model scores.
     """
     names = select_metrics(metrics)
-    human = standardize_by_rater(drop_null_texts(rated), at_least).withColumnRenamed("standardized_score", "human")
+    human = standardize_by_rater(drop_null_texts(rated), at_least)
+    # Scores of different raters that are equal on paper may differ in their last
+    # bits, depending on the order of summation. Rounding keeps them tied.
+    human = human.withColumn("human", F.round("standardized_score", HUMAN_DIGITS)).drop("standardized_score")
     scores = scores_long(add_scores(human, names), names, ["row_id", "human"])
     if extra_scores is not None:
         extra = extra_scores.where(F.col("metric").isin(*extra_metrics)).select("row_id", "metric", "score")

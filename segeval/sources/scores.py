@@ -70,10 +70,12 @@ def summary_json(correlations: DataFrame, summary: DataFrame, available: list[st
         return table.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*fields)))).alias("m"))
 
     names = F.struct(F.lit(available).alias("available_metrics"), F.lit(used).alias("used_metrics"))
-    both = as_map(summary, statistics).select(F.col("m").alias("summary_statistics"), F.lit(1).alias("one"))
-    joined = as_map(correlations, coefficients).select(F.col("m").alias("correlation_results"), F.lit(1).alias("one")).join(both, "one")
-    document = F.struct("correlation_results", "summary_statistics", names.alias("registry_info"))
-    return joined.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
+    document = F.struct(
+        F.col("m").alias("correlation_results"),
+        as_map(summary, statistics).scalar().alias("summary_statistics"),
+        names.alias("registry_info"),
+    )
+    return as_map(correlations, coefficients).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_summary(correlations: DataFrame, summary: DataFrame, available: list[str], used: list[str], path: str) -> None:
