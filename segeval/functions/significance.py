@@ -50,10 +50,11 @@ def two_sided_t(r: float, n: float) -> float:
         return 0.0
     if r == 0:
         return 1.0
-    a, b, x = (n - 2) / 2, 0.5, 1 - r * r
+    a, b = (n - 2) / 2, 0.5
     log_front = a * math.log1p(-r * r) + b * math.log(r * r) - _log_beta_half(a)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
+    # Near r = 0 the complement is taken: 1 - r^2 would lose the digits of r.
+    if a * r * r > 4:
+        return math.exp(log_front) * _beta_fraction(a, b, 1 - r * r) / a
     return 1 - math.exp(log_front) * _beta_fraction(b, a, r * r) / b
 
 
