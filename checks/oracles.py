@@ -47,7 +47,10 @@ CORRELATED = """ranks AS (
   SELECT *, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0 AS rx,
             rank() OVER (PARTITION BY metric ORDER BY y) + (count(*) OVER (PARTITION BY metric, y) - 1) / 2.0 AS ry
   FROM s),
-base AS (SELECT metric, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM ranks GROUP BY metric),
+base AS (
+  SELECT metric, count(*) AS n, min(x) < max(x) AND min(y) < max(y) AS varies,
+         CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS pearson,
+         CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS spearman FROM ranks GROUP BY metric),
 compared AS (
   SELECT a.metric, sum(sign(a.x - b.x) * sign(a.y - b.y))::DOUBLE AS s_,
          count(*) FILTER (WHERE sign(a.x - b.x) * sign(a.y - b.y) < 0) AS discordant,
@@ -59,9 +62,9 @@ ys AS (SELECT metric, sum(t * (t - 1) * (2 * t + 5)) AS v, sum(t * (t - 1) * (t
        FROM (SELECT metric, y, count(*)::DOUBLE AS t FROM s GROUP BY ALL) GROUP BY metric),
 c AS (
   SELECT metric, n, pearson, spearman, discordant,
-         s_ / (sqrt(n * (n - 1) / 2.0 - tx) * sqrt(n * (n - 1) / 2.0 - ty)) AS kendall,
-         s_ / sqrt((n * (n - 1.0) * (2 * n + 5) - xs.v - ys.v) / 18 + 2 * tx * ty / (n * (n - 1.0))
-                   + xs.q * ys.q / (9 * n * (n - 1.0) * (n - 2))) AS kendall_z
+         CASE WHEN varies THEN s_ / (sqrt(n * (n - 1) / 2.0 - tx) * sqrt(n * (n - 1) / 2.0 - ty)) END AS kendall,
+         CASE WHEN varies THEN s_ / sqrt((n * (n - 1.0) * (2 * n + 5) - xs.v - ys.v) / 18 + 2 * tx * ty / (n * (n - 1.0))
+                   + xs.q * ys.q / (9 * n * (n - 1.0) * (n - 2))) END AS kendall_z
   FROM base JOIN compared USING (metric) JOIN xs USING (metric) JOIN ys USING (metric))"""
 
 # p-values by series of positive terms: the incomplete beta function for t tests, erf for Kendall.
@@ -72,18 +75,19 @@ beta AS (
   SELECT metric, kind, 0.5 * ln(r * r) + a * ln(1 - r * r) - ln(0.5) - (lgamma(0.5) + lgamma(a) - lgamma(a + 0.5))
          + coalesce(sum(ln((a + 0.5 + k) / (1.5 + k) * r * r)) OVER (PARTITION BY metric, kind ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS log_term
   FROM coefficient, k),
-tested AS (SELECT metric, kind, greatest(0.0, 1 - sum(exp(log_term))) AS p FROM beta GROUP BY ALL),
+tested AS (SELECT metric, kind, CASE WHEN sum(exp(log_term)) IS NOT NULL THEN greatest(0.0, 1 - sum(exp(log_term))) END AS p FROM beta GROUP BY ALL),
 erf_terms AS (
   SELECT metric, ln(2 / sqrt(pi())) - u * u + ln(u)
          + coalesce(sum(ln(2 * u * u / (2 * k + 3))) OVER (PARTITION BY metric ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS log_term
   FROM (SELECT metric, abs(kendall_z) / sqrt(2) AS u FROM c), k),
-ranked_test AS (SELECT metric, greatest(0.0, 1 - sum(exp(log_term))) AS p FROM erf_terms GROUP BY metric),
+ranked_test AS (SELECT metric, CASE WHEN sum(exp(log_term)) IS NOT NULL THEN greatest(0.0, 1 - sum(exp(log_term))) END AS p FROM erf_terms GROUP BY metric),
 p AS (
   SELECT c.*, a.p AS p_value_pearson, b.p AS p_value_spearman, t.p AS p_value_kendall
   FROM c JOIN tested a ON a.metric = c.metric AND a.kind = 'pearson'
   JOIN tested b ON b.metric = c.metric AND b.kind = 'spearman' JOIN ranked_test t ON t.metric = c.metric)"""
 
-SIGNIFICANCE = """CASE WHEN least(p_value_pearson, p_value_spearman, p_value_kendall) < 0.001 THEN 'highly_significant'
+SIGNIFICANCE = """CASE WHEN least(p_value_pearson, p_value_spearman, p_value_kendall) IS NULL THEN NULL
+       WHEN least(p_value_pearson, p_value_spearman, p_value_kendall) < 0.001 THEN 'highly_significant'
        WHEN least(p_value_pearson, p_value_spearman, p_value_kendall) < 0.01 THEN 'significant'
        WHEN least(p_value_pearson, p_value_spearman, p_value_kendall) < 0.05 THEN 'marginally_significant'
        ELSE 'not_significant' END"""
