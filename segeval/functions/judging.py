@@ -25,7 +25,7 @@ def _other_digits() -> tuple[str, str]:
 
 def extract_score(answer: Column) -> Column:
     """Score between 0 and 100 in a free-text answer; more than 100 counts as 100, none as 0."""
-    plain = F.translate(answer, *_other_digits())
+    plain = F.when(answer.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(answer, *_other_digits())).otherwise(answer)
     found = [F.nullif(F.regexp_extract(plain, "(?U)" + p, 1), F.lit("")) for p in SCORE_PATTERNS]
     return F.least(F.coalesce(F.coalesce(*found).try_cast("double"), F.lit(0.0)), F.lit(100.0))
 

@@ -11,7 +11,7 @@ from segeval.functions.significance import significance_class
 from segeval.operators.correlation import COEFFICIENTS, correlations
 from segeval.operators.profile import metric_summary
 from segeval.operators.ranking import average_correlation, with_ordinal
-from segeval.operators.ratings import drop_null_texts, standardize_by_rater
+from segeval.operators.ratings import TEXT_COLUMNS, drop_null_texts, standardize_by_rater
 from segeval.operators.scoring import add_scores, scores_long, select_metrics, widen_scores
 from segeval.scratch import materialize
 from segeval.sources.csv import write_csv
@@ -60,20 +60,26 @@ def evaluate(
 ) -> Evaluation:
     """Standardise ratings per rater, score all rows, and correlate each metric with the ratings.
 
-    ``rated`` has ``row_id``, ``score``, the three texts and usually
+    ``rated`` has a unique ``row_id``, ``score``, the three texts and usually
     ``createdBy_id``. ``extra_scores`` holds ``(row_id, metric, score)`` of the
     ``extra_metrics``, computed elsewhere, such as judge or model scores.
     """
     names = select_metrics(metrics)
-    human = standardize_by_rater(drop_null_texts(rated), at_least)
-    # Scores of different raters that are equal on paper may differ in their last
-    # bits, depending on the order of summation. Rounding keeps them tied.
-    human = human.withColumn("human", F.round("standardized_score", HUMAN_DIGITS)).drop("standardized_score")
-    scores = scores_long(add_scores(human, names), names, ["row_id", "human"])
+    # Raters are judged by all their rows, also those whose texts are incomplete.
+    # Only ids and scores are shuffled for that; texts are moved once, to be scored.
+    ids = [c for c in ("row_id", "createdBy_id", "score") if c in rated.columns]
+    human = standardize_by_rater(rated.select(*ids), at_least).select(
+        "row_id",
+        # Scores of different raters that are equal on paper may differ in their
+        # last bits, depending on the order of summation. Rounding keeps them tied.
+        F.round("standardized_score", HUMAN_DIGITS).alias("human"),
+    )
+    texts = drop_null_texts(rated.select("row_id", *TEXT_COLUMNS))
+    scored = add_scores(texts, names).drop(*TEXT_COLUMNS).join(human, "row_id")
+    scores = scores_long(scored, names, ["row_id", "human"])
     if extra_scores is not None:
         extra = extra_scores.where(F.col("metric").isin(*extra_metrics)).select("row_id", "metric", "score")
-        people = human.select("row_id", "human")
-        scores = scores.unionByName(people.join(extra, "row_id").select(*scores.columns))
+        scores = scores.unionByName(human.join(extra, "row_id").select(*scores.columns))
         names = names + [m for m in extra_metrics if m not in names]
     # Scoring is the costly step; all results below read its written scores.
     scores = materialize(scores, "metric-scores")

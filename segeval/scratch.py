@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_fallback: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -15,11 +16,11 @@ def scratch_root(spark: SparkSession) -> str:
 
     The fallback is a local folder and only fits a single machine, such as a test run.
     """
+    application = spark.sparkContext.applicationId
     root = spark.conf.get(_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="segeval-")
-        spark.conf.set(_CONF, root)
-    return f"{root.rstrip('/')}/segeval/{spark.sparkContext.applicationId}"
+        root = _fallback.get(application) or _fallback.setdefault(application, tempfile.mkdtemp(prefix="segeval-"))
+    return f"{root.rstrip('/')}/segeval/{application}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -137,6 +137,27 @@ def test_evaluation(rated, tmp_path):
     assert read_csv(rated.sparkSession, str(tmp_path / "data")).count() == 40
 
 
+def test_incomplete_texts_count_for_the_rater_only(spark):
+    rows = [(i, 1, float(i), "s", "t" if i else None, f"r{i}") for i in range(5)]
+    rated = spark.createDataFrame(rows, f"row_id long, createdBy_id long, score double, {TEXTS}")
+    wide = evaluate(rated, ["WER"], at_least=5).wide().orderBy("row_id").collect()
+    assert [r.row_id for r in wide] == [1, 2, 3, 4]
+    assert [r.human_score for r in wide] == pytest.approx([(i - 2) / math.sqrt(2.5) for i in (1, 2, 3, 4)])
+
+
+def test_scratch_folder(spark):
+    from segeval import scratch
+
+    class Bare:
+        sparkContext = spark.sparkContext
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    assert scratch.scratch_root(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch.scratch_root(Bare) == scratch.scratch_root(Bare) != scratch.scratch_root(spark)
+    stored = scratch.materialize(spark.range(5), "numbers")
+    assert stored.count() == 5 and scratch.scratch_root(spark) in stored.inputFiles()[0]
+
+
 def test_annotated_csv(spark, pairs, tmp_path):
     write_csv(pairs, str(tmp_path / "in"))
     stats = annotate_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["BLEU", "WER"])
