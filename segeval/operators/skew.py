@@ -39,7 +39,10 @@ def join_by_hot_key(big: DataFrame, small: DataFrame, key: str, hot: DataFrame,
     tagged = tagged.withColumn(
         _LANE, F.when(F.col("__near").isNull() & F.col(key).isNotNull(), 0).otherwise(spread_lane(big.columns))
     )
-    far = packed.select(F.col(key).alias("__far_key"), F.col(_VALUES).alias("__far"), F.lit(0).alias(_SMALL_LANE))
+    # Lane 0 is computed from the key: a literal would be folded out of the join
+    # keys, and the hot rows would meet in one partition after all.
+    lane_0 = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    far = packed.select(F.col(key).alias("__far_key"), F.col(_VALUES).alias("__far"), lane_0.alias(_SMALL_LANE))
     joined = tagged.join(
         far, (F.col(key) == F.col("__far_key")) & (F.col(_LANE) == F.col(_SMALL_LANE)), "left"
     )

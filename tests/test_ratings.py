@@ -120,6 +120,22 @@ def test_hot_key_join_equals_plain_join(spark, how, hot_keys):
     assert sorted(got.select("id", "k", "v", "w").collect(), key=key) == sorted(want.collect(), key=key)
 
 
+def test_hot_rows_are_shuffled_apart(spark):
+    """Without broadcasts of Spark's own, rows of a hot key end up in every partition."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        big = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"))
+        small = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+        joined = skew.join_by_hot_key(big, small, "k", skew.most_frequent(big, "k", 1))
+        parts = joined.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert len(parts) == 4 and min(r["count"] for r in parts) > 300
+
+
 def test_most_frequent(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (2,), (3,), (None,), (None,), (None,)], "k long")
     assert {r.k for r in skew.most_frequent(df, "k", 2).collect()} == {1, 2}
