@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -91,7 +92,7 @@ def drop_null_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents through CSV: quotes, line breaks and missing cells come back unchanged."""
-    path = f"{scratch_root(spark)}/csv-{spark._jvm.java.util.UUID.randomUUID()}"
+    path = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}"
     csv.write_csv(_partly_labelled(spark, sf), path)
     return csv.read_pairs_csv(spark, path, {"row_id": "bigint"})
 
@@ -296,7 +297,7 @@ def score_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 def score_files(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all events through the score table and the JSON score files."""
-    root = f"{scratch_root(spark)}/scores-{spark._jvm.java.util.UUID.randomUUID()}"
+    root = f"{scratch_root(spark)}/scores-{uuid.uuid4().hex}"
     score_io.write_scores(event_scores(spark, sf).select("row_id", "metric", "score"), f"{root}/table")
     stored = score_io.read_scores(spark, f"{root}/table")
     for name in ("hour", "key"):
@@ -359,13 +360,13 @@ def _result_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def judge_results(spark: SparkSession, sf: str) -> DataFrame:
     """Result files written and read back."""
-    path = f"{scratch_root(spark)}/results-{spark._jvm.java.util.UUID.randomUUID()}"
+    path = f"{scratch_root(spark)}/results-{uuid.uuid4().hex}"
     _result_lines(spark, sf).write.text(path)
     return judge_files.read_results(spark, path)
 
 
 def judge_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Results joined to line item rows by order key; orders beyond the events have none."""
+    """Results joined to orders by key; orders beyond the events have none."""
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
     return judge.join_results(rows, judge.parse_results(_result_lines(spark, sf)), "reference_free")
 
