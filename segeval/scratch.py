@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,17 @@ _fallback: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for scratch tables: the cluster's checkpoint folder, else a private one.
+    """Folder for scratch tables: the cluster's checkpoint folder, else a private one on a single machine.
 
-    The fallback is a local folder and only fits a single machine, such as a test run.
+    Off a local master, a folder on one machine would be invisible to the others, so
+    a missing setting is an error there.
     """
     application = spark.sparkContext.applicationId
     root = spark.conf.get(_CONF, None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {_CONF} to a folder that all machines share; the master is {master}")
         root = _fallback.get(application) or _fallback.setdefault(application, tempfile.mkdtemp(prefix="segeval-"))
     return f"{root.rstrip('/')}/segeval/{application}"
 
