@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segeval.scratch import materialize
@@ -262,15 +262,17 @@ def span_digest(found: DataFrame) -> DataFrame:
     """``doc_id``, the number of base spans by kind, their digest, and all spans as text."""
     names = F.array(*[F.lit(k) for k in (*KINDS, TERM)])
 
-    def written(span) -> F.Column:
+    def written(span: Column) -> Column:
         return F.concat_ws(":", F.get(names, span["kind"]), span["start"], span["end"])
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
     added = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end")))
     whole = F.array_sort(F.concat("base", added))
     return found.select(
         "doc_id",
-        *counts,
+        *[number(k) for k in range(len(KINDS))],
         F.sha2(F.array_join(F.transform("base", written), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(whole, written), ",").alias("spans"),
     )
