@@ -14,7 +14,7 @@ class Settings:
     bins: int = 64
     rate: float = 0.15
     smooth: float = 1.0
-    least_weight: float = 5.0
+    least_weight: float = 1.0
 
 
 @dataclass(frozen=True)
