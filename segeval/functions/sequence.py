@@ -1,162 +1,115 @@
-"""Word-level edit distance and longest common subsequence, evaluated inside the JVM."""
+"""Word-level edit distance and longest common subsequence, counted in Arrow batches.
+
+Both are bit-parallel over integers of any length: one bit per token of one side,
+one step per token of the other. So a pair of n and m tokens takes about n * m / 64
+machine operations, in memory linear in n, and there is no limit on either.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from segeval.functions.expr import let
-
-# Code points from here on are plain supplementary characters, so a token id
-# never falls on a surrogate. Ids up to CODE_LIMIT fit below U+10FFFF.
-CODE_BASE = 0x10000
-CODE_LIMIT = 0x10FFFF - CODE_BASE
-
-# Bits of one mask word: a sum of two words and a carry stays within a signed long.
-WORD_BITS = 62
-WORD_MASK = (1 << WORD_BITS) - 1
-
-
-def _ids(tokens: Column, vocabulary: Column) -> Column:
-    return F.transform(tokens, lambda t: F.array_position(vocabulary, t))
-
-
-def _as_text(ids: Column) -> Column:
-    digits = F.transform(ids, lambda i: F.lpad(F.hex(i + F.lit(CODE_BASE)), 8, "0"))
-    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
-
-
-def _by_length(left: Column, right: Column) -> Column:
-    """``struct(short, long)``: both measures are symmetric, so ids come from the shorter side."""
-    swap = F.size(left) < F.size(right)
-    return F.struct(
-        F.when(swap, left).otherwise(right).alias("short"),
-        F.when(swap, right).otherwise(left).alias("long"),
-    )
+from segeval.functions.stem import stem_all
+
+
+def _masks(tokens: list) -> dict:
+    """For every token, an integer with a bit at each of its positions."""
+    masks: dict = {}
+    bytes_of: dict[str, list[int]] = {}
+    for position, token in enumerate(tokens):
+        bytes_of.setdefault(token, []).append(position)
+    for token, positions in bytes_of.items():
+        if len(positions) < 8:
+            mask = 0
+            for position in positions:
+                mask |= 1 << position
+        else:  # one pass over a buffer instead of one long integer per occurrence
+            buffer = bytearray(positions[-1] // 8 + 1)
+            for position in positions:
+                buffer[position >> 3] |= 1 << (position & 7)
+            mask = int.from_bytes(buffer, "little")
+        masks[token] = mask
+    return masks
+
+
+def common_length(left: list, right: list) -> int:
+    """Length of the longest common subsequence (Hyyro 2004)."""
+    short, long = sorted((left, right), key=len)
+    masks, full = _masks(short), (1 << len(short)) - 1
+    state = full
+    for token in long:
+        mask = masks.get(token)
+        if mask:
+            matched = state & mask
+            state = ((state + matched) | (state - matched)) & full
+    return len(short) - state.bit_count()
+
+
+def edit_distance(left: list, right: list) -> int:
+    """Insertions, deletions and substitutions (Myers 1999)."""
+    short, long = sorted((left, right), key=len)
+    if not short:
+        return len(long)
+    masks, full, last = _masks(short), (1 << len(short)) - 1, 1 << (len(short) - 1)
+    up, down, distance = full, 0, len(short)
+    for token in long:
+        equal = masks.get(token, 0)
+        vertical = equal | down
+        horizontal = (((equal & up) + up) ^ up) | equal
+        rise = down | (full & ~(horizontal | up))
+        fall = up & horizontal
+        if rise & last:
+            distance += 1
+        elif fall & last:
+            distance -= 1
+        rise = ((rise << 1) | 1) & full
+        fall = (fall << 1) & full
+        up = fall | (full & ~(vertical | rise))
+        down = rise & vertical
+    return distance
+
+
+def _measured(left: Column, right: Column, kind: str, measure: Callable[[list, list], float]) -> Column:
+    @F.arrow_udf(kind)
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = ((x.as_py(), y.as_py()) for x, y in zip(a, b))
+        values = [None if x is None or y is None else measure(x, y) for x, y in pairs]
+        return pa.array(values, pa.int32() if kind == "int" else pa.float64())
+
+    return count(left, right)
 
 
 def word_edits(left: Column, right: Column) -> Column:
-    """Insertions, deletions and substitutions between two token arrays.
-
-    Every distinct token of the shorter side becomes one character, and all
-    tokens it lacks share another, because those match nothing anyway. The
-    native ``levenshtein`` then counts token edits.
-    """
-
-    def measure(pair: Column) -> Column:
-        def encoded(v: Column) -> Column:
-            edits = F.levenshtein(_as_text(_ids(pair["short"], v)), _as_text(_ids(pair["long"], v)))
-            too_many = F.raise_error(F.lit(f"a text holds more than {CODE_LIMIT} distinct tokens"))
-            return F.when(F.size(v) > CODE_LIMIT, too_many.cast("int")).otherwise(edits)
-
-        return (
-            F.when(F.size(pair["short"]) == 0, F.size(pair["long"]))
-            .otherwise(let(F.array_distinct(pair["short"]), encoded))
-        )
-
-    return let(let(F.struct(left.alias("l"), right.alias("r")), lambda s: _by_length(s["l"], s["r"])), measure)
+    """Edits between two token arrays."""
+    return _measured(left, right, "int", edit_distance)
 
 
 def lcs_length(left: Column, right: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays.
-
-    Bit-parallel (Hyyro 2004): one bit per token of the shorter side, one step
-    per token of the longer side that occurs in the shorter. Sides of more than
-    ``WORD_BITS`` tokens use an array of mask words with a carry.
-    """
-
-    def measure(pair: Column) -> Column:
-        def over_vocabulary(v: Column) -> Column:
-            coded = F.struct(
-                _ids(pair["short"], v).alias("short"),
-                F.filter(_ids(pair["long"], v), lambda i: i > 0).alias("long"),
-                F.size(v).alias("distinct"),
-            )
-            return let(coded, lambda c: F.when(F.size(c["short"]) <= WORD_BITS, _lcs_one_word(c)).otherwise(_lcs_words(c)))
-
-        return F.when(F.size(pair["short"]) == 0, F.lit(0)).otherwise(let(F.array_distinct(pair["short"]), over_vocabulary))
-
-    return let(let(F.struct(left.alias("l"), right.alias("r")), lambda s: _by_length(s["l"], s["r"])), measure)
-
-
-def _mask(ids: Column, token: Column, start: Column, end: Column) -> Column:
-    """Bits of the positions ``start..end`` at which ``ids`` holds ``token``."""
-    return F.aggregate(
-        F.sequence(start, end),
-        F.lit(0).cast("long"),
-        lambda acc, j: F.when(F.get(ids, j) == token, acc.bitwiseOR(_bit(j - start))).otherwise(acc),
-    )
-
-
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), position)
-
-
-def _lcs_one_word(c: Column) -> Column:
-    n = F.size(c["short"])
-    masks = F.transform(
-        F.sequence(F.lit(1).cast("long"), c["distinct"].cast("long")),
-        lambda token: _mask(c["short"], token, F.lit(0), n - 1),
-    )
-
-    def run(state: Column) -> Column:
-        full, table = state["full"], state["masks"]
-
-        def step(v: Column, token: Column) -> Column:
-            return let(
-                F.get(table, (token - 1).cast("int")),
-                lambda m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full),
-            )
-
-        return F.size(c["short"]) - F.bit_count(F.aggregate(c["long"], full, step))
-
-    full_word = _bit(n) - F.lit(1).cast("long")
-    return let(F.struct(full_word.alias("full"), masks.alias("masks")), run)
-
-
-def _lcs_words(c: Column) -> Column:
-    n = F.size(c["short"])
-    last = F.floor((n - 1) / F.lit(WORD_BITS)).cast("int")
-    word_mask = F.lit(WORD_MASK).cast("long")
-
-    def end_of(k: Column) -> Column:
-        return F.least((k + 1) * WORD_BITS, n) - 1
+    """Length of the longest common subsequence of two token arrays."""
+    return _measured(left, right, "int", common_length)
 
-    def valid_bits(k: Column) -> Column:
-        return _bit(end_of(k) - k * WORD_BITS + 1) - F.lit(1).cast("long")
 
-    masks = F.transform(
-        F.sequence(F.lit(1).cast("long"), c["distinct"].cast("long")),
-        lambda token: F.transform(
-            F.sequence(F.lit(0), last), lambda k: _mask(c["short"], token, k * WORD_BITS, end_of(k))
-        ),
-    )
-    full = F.transform(F.sequence(F.lit(0), last), valid_bits)
-    empty = F.array().cast("array<bigint>")
+def edit_rate(hypothesis: Column, reference: Column) -> Column:
+    """Edits per 100 reference tokens; against no tokens, 100 for any hypothesis token and 0 for none."""
 
-    def run(state: Column) -> Column:
-        valid, table = state["full"], state["masks"]
+    def rate(h: list, r: list) -> float:
+        return 100.0 * edit_distance(h, r) / len(r) if r else 100.0 if h else 0.0
 
-        def step(words: Column, token: Column) -> Column:
-            def advance(mask: Column) -> Column:
-                def one_word(acc: Column, k: Column) -> Column:
-                    v, m = F.get(words, k), F.get(mask, k)
-                    summed = v + v.bitwiseAND(m) + acc["carry"]
-                    kept = v.bitwiseAND(F.bitwise_not(m))
-                    return F.struct(
-                        F.shiftrightunsigned(summed, WORD_BITS).alias("carry"),
-                        F.concat(acc["words"], F.array(summed.bitwiseOR(kept).bitwiseAND(word_mask))).alias("words"),
-                    )
+    return _measured(hypothesis, reference, "double", rate)
 
-                zero = F.struct(F.lit(0).cast("long").alias("carry"), empty.alias("words"))
-                return F.aggregate(F.sequence(F.lit(0), last), zero, one_word)["words"]
 
-            return let(F.get(table, (token - 1).cast("int")), advance)
+def overlap_f1(hypothesis: Column, reference: Column, stem: bool) -> Column:
+    """F1 of the longest common subsequence, of stemmed tokens if wanted."""
 
-        final = F.aggregate(c["long"], valid, step)
-        ones = F.aggregate(
-            F.zip_with(final, valid, lambda v, m: F.bit_count(v.bitwiseAND(m))), F.lit(0), lambda acc, b: acc + b
-        )
-        return F.size(c["short"]) - ones
+    def f1(h: list, r: list) -> float:
+        if not h or not r:
+            return 0.0
+        if stem:
+            h, r = stem_all(h), stem_all(r)
+        return 2.0 * common_length(h, r) / (len(h) + len(r))
 
-    return let(F.struct(full.alias("full"), masks.alias("masks")), run)
+    return _measured(hypothesis, reference, "double", f1)

@@ -63,17 +63,19 @@ def exact_kendall(n: int, discordant: int) -> float:
     fewer = min(discordant, n * (n - 1) // 2 - discordant)
     if n <= 2:
         return 1.0
-    if n > 170:
-        # Reached for 0 or 1 inversions only, where the tail is below the smallest double.
-        return 0.0
-    counts = [1] + [0] * fewer
-    for k in range(2, n + 1):
-        running, window = 0, []
-        for i, count in enumerate(counts):
-            running += count - (counts[i - k] if i >= k else 0)
-            window.append(running)
-        counts = window
-    return min(1.0, 2 * sum(counts) / math.factorial(n))
+    if fewer <= 1:
+        ways = (1, n)[fewer]
+    else:
+        counts = [1] + [0] * fewer
+        for k in range(2, n + 1):
+            running, window = 0, []
+            for i, count in enumerate(counts):
+                running += count - (counts[i - k] if i >= k else 0)
+                window.append(running)
+            counts = window
+        ways = sum(counts)
+    # Logarithms, because n! soon exceeds every double; exp gives 0 where the result is below the smallest one.
+    return min(1.0, math.exp(math.log(2 * ways) - math.lgamma(n + 1)))
 
 
 def t_test_p_value(r: Column, n: Column, two_pairs: Column) -> Column:

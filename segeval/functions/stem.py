@@ -1,4 +1,4 @@
-"""Porter stemming (Porter 1980, with the usual later departures) as column expressions.
+"""Porter stemming (Porter 1980, with the usual later departures), once per distinct token of a worker.
 
 Words are lower-case. A ``y`` that acts as a consonant is written ``Y`` while a
 word is being stemmed, so that every condition of the algorithm becomes a plain
@@ -7,10 +7,14 @@ regular expression over vowels and consonants.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from segeval.functions.expr import let
+# Stems that a worker remembers.
+REMEMBERED = 1 << 17
 
 _V, _C = "[aeiouy]", "[^aeiouy]"
 _MEASURE_ABOVE_0 = f"{_C}*{_V}+{_C}.*"
@@ -75,121 +79,118 @@ STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 STEP_4_AFTER_ION = ["ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
-def _rewrite(word: Column, stem: str, suffix: str, new: str, last: str = ".") -> Column:
+def _rewrite(word: str, stem: str, suffix: str, new: str, last: str = ".") -> str:
     """Replace ``suffix`` by ``new`` if what precedes it fits ``stem`` and ends in ``last``."""
-    return F.regexp_replace(word, f"^({stem})(?<={last}){suffix}$", f"$1{new}")
+    return re.sub(f"^({stem})(?<={last}){suffix}$", rf"\g<1>{new}", word)
 
 
-def _first(word: Column, rules: list[tuple[str, Column]]) -> Column:
-    """Result of the first rule whose suffix ends the word, else the word."""
-    (suffix, result), *rest = rules
-    chain = F.when(F.endswith(word, F.lit(suffix)), result)
-    for suffix, result in rest:
-        chain = chain.when(F.endswith(word, F.lit(suffix)), result)
-    return chain.otherwise(word)
+def _mark_consonant_y(word: str) -> str:
+    return re.sub("(^|[aeiou])y", r"\1Y", word).replace("yy", "yY") if "y" in word else word
 
 
-def _mark_consonant_y(word: Column) -> Column:
-    marked = F.replace(F.regexp_replace(word, "(^|[aeiou])y", "$1Y"), F.lit("yy"), F.lit("yY"))
-    return F.when(F.contains(word, F.lit("y")), marked).otherwise(word)
+def _plural(word: str) -> str:
+    if word.endswith("sses"):
+        return word[:-2]
+    if word.endswith("ies"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
 
 
-def _plural(word: Column) -> Column:
-    short = F.length(word) == 4
-    return _first(
-        word,
-        [
-            ("sses", F.regexp_replace(word, "es$", "")),
-            ("ies", F.when(short, F.regexp_replace(word, "s$", "")).otherwise(F.regexp_replace(word, "es$", ""))),
-            ("ss", word),
-            ("s", F.regexp_replace(word, "s$", "")),
-        ],
-    )
+def _repaired(stem: str) -> str:
+    if re.search("(?:at|bl|iz)$", stem):
+        return stem + "e"
+    if re.search(rf"(?:({_C})\1|yY)$", stem):
+        return re.sub("[^lsz]$", "", stem)
+    if re.search(_MEASURE_IS_1, stem) and re.search(_SHORT_END, stem):
+        return stem + "e"
+    return stem
 
 
-def _past_and_gerund(word: Column) -> Column:
-    def repair(stem: Column) -> Column:
-        return (
-            F.when(stem.rlike("(?:at|bl|iz)$"), F.concat(stem, F.lit("e")))
-            .when(stem.rlike(f"(?:({_C})\\1|yY)$"), F.regexp_replace(stem, "[^lsz]$", ""))
-            .when(stem.rlike(_MEASURE_IS_1) & stem.rlike(_SHORT_END), F.concat(stem, F.lit("e")))
-            .otherwise(stem)
-        )
+def _past_and_gerund(word: str) -> str:
+    if word.endswith("ied"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("eed"):
+        return _rewrite(word, _MEASURE_ABOVE_0, "eed", "ee")
+    for suffix in ("ed", "ing"):
+        if word.endswith(suffix):
+            stem = word[: -len(suffix)]
+            return _repaired(stem) if re.search(_V, stem) else word
+    return word
 
-    def cut(suffix: str) -> Column:
-        return let(F.regexp_replace(word, f"^(.*{_V}.*){suffix}$", "$1"), lambda s: F.when(s == word, word).otherwise(repair(s)))
 
-    ied = F.when(F.length(word) == 4, F.regexp_replace(word, "d$", "")).otherwise(F.regexp_replace(word, "ed$", ""))
-    return _first(
-        word,
-        [
-            ("ied", ied),
-            ("eed", _rewrite(word, _MEASURE_ABOVE_0, "eed", "ee")),
-            ("ed", cut("ed")),
-            ("ing", cut("ing")),
-        ],
-    )
+def _final_y(word: str) -> str:
+    return re.sub(f"^(.+{_C})y$", r"\1i", word)
 
 
-def _final_y(word: Column) -> Column:
-    return _first(word, [("y", F.regexp_replace(word, f"^(.+{_C})y$", "$1i"))])
+def _double_suffix(word: str) -> str:
+    if word[-1:] not in "ilmnrs":
+        return word
+    # "-alli" loses two letters first and is then looked at again as "-al".
+    if word.endswith("alli"):
+        word = _rewrite(word, _MEASURE_ABOVE_0, "alli", "al")
+    for suffix, new in STEP_2:
+        if word.endswith(suffix):
+            return _rewrite(word, _MEASURE_ABOVE_0, suffix, new)
+    return _rewrite(word, _MEASURE_ABOVE_0, "ogi", "og", last="l") if word.endswith("logi") else word
 
 
-def _double_suffix(word: Column) -> Column:
-    # "-alli" loses two letters first and is then looked at again as "-al".
-    once = _first(word, [("alli", _rewrite(word, _MEASURE_ABOVE_0, "alli", "al"))])
+def _third(word: str) -> str:
+    for suffix, new in STEP_3:
+        if word.endswith(suffix):
+            return _rewrite(word, _MEASURE_ABOVE_0, suffix, new)
+    return word
 
-    def rules(w: Column) -> Column:
-        table = [(s, _rewrite(w, _MEASURE_ABOVE_0, s, new)) for s, new in STEP_2]
-        return _first(w, table + [("logi", _rewrite(w, _MEASURE_ABOVE_0, "ogi", "og", last="l"))])
 
-    return F.when(word.rlike("[ilmnrs]$"), let(once, rules)).otherwise(word)
+def _fourth(word: str) -> str:
+    for suffix in (*STEP_4, "ion", *STEP_4_AFTER_ION):
+        if word.endswith(suffix):
+            return _rewrite(word, _MEASURE_ABOVE_1, suffix, "", last="[st]" if suffix == "ion" else ".")
+    return word
 
 
-def _third(word: Column) -> Column:
-    return _first(word, [(s, _rewrite(word, _MEASURE_ABOVE_0, s, new)) for s, new in STEP_3])
+def _final_e(word: str) -> str:
+    if not word.endswith("e"):
+        return word
+    stem = word[:-1]
+    short = re.search(_MEASURE_IS_1, stem) and not re.search(_SHORT_END, stem)
+    return stem if re.search(f"^{_MEASURE_ABOVE_1}", stem) or short else word
 
 
-def _fourth(word: Column) -> Column:
-    def cut(suffix: str) -> tuple[str, Column]:
-        return suffix, _rewrite(word, _MEASURE_ABOVE_1, suffix, "")
+def _double_l(word: str) -> str:
+    return _rewrite(word, _MEASURE_ABOVE_1, "l", "", last="l") if word.endswith("ll") else word
 
-    ion = ("ion", _rewrite(word, _MEASURE_ABOVE_1, "ion", "", last="[st]"))
-    return _first(word, [*map(cut, STEP_4), ion, *map(cut, STEP_4_AFTER_ION)])
 
+_STEPS = (_mark_consonant_y, _plural, _past_and_gerund, _final_y, _double_suffix, _third, _fourth, _final_e, _double_l)
 
-def _final_e(word: Column) -> Column:
-    def cut(stem: Column) -> Column:
-        long = stem.rlike(f"^{_MEASURE_ABOVE_1}")
-        return F.when(long | (stem.rlike(_MEASURE_IS_1) & ~stem.rlike(_SHORT_END)), stem).otherwise(word)
+_stems: dict[str, str] = {}
 
-    return F.when(F.endswith(word, F.lit("e")), let(F.regexp_replace(word, "e$", ""), cut)).otherwise(word)
 
+def stem_word(word: str, longer_than: int = 3) -> str:
+    """The stem of a word of more than ``longer_than`` characters; a shorter word stays."""
+    if len(word) <= max(longer_than, 2):
+        return word
+    if word not in _stems:
+        if len(_stems) >= REMEMBERED:
+            _stems.clear()
+        stem = IRREGULAR.get(word)
+        if stem is None:
+            stem = word
+            for step in _STEPS:
+                stem = step(stem)
+            stem = stem.lower()
+        _stems[word] = stem
+    return _stems[word]
 
-def _double_l(word: Column) -> Column:
-    return _first(word, [("ll", _rewrite(word, _MEASURE_ABOVE_1, "l", "", last="l"))])
+
+def stem_all(tokens: list[str], longer_than: int = 3) -> list[str]:
+    return [stem_word(t, longer_than) for t in tokens]
 
 
 def porter_stem(tokens: Column, longer_than: int = 3) -> Column:
     """Stem the tokens of an array that have more than ``longer_than`` characters."""
-    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
-
-    def stem_all(long: Column) -> Column:
-        out = F.transform(long, _mark_consonant_y)
-        for step in (_plural, _past_and_gerund, _final_y, _double_suffix, _third, _fourth, _final_e, _double_l):
-            out = F.transform(out, step)
-        return F.transform(out, lambda t: F.lower(t))
-
-    def pick(pair: Column) -> Column:
-        token = pair["token"]
-        return (
-            F.when(F.length(token) <= max(longer_than, 2), token)
-            .when(token.isin(*IRREGULAR), irregular[token])
-            .otherwise(pair["stem"])
-        )
-
-    def stems(tokens: Column) -> Column:
-        paired = F.zip_with(tokens, stem_all(tokens), lambda t, s: F.struct(t.alias("token"), s.alias("stem")))
-        return F.transform(paired, pick)
-
-    return let(tokens, stems)
+
+    @F.arrow_udf("array<string>")
+    def stems(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else stem_all(x, longer_than) for x in lists.to_pylist()], pa.list_(pa.string()))
+
+    return stems(tokens)

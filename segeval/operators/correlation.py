@@ -37,10 +37,6 @@ SUMS = (
     *("x_ties", "y_ties", "both_ties", "x_var", "y_var", "x_cube", "y_cube"),
 )
 
-# A metric of at most this many pairs is summed up in one task; larger ones are
-# binned and spread over the cluster.
-GROUP_LIMIT = 1 << 20
-
 
 def finite_pairs(scores: DataFrame, metric: str = "metric", score: str = "score", human: str = "human") -> DataFrame:
     """``(metric, x, y)`` for the rows on which both scores are finite."""
@@ -156,57 +152,12 @@ def inversion_weight(first: np.ndarray, second: np.ndarray, weight: np.ndarray,
     return total
 
 
-def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centred average ranks, and the size of every group of equal values."""
-    _, place, size = np.unique(values, return_inverse=True, return_counts=True)
-    average = np.cumsum(size) - (size - 1) / 2
-    return average[place] - (len(values) + 1) / 2, size.astype(np.float64)
-
-
-def _summed_up(frame: pd.DataFrame, discordant: bool = True) -> pd.DataFrame:
-    """All statistics and sums of one metric, from all its pairs; counting discordant ones is optional."""
-    x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
-    n = len(frame)
-    dx, dy = x - x.mean(), y - y.mean()
-    (rx, tx), (ry, ty) = _ranked(x), _ranked(y)
-    both = frame.groupby(["x", "y"], sort=False).size().to_numpy().astype(np.float64)
-    row = {"n": n, "x_min": x.min(), "x_max": x.max(), "y_min": y.min(), "y_max": y.max()}
-    row |= {"sxx": dx @ dx, "syy": dy @ dy, "sxy": dx @ dy, "rxx": rx @ rx, "ryy": ry @ ry, "rxy": rx @ ry}
-    row |= {"both_ties": both @ (both - 1) / 2}
-    for axis, t in (("x", tx), ("y", ty)):
-        row[f"{axis}_ties"] = t @ (t - 1) / 2
-        row[f"{axis}_var"] = (t * (t - 1)) @ (2 * t + 5)
-        row[f"{axis}_cube"] = (t * (t - 1)) @ (t - 2)
-    row["discordant"] = inversion_weight(x, y, np.ones(n), np.zeros(n, dtype=np.int64)) if discordant else np.nan
-    return pd.DataFrame([{"metric": frame["metric"].iloc[0], **{k: float(v) for k, v in row.items()}}])
-
-
-def _sums(scores: DataFrame, stored: bool, discordant: bool = True) -> DataFrame:
-    """``STATS``, ``SUMS`` and, if wanted, the discordant weight, one row per metric.
-
-    The scores are written once, unless they are ``stored`` already; the number
-    of pairs per metric then decides how each metric is summed up. Both ways
-    give the same sums.
-    """
-    pairs = finite_pairs(scores) if stored else materialize(finite_pairs(scores), "scores")
-    sizes = {row["metric"]: row["count"] for row in pairs.groupBy("metric").count().collect()}
-    small = [m for m, size in sizes.items() if size <= GROUP_LIMIT]
-    columns = ["metric", *STATS, *SUMS, "discordant"]
-    schema = "metric string, " + ", ".join(f"{c} double" for c in columns[1:])
-    parts = []
-    if small or not sizes:
-        groups = pairs.where(F.col("metric").isin(small)).groupBy("metric")
-        parts.append(groups.applyInPandas(lambda frame: _summed_up(frame, discordant), schema))
-    if len(small) < len(sizes):
-        binned = _weighted_pairs(pairs.where(~F.col("metric").isin(small)))
-        moments = _moments(binned)
-        parts.append(
-            moments.join(_discordant(binned), "metric") if discordant else moments.withColumn("discordant", F.lit(None).cast("double"))
-        )
-    table = parts[0].select(*columns)
-    for part in parts[1:]:
-        table = table.unionByName(part.select(*columns))
-    return table
+def _sums(scores: DataFrame, discordant: bool = True) -> DataFrame:
+    """``STATS``, ``SUMS`` and, if wanted, the discordant weight, one row per metric."""
+    binned = _weighted_pairs(finite_pairs(scores))
+    moments = _moments(binned)
+    table = moments.join(_discordant(binned), "metric") if discordant else moments.withColumn("discordant", F.lit(None).cast("double"))
+    return table.select("metric", *STATS, *SUMS, "discordant")
 
 
 def _discordant_in_bin(frame: pd.DataFrame) -> pd.DataFrame:
@@ -219,28 +170,42 @@ def _discordant_in_bin(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"metric": [frame["metric"].iloc[0]], "discordant": [total]})
 
 
+def _discordant_in_block(frame: pd.DataFrame) -> pd.DataFrame:
+    """Discordant weight between cells of one block that differ in both bins."""
+    x, y, weight = (frame[c].to_numpy() for c in ("x_bin", "y_bin", "c"))
+    total = inversion_weight(x, y, weight, np.zeros(len(frame), dtype=np.int64))
+    return pd.DataFrame({"metric": [frame["metric"].iloc[0]], "discordant": [total]})
+
+
 def _discordant(binned: DataFrame) -> DataFrame:
     """``(metric, discordant)``: weight of pairs ordered differently by the two scores.
 
     Pairs in different bins on both axes are counted from the table of bin
-    sizes; pairs that share a bin are counted bin by bin. Bins of one value
-    hold no discordant pair on their own axis.
+    sizes, block by block of the first axis: sums over the blocks to the right
+    for cells of different blocks, and a count over the cells of one block. Pairs
+    that share a bin are counted bin by bin. Bins of one value hold no discordant
+    pair on their own axis.
     """
     cells = binned.groupBy("metric", "x_bin", "y_bin").agg(F.sum("w").alias("c"))
     size = cells.groupBy("metric").agg(F.max("x_bin").alias("x_last"), F.max("y_bin").alias("y_last"))
+    # As many blocks as bins in a block: the grid of blocks and bins stays far below that of all bins.
+    size = size.withColumn("width", F.ceil(F.sqrt(F.col("x_last") + 1)).cast("int"))
+    cells = materialize(
+        cells.join(size.select("metric", "width"), "metric").withColumn("block", F.floor(F.col("x_bin") / F.col("width")).cast("int")), "cells"
+    )
+    sums = cells.groupBy("metric", "block", "y_bin").agg(F.sum("c").alias("c"))
+    last_block = F.floor(F.col("x_last") / F.col("width")).cast("int")
     grid = (
-        size.select("metric", "y_last", F.explode(F.sequence(F.lit(0), "x_last")).alias("x_bin"))
-        .select("metric", "x_bin", F.explode(F.sequence(F.lit(0), "y_last")).alias("y_bin"))
-        .join(cells, ["metric", "x_bin", "y_bin"], "left")
+        size.select("metric", "y_last", F.explode(F.sequence(F.lit(0), last_block)).alias("block"))
+        .select("metric", "block", F.explode(F.sequence(F.lit(0), "y_last")).alias("y_bin"))
+        .join(sums, ["metric", "block", "y_bin"], "left")
         .withColumn("c", F.coalesce("c", F.lit(0.0)))
     )
-    lower = Window.partitionBy("metric", "x_bin").orderBy("y_bin").rowsBetween(Window.unboundedPreceding, -1)
-    right = Window.partitionBy("metric", "y_bin").orderBy(F.desc("x_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    across = (
-        grid.withColumn("below", F.sum("c").over(lower))
-        .withColumn("below_right", F.sum("below").over(right))
-        .select("metric", (F.col("c") * F.coalesce("below_right", F.lit(0.0))).alias("discordant"))
-    )
+    lower = Window.partitionBy("metric", "block").orderBy("y_bin").rowsBetween(Window.unboundedPreceding, -1)
+    right = Window.partitionBy("metric", "y_bin").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    below = grid.withColumn("below", F.sum("c").over(lower)).withColumn("below_right", F.sum("below").over(right))
+    across = below.select("metric", (F.col("c") * F.coalesce("below_right", F.lit(0.0))).alias("discordant"))
+    in_block = cells.groupBy("metric", "block").applyInPandas(_discordant_in_block, "metric string, discordant double")
     one_axis = F.explode(
         F.array(
             F.struct(F.lit("x").alias("axis"), F.col("x_bin").alias("bin"), F.col("x").alias("own"), F.col("y").alias("cross"), F.lit(-1).alias("other")),
@@ -254,7 +219,7 @@ def _discordant(binned: DataFrame) -> DataFrame:
         .groupBy("metric", "axis", "bin")
         .applyInPandas(_discordant_in_bin, "metric string, discordant double")
     )
-    return across.unionByName(within).groupBy("metric").agg(F.sum("discordant").alias("discordant"))
+    return across.unionByName(in_block).unionByName(within).groupBy("metric").agg(F.sum("discordant").alias("discordant"))
 
 
 def _spearman_column() -> Column:
@@ -284,27 +249,27 @@ def _kendall_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def spearman(scores: DataFrame, stored: bool = False) -> DataFrame:
+def spearman(scores: DataFrame) -> DataFrame:
     """``(metric, n, spearman)``: Pearson's coefficient of the average ranks."""
-    sums = _sums(scores, stored, discordant=False)
+    sums = _sums(scores, discordant=False)
     return sums.select("metric", F.col("n").cast("long").alias("n"), _spearman_column().alias("spearman"))
 
 
-def kendall(scores: DataFrame, stored: bool = False) -> DataFrame:
+def kendall(scores: DataFrame) -> DataFrame:
     """``(metric, n, discordant, kendall, kendall_z)``: tau-b and its normal deviate."""
-    return _kendall_columns(_sums(scores, stored)).select(
+    return _kendall_columns(_sums(scores)).select(
         "metric", F.col("n").cast("long").alias("n"), F.col("discordant").cast("long").alias("discordant"), "kendall", "kendall_z"
     )
 
 
-def correlations(scores: DataFrame, metrics: DataFrame | None = None, stored: bool = False) -> DataFrame:
+def correlations(scores: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """All three coefficients and their p-values, one row per metric.
 
     ``metrics`` (a column ``metric``) lists metrics that must appear even if
-    they have no usable pair; their values are NULL. ``stored`` says that
-    ``scores`` comes from a written table, so that reading it again is cheap.
+    they have no usable pair; their values are NULL. The distinct pairs are
+    written and binned when this is called.
     """
-    table = _kendall_columns(_sums(scores, stored))
+    table = _kendall_columns(_sums(scores))
     untied = (F.col("x_ties") == 0) & (F.col("y_ties") == 0)
     result = table.select(
         "metric",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segeval.functions.judging import extract_score, render_prompt
+from segeval.scratch import materialize
 
 MODES = ("reference_based", "reference_free")
 RESULT_SCHEMA = (
@@ -112,6 +113,33 @@ def join_results(df: DataFrame, results: DataFrame, mode: str, row_id: str = "ro
     )
 
 
+def without_results(df: DataFrame, results: DataFrame, mode: str, row_id: str = "row_id", retry: bool = False) -> DataFrame:
+    """Rows that no stored result belongs to, to go on from an interrupted run. ``retry`` counts succeeded results only."""
+    stored = results.where("status = 'succeeded'") if retry else results
+    done = stored.select(result_row_id(F.col("custom_id"), mode).alias(row_id)).where(F.col(row_id).isNotNull())
+    return df.join(done.distinct(), row_id, "left_anti")
+
+
+def join_and_fill(df: DataFrame, results: DataFrame, sent: DataFrame, mode: str, row_id: str = "row_id") -> DataFrame:
+    """``join_results`` for the rows that were ``sent``; the other rows get the mean of those scores.
+
+    A sent row without a result scores 0 with status ``missing``, and that counts
+    in the mean; a row that was not sent has the status ``not_sent`` and
+    ``is_imputed``. ``sent`` holds row ids. The joined scores are written when
+    this is called.
+    """
+    ids = sent.select(row_id).distinct()
+    scored = materialize(join_results(ids, results, mode, row_id), "judge-scores")
+    mean = scored.agg(F.avg("score")).scalar()
+    joined = df.join(scored.withColumnsRenamed({"score": "__score", "status": "__status"}), row_id, "left")
+    return joined.select(
+        *df.columns,
+        F.coalesce("__score", mean).alias("score"),
+        F.coalesce("__status", F.lit("not_sent")).alias("status"),
+        F.isnull("__status").alias("is_imputed"),
+    )
+
+
 def progress(results: DataFrame) -> DataFrame:
     """One row: results by status, their total, and the percentage that succeeded."""
     counts = results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from segeval.functions import text
 from segeval.functions.expr import let
 from segeval.functions.ngrams import character_matches, word_matches
-from segeval.functions.sequence import lcs_length, word_edits
-from segeval.functions.stem import porter_stem
+from segeval.functions.sequence import edit_rate, overlap_f1
 
 # N-gram orders and the recall weight of the two n-gram metrics.
 BLEU_ORDERS = 4
@@ -82,14 +81,8 @@ def chrf_plus_plus(hypothesis: Column, reference: Column) -> Column:
 
 def word_edit_rate(hypothesis: Column, reference: Column) -> Column:
     """Word edits per 100 reference words, without block moves."""
-    tokens = F.struct(text.edit_words(hypothesis).alias("h"), text.edit_words(reference).alias("r"))
-
-    def rate(t: Column) -> Column:
-        words = F.size(t["r"])
-        no_reference = F.when(F.size(t["h"]) > 0, 100.0).otherwise(0.0)
-        return F.when(words == 0, no_reference).otherwise(100.0 * word_edits(t["h"], t["r"]) / words)
-
-    return F.when(_present(hypothesis, reference), let(tokens, rate))
+    rate = edit_rate(text.edit_words(hypothesis), text.edit_words(reference))
+    return F.when(_present(hypothesis, reference), rate)
 
 
 def word_edit_score(hypothesis: Column, reference: Column) -> Column:
@@ -104,11 +97,5 @@ def word_edit_score(hypothesis: Column, reference: Column) -> Column:
 def rouge_l(hypothesis: Column, reference: Column, stem: bool = True, unicode_tokens: bool = False) -> Column:
     """ROUGE-L F1, 0 to 1: longest common subsequence of alphanumeric tokens."""
 
-    def score(t: Column) -> Column:
-        hyp, ref = F.size(t[0]), F.size(t[1])
-        return F.when((hyp == 0) | (ref == 0), 0.0).otherwise(2.0 * lcs_length(t[0], t[1]) / (hyp + ref))
-
-    pair = F.array(*[text.rouge_words(t, unicode_tokens) for t in (hypothesis, reference)])
-    if stem:
-        pair = F.transform(pair, lambda tokens: porter_stem(tokens))
-    return F.when(_present(hypothesis, reference), let(pair, score))
+    words = [text.rouge_words(t, unicode_tokens) for t in (hypothesis, reference)]
+    return F.when(_present(hypothesis, reference), overlap_f1(*words, stem))

@@ -18,13 +18,17 @@ from segeval.functions.expr import let
 from segeval.operators.skew import spread_lane
 from segeval.scratch import materialize
 
-MAX_BINS = 4096
+# Most bins per group and column; beyond MAX_BINS * ROWS_PER_BIN rows, bins grow with the data.
+MAX_BINS = 16384
 MIN_BINS = 8
 ROWS_PER_BIN = 1 << 17
-# Up to this many distinct values the built-in exact percentile is used in one buffer.
-PERCENTILE_LIMIT = 1 << 20
-# Up to here the first rows are found by a bounded top-n over the order column alone.
-TOP_N_LIMIT = 1 << 20
+# Tables of cuts and offsets up to this size are broadcast; larger ones are joined.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Marked for broadcast if its size, known from the number of bins, is small enough."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 @dataclass
@@ -34,6 +38,7 @@ class Cuts:
     table: DataFrame
     columns: tuple[str, ...]
     longest: int
+    groups: int
 
 
 def find_cuts(df: DataFrame, group: str, columns: tuple[str, ...], extra: dict[str, Column] | None = None) -> Cuts:
@@ -41,10 +46,10 @@ def find_cuts(df: DataFrame, group: str, columns: tuple[str, ...], extra: dict[s
 
     They go through the driver: one row per group and at most ``MAX_BINS``
     values per column, so ``group`` must be a small set such as metric names.
+    ``df`` should be a written table: its rows are counted first.
     """
     extra = extra or {}
-    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    bins = min(MAX_BINS, max(MIN_BINS, -(-largest // ROWS_PER_BIN)))
+    bins = min(MAX_BINS, max(MIN_BINS, -(-df.count() // ROWS_PER_BIN)))
     shares = F.lit([i / bins for i in range(1, bins)]).cast("array<double>")
     aggregates = [F.percentile_approx(c, shares, max(1000, 8 * bins)).alias(c) for c in columns]
     aggregates += [expr.alias(name) for name, expr in extra.items()]
@@ -58,7 +63,7 @@ def find_cuts(df: DataFrame, group: str, columns: tuple[str, ...], extra: dict[s
     fields += [T.StructField(f"__cuts_{c}", T.ArrayType(T.DoubleType())) for c in columns]
     fields += [grouped.schema[name] for name in extra]
     table = df.sparkSession.createDataFrame(rows, T.StructType(fields))
-    return Cuts(table, tuple(columns), longest)
+    return Cuts(table, tuple(columns), longest, len(rows))
 
 
 def _bin(value: Column, cuts: Column, longest: int) -> Column:
@@ -74,7 +79,7 @@ def _bin(value: Column, cuts: Column, longest: int) -> Column:
 
 def assign_bins(df: DataFrame, cuts: Cuts, group: str) -> DataFrame:
     """Add ``<column>_bin`` for every cut column, and the per-group statistics."""
-    joined = df.join(F.broadcast(cuts.table), group)
+    joined = df.join(small_side(cuts.table, cuts.groups * len(cuts.columns) * max(1, cuts.longest), 8), group)
     bins = [_bin(F.col(c), F.col(f"__cuts_{c}"), cuts.longest).alias(f"{c}_bin") for c in cuts.columns]
     kept = [c for c in joined.columns if not c.startswith("__cuts_")]
     return joined.select(*kept, *bins)
@@ -99,8 +104,8 @@ def add_rank(binned: DataFrame, group: str, column: str, weight: str) -> DataFra
     through = F.sum(weight).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     tied = F.sum(weight).over(Window.partitionBy(group, bin_, "__lane", column))
     ranked = lanes.select(*binned.columns, through.alias("__through"), tied.alias("__tied"))
-    # At most 2 * MAX_BINS + 1 rows per group.
-    placed = ranked.join(F.broadcast(offsets), [group, bin_])
+    # Spark sees the size of the offsets when they are there, and broadcasts them if they are small.
+    placed = ranked.join(offsets, [group, bin_])
     return placed.select(
         *binned.columns,
         (F.col("__offset") + F.when(single, 0).otherwise(F.col("__through") - F.col("__tied"))).alias(f"{column}_before"),
@@ -122,16 +127,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """One row with the linearly interpolated quantiles of a column, NULL and NaN skipped.
 
-    A column with few distinct values uses the built-in aggregate. Otherwise the
-    value at each needed position is found through exact cumulative counts, so
-    no task ever holds all values.
+    The value at each needed position is found through exact cumulative counts,
+    so no task ever holds all values. The distinct values are written and their
+    cuts found when this is called.
     """
-    counts = value_counts(df, column)
-    distinct = df.agg(F.approx_count_distinct(column)).first()[0]
-    if distinct <= PERCENTILE_LIMIT:
-        values = counts.agg(F.percentile("value", F.lit(list(shares.values())), F.col("weight")).alias("q"))
-        return values.select(*[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(shares)])
-    counts = materialize(counts, "value-counts")
+    counts = materialize(value_counts(df, column), "value-counts")
     cuts = find_cuts(counts, "grp", ("value",), {"n": F.sum("weight")})
     ranked = add_rank(assign_bins(counts, cuts, "grp"), "grp", "value", "weight")
 
@@ -158,14 +158,21 @@ def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> Dat
 def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
     """The ``n`` rows with the smallest values of ``order``, a unique numeric row id.
 
-    Only the id column is ordered; texts stay where they are and are filtered by
-    the id of the last row kept.
+    Ids are counted in bins first, and only the bin that holds the last row kept
+    is looked at by value, so no task ever orders more than a bin. Texts stay
+    where they are and are filtered by the id of that row. Runs three jobs over
+    the ids when it is called.
     """
-    ids = df.select(F.col(order).cast("long").alias("value"))
-    if n <= TOP_N_LIMIT:
-        last = ids.orderBy("value").limit(n).agg(F.max("value").alias("last"))
-    else:
-        rows = ids.select(F.lit("all").alias("grp"), F.col("value").cast("double"), F.col("value").alias("id"), F.lit(1).alias("weight"))
-        ranked = add_rank(assign_bins(rows, find_cuts(rows, "grp", ("value",)), "grp"), "grp", "value", "weight")
-        last = ranked.where(F.col("value_before") < n).agg(F.max("id").alias("last"))
-    return df.where(F.col(order) <= last.scalar())
+    key = F.col(order).cast("long")
+    # Bins of doubles: casting keeps the order, so a bin's ids are a range.
+    ids = df.select(F.lit("all").alias("grp"), key.cast("double").alias("value"), key.alias("id")).where("id is not null")
+    cuts = find_cuts(ids, "grp", ("value",))
+    binned = assign_bins(ids, cuts, "grp")
+    left = n
+    for row in sorted(binned.groupBy("value_bin").count().collect()):
+        if row["count"] >= left:
+            within = binned.where(F.col("value_bin") == row["value_bin"]).orderBy("id").limit(max(left, 1))
+            last = within.agg(F.max("id")).first()[0]
+            return df.where((F.col(order) <= last) & F.lit(n > 0))
+        left -= row["count"]
+    return df

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segeval.functions.expr import nan_to_null
-from segeval.operators.skew import HOT_KEYS, join_by_hot_key, most_frequent
+from segeval.operators.skew import join_written
+from segeval.scratch import materialize
 
 TEXT_COLUMNS = ("sourceText", "targetText", "referenceText")
 RATED_COLUMNS = ("score", "item_id", "createdBy_id", "sourceText", "targetText", "targetID")
@@ -29,25 +30,23 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 def join_ratings(ratings: DataFrame, text_pairs: DataFrame) -> DataFrame:
     """Inner join of rating rows to the text pair they rate (``item_id = id``)."""
     pairs = text_pairs.select(F.col("id").alias("item_id"), "sourceText", "targetText", "targetID")
-    rated = join_by_hot_key(
-        ratings.select("score", "item_id", "createdBy_id"), pairs, "item_id", most_frequent(ratings, "item_id")
-    )
-    return rated.select(*RATED_COLUMNS)
+    return ratings.select("score", "item_id", "createdBy_id").join(pairs, "item_id").select(*RATED_COLUMNS)
+
+
+def _text_key(text: str) -> Column:
+    return F.sha2(F.col(text), 256)
 
 
 def latest_references(references: DataFrame, key: str = "en", value: str = "ka", position: str = "pos") -> DataFrame:
-    """One reference per source text; of several, the one at the highest position."""
+    """``__text, __found, referenceText``: one reference per digest of a source text; of several, the one at the highest position."""
     return (
         references.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("sourceText"))
-        .agg(F.max_by(value, position).alias("referenceText"))
+        .select(_text_key(key).alias("__text"), F.col(value).alias("referenceText"), F.col(position).alias("__position"))
+        .groupBy("__text")
+        .agg(F.lit(True).alias("__found"), F.max_by("referenceText", "__position").alias("referenceText"))
     )
 
 
-def _text_key(text: str) -> Column:
-    return F.sha2(F.col(text), 256)
-
-
 def add_reference(
     pairs: DataFrame,
     references: DataFrame,
@@ -62,11 +61,8 @@ def add_reference(
     row is read; otherwise it gets NULL. Texts are matched by their digest, so
     the shuffle key stays short.
     """
-    looked_up = latest_references(references, key, value, position).select(
-        _text_key("sourceText").alias("__text"), F.lit(True).alias("__found"), "referenceText"
-    )
     keyed = pairs.withColumn("__text", _text_key("sourceText"))
-    joined = join_by_hot_key(keyed, looked_up, "__text", most_frequent(keyed, "__text"), "left")
+    joined = join_written(keyed, latest_references(references, key, value, position), "__text", "left", "references")
     reference = F.col("referenceText")
     if strict:
         unknown = F.concat(
@@ -78,9 +74,10 @@ def add_reference(
 
 def missing_references(pairs: DataFrame, references: DataFrame, key: str = "en") -> DataFrame:
     """Distinct source texts of ``pairs`` that have no reference, with their row counts."""
-    wanted = pairs.groupBy("sourceText").agg(F.count("*").alias("n_rows"))
-    known = references.where(F.col(key).isNotNull()).select(F.col(key).alias("sourceText")).distinct()
-    return wanted.join(known, "sourceText", "left_anti")
+    keyed = pairs.withColumn("__text", _text_key("sourceText"))
+    wanted = keyed.groupBy("__text").agg(F.first("sourceText").alias("sourceText"), F.count("*").alias("n_rows"))
+    known = references.where(F.col(key).isNotNull()).select(_text_key(key).alias("__text")).distinct()
+    return wanted.join(known, "__text", "left_anti").select("sourceText", "n_rows")
 
 
 def drop_null_texts(df: DataFrame, columns=TEXT_COLUMNS) -> DataFrame:
@@ -106,15 +103,12 @@ def rater_stats(df: DataFrame, rater: str = "createdBy_id", score: str = "score"
     )
 
 
-def _largest(stats: DataFrame, rater: str) -> DataFrame:
-    return stats.orderBy(F.desc("n_rows"), rater).limit(HOT_KEYS).select(rater)
-
-
 def keep_active_raters(df: DataFrame, at_least: int, rater: str = "createdBy_id") -> DataFrame:
-    """Rows of raters with at least ``at_least`` rows; rows without a rater go."""
+    """Rows of raters with at least ``at_least`` rows; rows without a rater go. No such rater is an error."""
     counts = df.where(F.col(rater).isNotNull()).groupBy(rater).agg(F.count("*").alias("n_rows"))
-    kept = counts.where(F.col("n_rows") >= at_least)
-    return join_by_hot_key(df, kept, rater, _largest(kept, rater)).select(*df.columns)
+    kept = materialize(counts.where(F.col("n_rows") >= at_least).select(rater), "raters")
+    require_rows(kept, f"no rater has at least {at_least} rows")
+    return df.join(kept, rater, "left_semi").select(*df.columns)
 
 
 def standardize_by_rater(
@@ -127,12 +121,14 @@ def standardize_by_rater(
     """Drop raters with fewer than ``at_least`` rows and z-score the rest within each rater.
 
     A rater whose scores are all equal gets 0.0; a rater with one row or one
-    score gets NULL. Without a rater column the score is passed through.
+    score gets NULL. Without a rater column the score is passed through. No rater
+    left is an error. The statistics are written when this is called.
     """
     if rater not in df.columns:
         return df.withColumn(output, nan_to_null(F.col(score)))
-    stats = rater_stats(df, rater, score).where(F.col("n_rows") >= at_least)
-    joined = join_by_hot_key(df, stats, rater, _largest(stats, rater))
+    stats = materialize(rater_stats(df, rater, score).where(F.col("n_rows") >= at_least), "rater-stats")
+    require_rows(stats, f"no rater has at least {at_least} rows")
+    joined = df.join(stats, rater)
     value = nan_to_null(F.col(score))
     z = (
         F.when(F.col("n_scores") < 2, F.lit(None).cast("double"))

@@ -69,11 +69,12 @@ def add_scores(
     hypothesis: str = "targetText",
     reference: str = "referenceText",
     source: str = "sourceText",
-    spread: bool = True,
+    spread: bool = False,
 ) -> DataFrame:
     """Add one ``<metric>_score`` column per metric; all metrics share one pass over the texts.
 
-    Rows are spread first unless ``spread`` is off, for input that is balanced already.
+    Rows are scored where they are. ``spread`` shuffles them, texts included, first; that is for input in a few
+    partitions only, whose texts cost more to score than to move.
     """
     if spread:
         df = spread_rows(df)

@@ -1,22 +1,14 @@
-"""Equi-joins that stay balanced when a few keys hold most of the rows."""
+"""Joins and windows that stay balanced when a few keys hold most of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot, which bounds what is broadcast.
-HOT_KEYS = 128
-# Rows of a hot key are spread over this many shuffle groups.
-SPREAD = 512
-
-_HIT, _LANE, _SMALL_LANE, _VALUES = "__hit", "__lane", "__small_lane", "__values"
+from segeval.scratch import materialize
 
-
-def most_frequent(df: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
-    """The ``limit`` most frequent non-null values of ``key``, one row each."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    return counts.orderBy(F.desc("count"), key).limit(limit).select(key)
+# Rows of a hot group are spread over this many shuffle groups.
+SPREAD = 512
 
 
 def spread_lane(columns: list[str]) -> Column:
@@ -24,31 +16,12 @@ def spread_lane(columns: list[str]) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SPREAD)).cast("int") + 1
 
 
-def join_by_hot_key(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """Join ``big`` to ``small``, which holds one row per ``key``.
+def join_written(big: DataFrame, small: DataFrame, key: str, how: str = "inner", name: str = "lookup") -> DataFrame:
+    """Join ``big`` to ``small``, an aggregate with one row per ``key`` that is written first.
 
-    ``hot`` lists at most ``HOT_KEYS`` keys. Their rows meet a broadcast copy of
-    the matching ``small`` rows where they are; afterwards they only pass
-    through the shuffle join, spread over many lanes instead of one partition.
-    Every other row is matched there. The list affects balance, never the result.
+    Spark then knows the size of ``small`` and broadcasts it only if that is below
+    the session's threshold. Otherwise both sides are shuffled by nothing but the
+    join, which lets adaptive execution split the partition of a hot key; an
+    aggregate joined in place would forbid that. ``small`` is also computed once only.
     """
-    values = [c for c in small.columns if c != key]
-    packed = small.select(key, F.struct(F.lit(True).alias(_HIT), *values).alias(_VALUES))
-    near = packed.join(F.broadcast(hot), key, "left_semi")
-    tagged = big.join(F.broadcast(near.withColumnRenamed(_VALUES, "__near")), key, "left")
-    tagged = tagged.withColumn(
-        _LANE, F.when(F.col("__near").isNull() & F.col(key).isNotNull(), 0).otherwise(spread_lane(big.columns))
-    )
-    # Lane 0 is computed from the key: a literal would be folded out of the join
-    # keys, and the hot rows would meet in one partition after all.
-    lane_0 = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
-    far = packed.select(F.col(key).alias("__far_key"), F.col(_VALUES).alias("__far"), lane_0.alias(_SMALL_LANE))
-    joined = tagged.join(
-        far, (F.col(key) == F.col("__far_key")) & (F.col(_LANE) == F.col(_SMALL_LANE)), "left"
-    )
-    merged = joined.withColumn(_VALUES, F.coalesce("__near", "__far"))
-    if how == "inner":
-        merged = merged.where(F.col(f"{_VALUES}.{_HIT}"))
-    elif how != "left":
-        raise ValueError(f"unsupported join type: {how}")
-    return merged.select(*big.columns, *[F.col(f"{_VALUES}.{c}").alias(c) for c in values])
+    return big.join(materialize(small, name), key, how)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segeval.functions.expr import score_column
 from segeval.functions.significance import significance_class
 from segeval.operators.correlation import COEFFICIENTS, correlations
 from segeval.operators.profile import metric_summary
 from segeval.operators.ranking import average_correlation, with_ordinal
-from segeval.operators.ratings import TEXT_COLUMNS, drop_null_texts, standardize_by_rater
-from segeval.operators.scoring import add_scores, scores_long, select_metrics, widen_scores
+from segeval.operators.ratings import TEXT_COLUMNS, drop_null_texts, require_rows, standardize_by_rater
+from segeval.operators.scoring import add_scores, scores_long, select_metrics
 from segeval.scratch import materialize
 from segeval.sources.csv import write_csv
 from segeval.sources.scores import write_summary
@@ -23,12 +26,13 @@ HUMAN_DIGITS = 12
 
 @dataclass
 class Evaluation:
-    """Results of a run. ``scores`` is written to the scratch folder, the rest is lazy."""
+    """Results of a run. ``scores`` is written to the scratch folder; ``failed`` has the error of each metric left out."""
 
     metrics: list[str]
     scores: DataFrame
     correlations: DataFrame
     summary: DataFrame
+    failed: dict[str, str] = field(default_factory=dict)
 
     def report(self) -> DataFrame:
         """One row per metric: coefficients, p-values, their average and the significance class."""
@@ -42,8 +46,8 @@ class Evaluation:
 
     def wide(self) -> DataFrame:
         """``(row_id, human_score, <metric>_score ...)``."""
-        human = self.scores.groupBy("row_id").agg(F.first("human").alias("human_score"))
-        return human.join(widen_scores(self.scores, self.metrics), "row_id")
+        of_metric = [F.first(F.when(F.col("metric") == m, F.col("score")), ignorenulls=True).alias(score_column(m)) for m in self.metrics]
+        return self.scores.groupBy("row_id").agg(F.first("human").alias("human_score"), *of_metric)
 
     def save(self, data_path: str, summary_path: str, available: list[str]) -> None:
         """Write the wide table as CSV and the summary as JSON, to two separate paths."""
@@ -51,22 +55,58 @@ class Evaluation:
         write_summary(self.correlations, self.summary, available, self.metrics, summary_path)
 
 
+def _written_scores(texts: DataFrame, human: DataFrame, names: list[str], spread: bool) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """Long scores with the human ones, the metrics that worked, and the errors of the others.
+
+    All metrics share one pass over the texts. If it fails, each metric gets a
+    pass of its own, and one that fails again is reported and left out.
+    """
+
+    def written(some: list[str]) -> DataFrame:
+        # Texts stay where they are; ids and scores alone are shuffled to meet the human scores.
+        scored = add_scores(texts, some, spread=spread).drop(*TEXT_COLUMNS)
+        return materialize(scores_long(scored.join(human, "row_id"), some, ["row_id", "human"]), "metric-scores")
+
+    try:
+        return written(names), names, {}
+    except PySparkException as error:
+        if len(names) == 1:
+            raise ValueError(f"no metric could be scored; {names[0]}: {error}") from error
+    parts, failed = {}, {}
+    for name in names:
+        try:
+            parts[name] = written([name])
+        except PySparkException as error:
+            failed[name] = str(error)
+            warnings.warn(f"{name} failed and is left out: {error}", stacklevel=3)
+    if not parts:
+        raise ValueError(f"no metric could be scored: {failed}")
+    first, *others = parts.values()
+    for part in others:
+        first = first.unionByName(part)
+    return first, list(parts), failed
+
+
 def evaluate(
     rated: DataFrame,
     metrics: list[str] | None = None,
     at_least: int = 5,
     extra_scores: DataFrame | None = None,
     extra_metrics: tuple[str, ...] = (),
+    spread: bool = False,
 ) -> Evaluation:
     """Standardise ratings per rater, score all rows, and correlate each metric with the ratings.
 
     ``rated`` has a unique ``row_id``, ``score``, the three texts and usually
     ``createdBy_id``. ``extra_scores`` holds ``(row_id, metric, score)`` of the
-    ``extra_metrics``, computed elsewhere, such as judge or model scores.
+    ``extra_metrics``, computed elsewhere, such as judge or model scores. A metric
+    that fails is reported and left out; no rater, no complete row or no metric
+    left is an error. ``spread`` shuffles the texts before they are scored, for
+    input in a few partitions only.
     """
     names = select_metrics(metrics)
     # Raters are judged by all their rows, also those whose texts are incomplete.
-    # Only ids and scores are shuffled for that; texts are moved once, to be scored.
+    # Only ids and scores are shuffled for that.
     ids = [c for c in ("row_id", "createdBy_id", "score") if c in rated.columns]
     human = standardize_by_rater(rated.select(*ids), at_least).select(
         "row_id",
@@ -75,14 +115,13 @@ def evaluate(
         F.round("standardized_score", HUMAN_DIGITS).alias("human"),
     )
     texts = drop_null_texts(rated.select("row_id", *TEXT_COLUMNS))
-    scored = add_scores(texts, names).drop(*TEXT_COLUMNS).join(human, "row_id")
-    scores = scores_long(scored, names, ["row_id", "human"])
+    scores, names, failed = _written_scores(texts, materialize(human, "human-scores"), names, spread)
+    require_rows(scores, "no row has all texts and a rater who is kept")
     if extra_scores is not None:
         extra = extra_scores.where(F.col("metric").isin(*extra_metrics)).select("row_id", "metric", "score")
         scores = scores.unionByName(human.join(extra, "row_id").select(*scores.columns))
+        scores = materialize(scores, "metric-scores")
         names = names + [m for m in extra_metrics if m not in names]
-    # Scoring is the costly step; all results below read its written scores.
-    scores = materialize(scores, "metric-scores")
     listed = scores.sparkSession.createDataFrame([(m,) for m in names], "metric string")
-    table = with_ordinal(correlations(scores, listed, stored=True), names)
-    return Evaluation(names, scores, table, metric_summary(scores))
+    table = with_ordinal(correlations(scores, listed), names)
+    return Evaluation(names, scores, table, metric_summary(scores), failed)

@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segeval.operators.ratings import join_ratings
 
-# Names of the two tables in the rating database.
-RATINGS_TABLE = '"EvalData_directassessmentresult"'
-PAIRS_TABLE = '"EvalData_textpair"'
-
 
 def read_table(
     spark: SparkSession, url: str, table: str, columns: list[str], split_by: str, properties: dict[str, str], partitions: int = 32
@@ -28,11 +24,16 @@ def read_rated_pairs(
     spark: SparkSession,
     url: str,
     properties: dict[str, str],
-    ratings_table: str = RATINGS_TABLE,
-    pairs_table: str = PAIRS_TABLE,
+    ratings_table: str,
+    pairs_table: str,
+    rating_key: str = "id",
     partitions: int = 32,
 ) -> DataFrame:
-    """Ratings with the texts they rate; both tables are read in parallel and joined in Spark."""
-    ratings = read_table(spark, url, ratings_table, ["score", "item_id", "createdBy_id"], "item_id", properties, partitions)
+    """Ratings with the texts they rate; both tables are read in parallel and joined in Spark.
+
+    Ratings are split by ``rating_key``, their numeric row key: ranges of the rated
+    item would put all ratings of a popular item into one task.
+    """
+    ratings = read_table(spark, url, ratings_table, ["score", "item_id", "createdBy_id"], rating_key, properties, partitions)
     pairs = read_table(spark, url, pairs_table, ["id", "sourceText", "targetText", "targetID"], "id", properties, partitions)
     return join_ratings(ratings, pairs)

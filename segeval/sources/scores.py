@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from segeval.functions.expr import nan_to_null
+from segeval.scratch import materialize
 
-# Longest list that goes into one JSON record.
-LIST_LIMIT = 5_000_000
-SCORE_FILE_SCHEMA = "metric_name string, scores array<double>, num_samples bigint"
+SCORE_FILE_SCHEMA = "metric_name string, scores array<double>, num_samples bigint, offset bigint"
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
@@ -26,24 +25,27 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_score_files(scores: DataFrame, path: str, key: str = "row_id") -> None:
-    """One JSON record per metric with its scores in key order.
+    """JSON files of one record each: scores of a metric in key order, with the ``offset`` of the first one.
 
-    The format holds a metric in a single list, so longer ones are refused;
-    ``write_scores`` has no limit.
+    A metric that fits one range of keys is one record with the offset 0; a
+    larger one is several records, so no task holds more than its range. The
+    ranges are written to the scratch folder when this is called.
     """
-    longest = scores.groupBy("metric").count().agg(F.max("count")).first()[0] or 0
-    if longest > LIST_LIMIT:
-        raise ValueError(f"a metric has {longest} scores, more than {LIST_LIMIT}; use write_scores")
-    listed = scores.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct(key, "score"))).alias("s"))
-    listed.select(
+    ranged = scores.select("metric", key, "score").repartitionByRange("metric", key).withColumn("part", F.spark_partition_id())
+    listed = materialize(ranged, "ranges").groupBy("metric", "part").agg(F.sort_array(F.collect_list(F.struct(key, "score"))).alias("s"))
+    sized = materialize(listed.withColumn("n", F.size("s").cast("bigint")), "lists")
+    before = F.sum("n").over(Window.partitionBy("metric").orderBy("part")) - F.col("n")
+    offsets = sized.select("metric", "part", before.alias("offset"))
+    sized.join(offsets, ["metric", "part"]).select(
         F.col("metric").alias("metric_name"),
         F.transform("s", lambda e: e["score"]).alias("scores"),
-        F.size("s").cast("bigint").alias("num_samples"),
-    ).write.option("ignoreNullFields", False).json(path)
+        F.col("n").alias("num_samples"),
+        "offset",
+    ).write.option("ignoreNullFields", False).option("maxRecordsPerFile", 1).json(path)
 
 
 def read_score_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """``(metric, row_id, score)`` from JSON score files; ``row_id`` is the position in the list.
+    """``(metric, row_id, score)`` from JSON score files; ``row_id`` is the position in the list, after the record's offset if it has one.
 
     A file that cannot be read leaves its metric out.
     """
@@ -54,9 +56,9 @@ def read_score_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         except AnalysisException as error:
             warnings.warn(f"no scores for {metric}: {error}", stacklevel=2)
             continue
-        listed = file.select(F.posexplode("scores").alias("row_id", "score"))
+        listed = file.select(F.coalesce("offset", F.lit(0)).alias("offset"), F.posexplode("scores").alias("position", "score"))
         table = table.unionByName(
-            listed.select(F.lit(metric).alias("metric"), F.col("row_id").cast("bigint"), nan_to_null(F.col("score")).alias("score"))
+            listed.select(F.lit(metric).alias("metric"), (F.col("offset") + F.col("position")).alias("row_id"), nan_to_null(F.col("score")).alias("score"))
         )
     return table
 

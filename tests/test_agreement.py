@@ -51,10 +51,9 @@ def long_table(spark, samples):
     return spark.createDataFrame(rows, "metric string, score double, human double")
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 260, 0], ids=["one task per metric", "mixed", "binned"])
-def test_coefficients_equal_brute_force(long_table, samples, monkeypatch, limit):
-    monkeypatch.setattr(correlation, "GROUP_LIMIT", limit)
-    monkeypatch.setattr(order, "ROWS_PER_BIN", 40)
+@pytest.mark.parametrize("rows_per_bin", [40, 1 << 17], ids=["many bins", "few bins"])
+def test_coefficients_equal_brute_force(long_table, samples, monkeypatch, rows_per_bin):
+    monkeypatch.setattr(order, "ROWS_PER_BIN", rows_per_bin)
     got = {r.metric: r for r in correlations(long_table.repartition(3)).collect()}
     pairs = {r.metric: r for r in kendall(long_table).collect()}
     assert set(got) == set(samples)
@@ -136,9 +135,7 @@ def test_spearman_ignores_monotone_maps(long_table):
     assert before == pytest.approx(after)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_quantiles(spark, monkeypatch, limit):
-    monkeypatch.setattr(order, "PERCENTILE_LIMIT", limit)
+def test_quantiles(spark, monkeypatch):
     monkeypatch.setattr(order, "ROWS_PER_BIN", 16)
     rng = np.random.default_rng(1)
     for values in (rng.random(501), rng.integers(0, 7, 400).astype(float), np.array([3.0])):
@@ -147,8 +144,8 @@ def test_quantiles(spark, monkeypatch, limit):
         assert list(got) == pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.75, 1])))
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 5])
-def test_first_rows(spark, monkeypatch, limit):
-    monkeypatch.setattr(order, "TOP_N_LIMIT", limit)
+@pytest.mark.parametrize("n", [0, 1, 40, 499, 500, 900])
+def test_first_rows(spark, monkeypatch, n):
+    monkeypatch.setattr(order, "ROWS_PER_BIN", 30)
     df = spark.range(500).selectExpr("id * 7 AS row_id", "id").repartition(5)
-    assert sorted(r.row_id for r in order.first_rows(df, 40, "row_id").collect()) == [7 * i for i in range(40)]
+    assert sorted(r.row_id for r in order.first_rows(df, n, "row_id").collect()) == [7 * i for i in range(min(n, 500))]

@@ -107,35 +107,37 @@ def test_audit(rated):
     assert row["removed_percent"] == pytest.approx(1000 / 41)
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("hot_keys", [[], [7], [7, 1, 99]])
-def test_hot_key_join_equals_plain_join(spark, how, hot_keys):
-    """A third of the rows share one key; the result must not depend on the list of hot keys."""
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_join_with_a_written_table_equals_plain_join(spark, how):
+    """A third of the rows share one key."""
     big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("k"))
     small = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"), F.when(F.col("id") % 2 == 0, "x").alias("w"))
-    hot = spark.createDataFrame([(k,) for k in hot_keys], "k long")
-    got = skew.join_by_hot_key(big, small, "k", hot, how)
-    want = big.join(small, "k", how).select("id", "k", "v", "w")
+    got = skew.join_written(big, small, "k", how)
     key = lambda r: tuple(map(str, r))
-    assert sorted(got.select("id", "k", "v", "w").collect(), key=key) == sorted(want.collect(), key=key)
-
-
-def test_hot_rows_are_shuffled_apart(spark):
-    """Without broadcasts of Spark's own, rows of a hot key end up in every partition."""
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
-    try:
-        big = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"))
-        small = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-        joined = skew.join_by_hot_key(big, small, "k", skew.most_frequent(big, "k", 1))
-        parts = joined.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
-    assert len(parts) == 4 and min(r["count"] for r in parts) > 300
-
-
-def test_most_frequent(spark):
-    df = spark.createDataFrame([(1,), (1,), (2,), (2,), (3,), (None,), (None,), (None,)], "k long")
-    assert {r.k for r in skew.most_frequent(df, "k", 2).collect()} == {1, 2}
+    assert sorted(got.collect(), key=key) == sorted(big.join(small, "k", how).collect(), key=key)
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_ratings_are_read_once_for_statistics_and_once_to_be_standardised(spark, tmp_path):
+    rows = spark.range(200).select((F.col("id") % 10).alias("createdBy_id"), F.rand(1).alias("score"))
+    rows.write.parquet(str(tmp_path / "ratings"))
+    rated = spark.read.parquet(str(tmp_path / "ratings"))
+    # One scan of the ratings and one of the written statistics.
+    assert scans(ratings.standardize_by_rater(rated)) == 2
+
+
+def test_no_rater_left_is_an_error(rated):
+    with pytest.raises(ValueError, match="no rater has at least 1000 rows"):
+        ratings.standardize_by_rater(rated, 1000)
+    with pytest.raises(ValueError, match="no rater has at least 1000 rows"):
+        ratings.keep_active_raters(rated, 1000)
+
+
+def test_references_are_shuffled_by_digest(spark, tmp_path):
+    spark.createDataFrame([("a", "x", 0), ("a", "y", 1)], "en string, ka string, pos int").write.parquet(str(tmp_path / "r"))
+    latest = ratings.latest_references(spark.read.parquet(str(tmp_path / "r")))
+    assert "hashpartitioning(en" not in latest._jdf.queryExecution().executedPlan().toString()
+    assert [r.referenceText for r in latest.collect()] == ["y"]
