@@ -284,6 +284,18 @@ LEXICAL_SCORES = """s AS (
   UNION ALL SELECT row_id, 'WER', wer_score, human_score FROM w
   UNION ALL SELECT row_id, 'ROUGE', rouge_score, human_score FROM w)"""
 
+# As ``w``, for the edit metric alone.
+WER_ALONE = f"""{RATED}, {zscored('r', 5)}, {EDITS},
+w AS (SELECT row_id, round(standardized_score, 12) AS human_score, greatest(0.0, 1 - word_edit_rate / 100) AS wer_score FROM z JOIN wer USING (row_id))"""
+
+# Rankings of five metrics: ``copy`` ties with ``key``, ``minus`` turns ``hour`` around, ``absent`` has no value.
+FIVE = """f AS (
+  SELECT 'absent' AS metric, 0 AS ordinal, NULL::DOUBLE AS pearson, NULL::DOUBLE AS spearman, NULL::DOUBLE AS kendall
+  UNION ALL SELECT 'key', 1, pearson, spearman, kendall FROM c WHERE metric = 'key'
+  UNION ALL SELECT 'copy', 2, pearson, spearman, kendall FROM c WHERE metric = 'key'
+  UNION ALL SELECT 'minus', 3, -pearson, -spearman, -kendall FROM c WHERE metric = 'hour'
+  UNION ALL SELECT 'hour', 4, pearson, spearman, kendall FROM c WHERE metric = 'hour')"""
+
 # --- one statement per query ----------------------------------------------------------------
 
 ORACLES: dict[str, str] = {
@@ -395,4 +407,39 @@ SELECT metric, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman,
   round(p_value_pearson, 6) AS p_value_pearson, round(p_value_spearman, 6) AS p_value_spearman, round(p_value_kendall, 6) AS p_value_kendall,
   CASE metric WHEN 'BLEU' THEN 0 WHEN 'CHRF++' THEN 1 WHEN 'WER' THEN 2 ELSE 3 END AS ordinal, round({AVERAGED}, 6) AS avg_correlation,
   round(least(p_value_pearson, p_value_spearman, p_value_kendall), 6) AS min_p_value, {SIGNIFICANCE} AS significance FROM p""",
+    "metric_selection": f"""WITH {RATED}, {BLEU}, {CHRF} SELECT row_id, round(chrfplusplus_score, 6) AS chrfplusplus_score, round(bleu_score, 6) AS bleu_score
+FROM chrf JOIN bleu USING (row_id)""",
+    "model_output_shapes": f"""WITH {RATED} SELECT row_id, length(targetText)::DOUBLE AS object_score, length(referenceText)::DOUBLE AS list_score,
+  length(sourceText)::DOUBLE AS column_score, 0.5::DOUBLE AS scalar_score FROM r""",
+    "evaluation_with_failing_metric": f"WITH {WER_ALONE} SELECT row_id, round(human_score, 6) AS human_score, round(wer_score, 6) AS wer_score FROM w",
+    "evaluation_extra_scores": f"""WITH {WER_ALONE} SELECT row_id, round(human_score, 6) AS human_score, round(wer_score, 6) AS wer_score,
+  length(targetText)::DOUBLE AS length_score FROM w JOIN r USING (row_id)""",
+    "evaluation_saved": f"""WITH {WER_ALONE}, {CHRF} SELECT round(human_score, 6) AS human_score, round(wer_score, 6) AS wer_score,
+  round(chrfplusplus_score, 6) AS chrfplusplus_score FROM w JOIN chrf USING (row_id)""",
+    "csv_annotation": f"""WITH {EVALUATED}, t AS (
+  SELECT 'wer_score' AS column_name, {SUMMARY.format('wer_score', 'stddev_samp', 'std_samp')} FROM w
+  UNION ALL SELECT 'rouge_score', {SUMMARY.format('rouge_score', 'stddev_samp', 'std_samp')} FROM w)
+SELECT column_name, round(mean, 9) AS mean, round(std_samp, 9) AS std_samp, round(min, 9) AS min, round(max, 9) AS max, count FROM t""",
+    "best_of_five": f"""WITH {EVENT_SCORES}, {CORRELATED}, {FIVE}
+SELECT (SELECT metric FROM f ORDER BY pearson DESC NULLS LAST, ordinal LIMIT 1) AS best_pearson,
+  (SELECT metric FROM f ORDER BY spearman DESC NULLS LAST, ordinal LIMIT 1) AS best_spearman,
+  (SELECT metric FROM f ORDER BY kendall DESC NULLS LAST, ordinal LIMIT 1) AS best_kendall,
+  (SELECT metric FROM f ORDER BY {AVERAGED} DESC NULLS LAST, ordinal LIMIT 1) AS best_overall""",
+    "top3_of_five": f"""WITH {EVENT_SCORES}, {CORRELATED}, {FIVE}
+SELECT metric, ordinal, round({AVERAGED}, 9) AS avg_correlation FROM f WHERE pearson IS NOT NULL ORDER BY {AVERAGED} DESC, ordinal LIMIT 3""",
+    "judge_requests_with_references": """WITH t AS (
+  SELECT a.conv_id * 1000 + a.turn AS row_id, q.text AS src, a.text AS hyp, b.text AS ref
+  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant'
+  JOIN benchmark b ON b.item_id = q.conv_id % (SELECT count(*) FROM benchmark))
+SELECT 'eval_reference_based_' || row_id AS custom_id, json_object('custom_id', 'eval_reference_based_' || row_id, 'params',
+  json_object('model', 'judge-2', 'max_tokens', 1000, 'temperature', 0, 'system', 'Compare.', 'messages',
+    json_array(json_object('role', 'user', 'content', json_array(json_object('type', 'text', 'text', 'None.'),
+      json_object('type', 'text', 'text', concat(src, '|', hyp, '|', ref)))))))::VARCHAR AS request FROM t""",
+    "judge_open_rows": f"""WITH {EVENT_RESULTS} SELECT o_orderkey AS row_id, o_orderstatus FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.row_id = o_orderkey AND status = 'succeeded')""",
+    "judge_mean_fill": f"""WITH {EVENT_RESULTS}, t AS (
+  SELECT o_orderkey AS row_id, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN coalesce(score, 0.0) END AS score,
+    CASE WHEN o_orderstatus = 'F' THEN coalesce(status, 'missing') ELSE 'not_sent' END AS status
+  FROM orders LEFT JOIN res ON res.row_id = o_orderkey)
+SELECT row_id, o_orderstatus, round(coalesce(score, avg(score) OVER ()), 9) AS score, status, status = 'not_sent' AS is_imputed FROM t""",
 }

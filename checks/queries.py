@@ -15,6 +15,7 @@ from segeval.functions.judging import extract_score
 from segeval.operators import judge, lexical, profile, ranking, ratings, scoring, training
 from segeval.operators.correlation import correlations, kendall, pearson, spearman
 from segeval.operators.order import first_rows
+from segeval.plans.annotate import annotate_csv
 from segeval.plans.evaluate import evaluate
 from segeval.scratch import materialize, scratch_root
 from segeval.sources import csv, judge_files, scores as score_io
@@ -403,6 +404,124 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate(rated_documents(spark, sf), LEXICAL).report())
 
 
+# --- selection, failures, stored results --------------------------------------------------------
+
+
+def metric_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Unknown names are reported and skipped; known ones keep their order."""
+    names = scoring.select_metrics(["CHRF++", "no-such-metric", "BLEU"])
+    scored = scoring.add_scores(rated_documents(spark, sf), names)
+    return rounded(scored.select("row_id", *[score_column(m) for m in names]))
+
+
+class _Output:
+    """What some models return: an object that holds the scores."""
+
+    def __init__(self, scores: list[float]) -> None:
+        self.scores = scores
+
+
+def model_output_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Models that return an object, a list, a column of numbers, or one number for all."""
+    shapes = {
+        "object_score": lambda: lambda rows: _Output([float(len(r["mt"])) for r in rows]),
+        "list_score": lambda: lambda rows: [len(r["ref"]) for r in rows],
+        "column_score": lambda: lambda rows: np.array([[len(r["src"])] for r in rows]),
+        "scalar_score": lambda: lambda rows: 0.5,
+    }
+    texts = [F.col(c) for c in ("targetText", "referenceText", "sourceText")]
+    return rated_documents(spark, sf).select("row_id", *[scoring.model_score(*texts, load).alias(name) for name, load in shapes.items()])
+
+
+def _broken(hyp: Column, ref: Column, src: Column) -> Column:
+    return F.when(F.length(hyp) > 0, F.raise_error(F.lit("out of order")).cast("double"))
+
+
+def evaluation_with_failing_metric(spark: SparkSession, sf: str) -> DataFrame:
+    """A metric that fails on every row is left out; the other one is scored as if alone."""
+    scoring.register_metric("Broken", _broken)
+    try:
+        return rounded(evaluate(rated_documents(spark, sf), ["Broken", "WER"]).wide())
+    finally:
+        scoring.unregister_metric("Broken")
+
+
+def evaluation_extra_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexical metric and scores computed elsewhere, in one run."""
+    rated = rated_documents(spark, sf)
+    extra = rated.select("row_id", F.lit("Length").alias("metric"), F.length("targetText").cast("double").alias("score"))
+    return rounded(evaluate(rated, ["WER"], extra_scores=extra, extra_metrics=("Length",)).wide())
+
+
+def evaluation_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide result as written by a run and read back."""
+    root = f"{scratch_root(spark)}/run-{uuid.uuid4().hex}"
+    evaluate(rated_documents(spark, sf), ["WER", "CHRF++"]).save(f"{root}/data", f"{root}/summary", scoring.metric_names())
+    names = ["human_score", score_column("WER"), score_column("CHRF++")]
+    return rounded(csv.read_csv(spark, f"{root}/data", {n: "double" for n in names}))
+
+
+def csv_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents through the CSV flow: read, score, write, and statistics of the new columns."""
+    root = f"{scratch_root(spark)}/annotate-{uuid.uuid4().hex}"
+    csv.write_csv(rated_documents(spark, sf), f"{root}/in")
+    return rounded(annotate_csv(spark, f"{root}/in", f"{root}/out", ["WER", "ROUGE"]), 9)
+
+
+def _five_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Two event metrics, a copy of one, the other one turned around, and one without a value."""
+    scores = event_scores(spark, sf)
+    key, hour = scores.where("metric = 'key'"), scores.where("metric = 'hour'")
+    made = {
+        "absent": key.withColumn("score", F.lit(None).cast("double")),
+        "copy": key,
+        "minus": hour.withColumn("score", -F.col("score")),
+    }
+    for name, rows in made.items():
+        scores = scores.unionByName(rows.withColumn("metric", F.lit(name)))
+    names = ["absent", "key", "copy", "minus", "hour"]
+    listed = spark.createDataFrame([(n,) for n in names], "metric string")
+    return ranking.with_ordinal(correlations(scores, listed), names)
+
+
+def best_of_five(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.best_metrics(_five_metrics(spark, sf))
+
+
+def top3_of_five(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ranking.top_metrics(_five_metrics(spark, sf)), 9)
+
+
+def document_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document against the next one: long texts on both sides."""
+    documents = table(spark, sf, "documents").select("doc_id", F.col("text").alias("targetText"))
+    other = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("targetText").alias("referenceText"))
+    h, r = F.col("targetText"), F.col("referenceText")
+    scored = documents.join(other, "doc_id").select(
+        "doc_id", lexical.word_edit_rate(h, r).alias("word_edit_rate"), lexical.rouge_l(h, r).alias("rouge_score")
+    )
+    return rounded(scored)
+
+
+def judge_requests_with_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that quote the reference."""
+    settings = judge.JudgeSettings(mode="reference_based", prompt="{source}|{hypothesis}|{reference}", model="judge-2", system="Compare.", examples="None.")
+    return judge.judge_requests(replies(spark, sf), settings)
+
+
+def judge_open_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders that no stored result belongs to; results that failed count as open."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
+    return judge.without_results(rows, judge.parse_results(_result_lines(spark, sf)), "reference_free", retry=True)
+
+
+def judge_mean_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished orders were sent to the judge; the others get the mean."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
+    sent = rows.where("o_orderstatus = 'F'")
+    return rounded(judge.join_and_fill(rows, judge.parse_results(_result_lines(spark, sf)), sent, "reference_free"), 9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -456,5 +575,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         valid_set,
         evaluation_scores,
         evaluation_report,
+        metric_selection,
+        model_output_shapes,
+        evaluation_with_failing_metric,
+        evaluation_extra_scores,
+        evaluation_saved,
+        csv_annotation,
+        best_of_five,
+        top3_of_five,
+        document_overlap,
+        judge_requests_with_references,
+        judge_open_rows,
+        judge_mean_fill,
     )
 }

@@ -28,6 +28,11 @@ def register_metric(name: str, metric: Metric) -> None:
     _METRICS[name] = metric
 
 
+def unregister_metric(name: str) -> None:
+    """Forget a metric; an unknown name is ignored."""
+    _METRICS.pop(name, None)
+
+
 def metric_names() -> list[str]:
     return list(_METRICS)
 
