@@ -103,3 +103,16 @@ def test_write_requests(pairs, tmp_path):
     judge_files.write_requests(judge.judge_requests(pairs, settings("reference_free")), str(tmp_path / "out"))
     lines = [x for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()]
     assert len(lines) == 3 and all(json.loads(x)["custom_id"].startswith("eval_reference_free_") for x in lines)
+
+
+def test_going_on_from_stored_results(spark):
+    rows = spark.createDataFrame([(i,) for i in range(6)], "row_id long")
+    stored = [("eval_m_0", "succeeded", 80.0), ("eval_m_1", "errored", 0.0), ("eval_m_1", "errored", 0.0), ("eval_other_2", "succeeded", 9.0), ("eval_m_x", "succeeded", 9.0)]
+    results = spark.createDataFrame(stored, "custom_id string, status string, score double")
+    assert sorted(r.row_id for r in judge.without_results(rows, results, "m").collect()) == [2, 3, 4, 5]
+    assert sorted(r.row_id for r in judge.without_results(rows, results, "m", retry=True).collect()) == [1, 2, 3, 4, 5]
+    filled = judge.join_and_fill(rows, results, rows.where("row_id < 4"), "m").orderBy("row_id").collect()
+    assert [(r.score, r.status, r.is_imputed) for r in filled] == [
+        (80.0, "succeeded", False), (0.0, "errored", False), (0.0, "missing", False), (0.0, "missing", False),
+        (20.0, "not_sent", True), (20.0, "not_sent", True),
+    ]

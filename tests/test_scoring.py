@@ -158,6 +158,55 @@ def test_scratch_folder(spark):
     assert stored.count() == 5 and scratch.scratch_root(spark) in stored.inputFiles()[0]
 
 
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from segeval import scratch
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+        def __init__(self, master):
+            self.sparkContext = type("Context", (), {"applicationId": f"app {master}", "master": master})
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.scratch_root(Cluster(master))
+    for master in ("local", "local[4]", "local[*]"):
+        assert scratch.scratch_root(Cluster(master))
+
+
+def test_scratch_tables_can_be_cleared(spark, monkeypatch, tmp_path):
+    from segeval import scratch
+
+    monkeypatch.setattr(scratch, "scratch_root", lambda session: str(tmp_path / "scratch"))
+    scratch.materialize(spark.range(5), "numbers")
+    assert list((tmp_path / "scratch").iterdir())
+    scratch.clear_scratch(spark)
+    assert not (tmp_path / "scratch").exists()
+
+
+def test_failing_metric_is_reported_and_left_out(rated, monkeypatch):
+    monkeypatch.setattr(scoring, "_METRICS", dict(scoring._METRICS))
+    scoring.register_metric("Broken", lambda h, r, s: F.when(F.length(h) >= 0, F.raise_error(F.lit("out of order")).cast("double")))
+    with pytest.warns(UserWarning, match="Broken failed"):
+        run = evaluate(rated, ["Broken", "WER"])
+    assert run.metrics == ["WER"] and "out of order" in run.failed["Broken"]
+    assert {r.metric for r in run.report().collect()} == {"WER"}
+    with pytest.raises(ValueError, match="no metric could be scored"):
+        evaluate(rated, ["Broken"])
+
+
+def test_nothing_left_is_an_error(rated):
+    with pytest.raises(ValueError, match="no rater"):
+        evaluate(rated, ["WER"], at_least=100)
+    with pytest.raises(ValueError, match="no row"):
+        evaluate(rated.withColumn("targetText", F.lit(None).cast("string")), ["WER"])
+
+
+def test_texts_are_not_shuffled_to_be_scored(rated):
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (rated, scoring.add_scores(rated, ["BLEU", "WER", "ROUGE"]))]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+
+
 def test_annotated_csv(spark, pairs, tmp_path):
     write_csv(pairs, str(tmp_path / "in"))
     stats = annotate_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["BLEU", "WER"])

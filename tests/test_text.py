@@ -3,6 +3,7 @@
 import math
 import random
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -175,6 +176,20 @@ def test_edits_and_common_subsequence(spark):
         assert row.l == common_length(row.a, row.b)
 
 
+def test_long_sequences():
+    from segeval.functions import sequence
+
+    rng = random.Random(4)
+    for vocabulary in (3, 40, 900):
+        a, b = ([str(rng.randrange(vocabulary)) for _ in range(n)] for n in (700, 900))
+        assert sequence.edit_distance(a, b) == edit_distance(a, b)
+        assert sequence.common_length(a, b) == common_length(a, b)
+    start = time.perf_counter()
+    a, b = ([str(rng.randrange(3000)) for _ in range(16_000)] for _ in range(2))
+    assert sequence.common_length(a, a) == 16_000 and sequence.edit_distance(a, b) > sequence.edit_distance(a, a)
+    assert time.perf_counter() - start < 6
+
+
 def test_edit_rate_and_rouge_hand_worked(spark):
     df = spark.createDataFrame([PLAIN, ("a", ""), ("", ""), ("", "a b"), ("x y", "X y")], "h string, r string")
     rows = df.select(
