@@ -15,7 +15,7 @@ SPACE = (
 
 RATED = """r AS (
   SELECT d.doc_id AS row_id, d.source AS createdBy_id, l.quality::DOUBLE AS score,
-         concat_ws(' ', d.lang, d.source) AS sourceText, d.text AS targetText, b.text AS referenceText
+         d.text AS sourceText, d.text AS targetText, b.text AS referenceText
   FROM documents d JOIN labels l USING (doc_id)
   JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 

@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as candidates, benchmark texts as references, the document source as rater."""
+    """Labelled documents as candidates and as their own sources, benchmark texts as references, the document source as rater."""
     benchmark = table(spark, sf_dir, "benchmark")
     size = benchmark.agg(F.count("*")).scalar()
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
@@ -20,7 +20,7 @@ def rated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("row_id"),
         F.col("source").alias("createdBy_id"),
         "score",
-        F.concat_ws(" ", "lang", "source").alias("sourceText"),
+        F.col("text").alias("sourceText"),
         F.col("text").alias("targetText"),
         "referenceText",
     )

@@ -9,7 +9,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Where a score is looked for, in this order.
+# Where a score is looked for, in this order. Digits are ASCII here, because digits of other
+# scripts are translated before; an optional part after the number would not change what is found, and is left out.
 SCORE_PATTERNS = (
     r"\b([0-9]{1,3}(?:\.[0-9]+)?)\b",
     r"Score:\s*([0-9]{1,3}(?:\.[0-9]+)?)",

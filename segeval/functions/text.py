@@ -21,7 +21,8 @@ TOKENS_13A = [
     ("&lt;", "<"),
     ("&gt;", ">"),
 ]
-# The first class also names the blank there, which changes nothing once blanks are squeezed.
+# The tokeniser's first class holds the blank as well. It is left out here: padding a blank with blanks changes
+# nothing once blanks are squeezed, and matching every blank of a text takes most of the time.
 SPLITS_13A = [
     (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),

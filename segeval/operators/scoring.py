@@ -20,7 +20,11 @@ from segeval.scratch import materialize
 # A metric maps the hypothesis, reference and source columns to a score column.
 Metric = Callable[[Column, Column, Column], Column]
 
+# A metric over the whole table maps (row_id and the three texts) to (row_id, score).
+TableMetric = Callable[[DataFrame], DataFrame]
+
 _METRICS: dict[str, Metric] = {}
+_TABLE_METRICS: dict[str, TableMetric] = {}
 
 
 def register_metric(name: str, metric: Metric) -> None:
@@ -28,23 +32,38 @@ def register_metric(name: str, metric: Metric) -> None:
     _METRICS[name] = metric
 
 
+def register_table_metric(name: str, metric: TableMetric) -> None:
+    """Make a metric available by name that needs more than one row, such as corpus statistics. ``evaluate`` runs it."""
+    _TABLE_METRICS[name] = metric
+
+
 def unregister_metric(name: str) -> None:
     """Forget a metric; an unknown name is ignored."""
     _METRICS.pop(name, None)
+    _TABLE_METRICS.pop(name, None)
 
 
 def metric_names() -> list[str]:
-    return list(_METRICS)
+    return [*_METRICS, *_TABLE_METRICS]
+
+
+def is_table_metric(name: str) -> bool:
+    return name in _TABLE_METRICS
+
+
+def table_scores(df: DataFrame, name: str) -> DataFrame:
+    """``(row_id, metric, score)`` of a metric over the whole table."""
+    return _TABLE_METRICS[name](df).select("row_id", F.lit(name).alias("metric"), F.col("score").cast("double").alias("score"))
 
 
 def select_metrics(requested: list[str] | None = None) -> list[str]:
     """Known names among the requested ones, in their order. Unknown ones are reported; none left is an error."""
     if requested is None:
         return metric_names()
-    unknown = [m for m in requested if m not in _METRICS]
+    unknown = [m for m in requested if m not in metric_names()]
     if unknown:
         warnings.warn(f"unknown metrics are skipped: {unknown}; known: {metric_names()}", stacklevel=2)
-    known = [m for m in requested if m in _METRICS]
+    known = [m for m in requested if m in metric_names()]
     if not known:
         raise ValueError("no valid metrics specified")
     return known

@@ -15,7 +15,7 @@ from segeval.operators.correlation import COEFFICIENTS, correlations
 from segeval.operators.profile import metric_summary
 from segeval.operators.ranking import average_correlation, with_ordinal
 from segeval.operators.ratings import TEXT_COLUMNS, drop_null_texts, require_rows, standardize_by_rater
-from segeval.operators.scoring import add_scores, scores_long, select_metrics
+from segeval.operators.scoring import add_scores, is_table_metric, scores_long, select_metrics, table_scores
 from segeval.scratch import materialize
 from segeval.sources.csv import write_csv
 from segeval.sources.scores import write_summary
@@ -64,8 +64,16 @@ def _written_scores(texts: DataFrame, human: DataFrame, names: list[str], spread
 
     def written(some: list[str]) -> DataFrame:
         # Texts stay where they are; ids and scores alone are shuffled to meet the human scores.
-        scored = add_scores(texts, some, spread=spread).drop(*TEXT_COLUMNS)
-        return materialize(scores_long(scored.join(human, "row_id"), some, ["row_id", "human"]), "metric-scores")
+        by_row = [m for m in some if not is_table_metric(m)]
+        parts = []
+        if by_row:
+            scored = add_scores(texts, by_row, spread=spread).drop(*TEXT_COLUMNS)
+            parts.append(scores_long(scored.join(human, "row_id"), by_row, ["row_id", "human"]))
+        parts += [human.join(table_scores(texts, m), "row_id").select("row_id", "human", "metric", "score") for m in some if m not in by_row]
+        table = parts[0]
+        for part in parts[1:]:
+            table = table.unionByName(part)
+        return materialize(table, "metric-scores")
 
     try:
         return written(names), names, {}

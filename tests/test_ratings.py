@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from segeval.operators import ratings, skew
 
 RATED = [
-    (4.5, 1, 101, "Source text 1", "Target text 1", "target1"),
-    (3.2, 2, 102, "Source text 2", "Target text 2", "target2"),
+    (71.0, 8, 3, "a red door", "une porte rouge", "fr-8"),
+    (38.5, 5, 7, "two doors", "deux portes", "fr-5"),
 ]
 
 
@@ -26,9 +26,9 @@ def test_join_ratings(rating_tables):
 
 
 def test_references_in_row_order(spark, rating_tables):
-    refs = spark.createDataFrame([("Source text 1", "Reference 1", 0), ("Source text 2", "Reference 2", 1)], "en string, ka string, pos long")
+    refs = spark.createDataFrame([("two doors", "deux portes closes", 0), ("a red door", "la porte rouge", 1)], "en string, ka string, pos long")
     out = ratings.add_reference(ratings.join_ratings(*rating_tables), refs)
-    assert {r.sourceText: r.referenceText for r in out.collect()} == {"Source text 1": "Reference 1", "Source text 2": "Reference 2"}
+    assert {r.sourceText: r.referenceText for r in out.collect()} == {"a red door": "la porte rouge", "two doors": "deux portes closes"}
 
 
 def test_last_reference_wins_and_may_be_null(spark):

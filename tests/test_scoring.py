@@ -195,6 +195,22 @@ def test_failing_metric_is_reported_and_left_out(rated, monkeypatch):
         evaluate(rated, ["Broken"])
 
 
+def test_metric_over_the_whole_table(rated, monkeypatch):
+    monkeypatch.setattr(scoring, "_TABLE_METRICS", {})
+
+    def relative_length(df):
+        mean = df.agg(F.avg(F.length("targetText"))).scalar()
+        return df.select("row_id", (F.length("targetText") / mean).alias("score"))
+
+    scoring.register_table_metric("Relative-Length", relative_length)
+    run = evaluate(rated, ["WER", "Relative-Length"])
+    got = {r.row_id: r.relative_length_score for r in run.wide().collect()}
+    lengths = {r.row_id: len(r.targetText) for r in rated.collect()}
+    mean = sum(lengths.values()) / len(lengths)
+    assert got == pytest.approx({i: n / mean for i, n in lengths.items()})
+    assert run.metrics == ["WER", "Relative-Length"]
+
+
 def test_nothing_left_is_an_error(rated):
     with pytest.raises(ValueError, match="no rater"):
         evaluate(rated, ["WER"], at_least=100)
