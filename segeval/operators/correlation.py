@@ -91,7 +91,7 @@ def _weighted_pairs(pairs: DataFrame) -> DataFrame:
 
 def _moments(binned: DataFrame) -> DataFrame:
     """Per metric: centred second moments of values and ranks, and the tie sums of Kendall's test."""
-    ranked = add_rank(add_rank(binned, "metric", "x", "w"), "metric", "y", "w")
+    ranked = add_rank(add_rank(binned, "metric", "x", "w"), "metric", "y", "w", counted=binned)
     w = F.col("w")
     # Average rank of the tied values, centred at the mean rank.
     centre = (F.col("n") + 1) / 2

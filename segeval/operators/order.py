@@ -85,11 +85,15 @@ def assign_bins(df: DataFrame, cuts: Cuts, group: str) -> DataFrame:
     return joined.select(*kept, *bins)
 
 
-def add_rank(binned: DataFrame, group: str, column: str, weight: str) -> DataFrame:
-    """Add ``<column>_before`` and ``<column>_tied``: weight of smaller and of equal values in the group."""
+def add_rank(binned: DataFrame, group: str, column: str, weight: str, counted: DataFrame | None = None) -> DataFrame:
+    """Add ``<column>_before`` and ``<column>_tied``: weight of smaller and of equal values in the group.
+
+    ``counted`` is a cheaper table with the same rows, such as the written one that
+    ``binned`` comes from; bins are counted there.
+    """
     bin_ = f"{column}_bin"
     single = F.col(bin_) % 2 == 1
-    totals = binned.groupBy(group, bin_).agg(F.sum(weight).alias("__bin_total"))
+    totals = (binned if counted is None else counted).groupBy(group, bin_).agg(F.sum(weight).alias("__bin_total"))
     by_bin = Window.partitionBy(group).orderBy(bin_)
     offsets = totals.select(
         group,
