@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,11 +36,18 @@ BLOCKS = 32_768
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 
+#: Rows of one file of a shard, about.
+FILE_ROWS = 100_000
+
 
 def row_size() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def text_crc32() -> Column:
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
@@ -88,8 +97,7 @@ def reshard(docs: DataFrame, keys: list[str], old_shard: Column, shards: int = S
     per new shard, equal ones if not given.
     """
     spark = docs.sparkSession
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.select(*keys, row_size().alias("size"), crc.alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    rows = docs.select(*keys, row_size().alias("size"), text_crc32().alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
     rows = materialize(rows.withColumn("lot", F.xxhash64(F.lit("lot"), *keys, "text_crc32")), "rows")
     old = {r[0]: r[1] for r in rows.groupBy("old_shard").agg(F.sum("size")).collect()}
     total = sum(old.values())
@@ -115,12 +123,26 @@ def reshard(docs: DataFrame, keys: list[str], old_shard: Column, shards: int = S
     return joined.select(*keys, "size", "text_crc32", "old_shard", "shard", (F.col("ahead") + F.col("own")).cast("long").alias("slot"))
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    """Write rows with ``shard`` and ``slot`` as ``path/shard=<n>``. A lost executor's tasks run again; the write is committed as a whole."""
+    dealt = rows.repartition("shard", F.floor(F.col("slot") / FILE_ROWS))
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def rewrite_shards(docs: DataFrame, assigned: DataFrame, keys: list[str], path: str) -> None:
     """Write the new content of every shard that gains or loses rows, as ``path/shard=<n>``; others stay as they are.
 
-    ``keys`` must tell rows apart. A lost executor's tasks run again; the write is committed as a whole.
+    ``assigned`` is what ``reshard`` gave for ``docs``. Null keys match each other, and
+    rows of equal keys, size and checksum take their places in turn, one each.
     """
     moved = assigned.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
     affected = moved.select("shard").union(moved.select("old_shard")).distinct()
-    rows = assigned.join(affected, "shard", "left_semi").select(*keys, "shard", "slot")
-    docs.join(rows, keys).repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    alike = [*keys, "__size", "__crc"]
+    places = assigned.withColumnsRenamed({"size": "__size", "text_crc32": "__crc"})
+    places = places.withColumn("__turn", F.row_number().over(Window.partitionBy(*alike).orderBy("shard", "slot")))
+    places = places.join(affected, "shard", "left_semi").select(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate([*alike, "__turn"])], "shard", "slot")
+    rows = docs.withColumn("__size", row_size()).withColumn("__crc", text_crc32())
+    # Copies may differ in what is no key; any of them may come first.
+    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{i}")) for i, c in enumerate([*alike, "__turn"])])
+    _write(rows.join(places, same).select(*docs.columns, "shard", "slot"), path)

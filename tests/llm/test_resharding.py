@@ -76,3 +76,17 @@ def test_rewrite_leaves_other_shards_alone(spark, tmp_path):
     rows = assigned.collect()
     affected = {s for r in rows if r.old_shard != r["shard"] for s in (r.old_shard, r["shard"])}
     assert written == {(r.doc_id, r["shard"], r.slot) for r in rows if r["shard"] in affected}
+
+
+def test_rewrite_keeps_null_keys_and_repeated_rows(spark, tmp_path):
+    rows = [(i if i % 5 else None, f"text {i % 7}", ["a", "b", None][i % 3]) for i in range(60)] + [(7, "again", None)] * 3 + [(None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = ["doc_id", "source"]
+    # All rows come from one shard, so that each shard gains or loses some.
+    assigned = reshard(docs, keys, F.lit(0), shards=3)
+    path = str(tmp_path / "out")
+    rewrite_shards(docs, assigned, keys, path)
+    written = spark.read.parquet(path).collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in written), key=str) == sorted(rows, key=str)
+    places = {(r["shard"], r.slot): (r.doc_id, r.source, r.text_crc32) for r in assigned.collect()}
+    assert {(r["shard"], r.slot): (r.doc_id, r.source, zlib.crc32((r.text or "").encode())) for r in written} == places
