@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,10 +15,11 @@ from segeval.llm.mixing import mix_documents
 from segeval.llm.packing import pack
 from segeval.llm.personal import personal_spans, span_digest
 from segeval.llm.quality import quality_scores
-from segeval.llm.resharding import OLD_SHARDS, reshard
+from segeval.llm.resharding import OLD_SHARDS, carry_out, plan_moves
 from segeval.llm.simhash import near_duplicates
 from segeval.llm.syncmers import fingerprint_edits
 from segeval.llm.token_files import encode_documents
+from segeval.scratch import scratch_root
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -58,8 +60,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents lie by source in 32 shards of very different sizes and move to 40 even ones."""
-    placed = reshard(_table(spark, sf_dir, "documents"), ["doc_id", "source"], F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)))
+    """The documents lie by source in 32 shards of very different sizes and move to 40 even ones. Columns are of the shards as read back."""
+    docs = _table(spark, sf_dir, "documents")
+    moves = plan_moves(docs, ["doc_id", "source"], F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)))
+    placed = carry_out(docs, moves, f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}")
     none = F.lit(None).cast("int")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none.alias("grown_shard"), "old_shard")
 

@@ -7,7 +7,8 @@ flow is carried out in blocks: fixed sets of documents of one old shard. Where t
 flow would cut a block, the block goes to the shard with the most room left.
 
 What reaches the driver is one row per block, ``BLOCKS`` in expectation for any
-size of the data; documents meet the finished plan in one join.
+size of the data; documents meet the finished plan in one join, and the shards that
+gain or lose rows are written with their texts.
 
 Edge cases: a null text has no bytes; each row counts 16 bytes besides. Repeated
 rows are placed each. A null ``doc_id`` is a value like any other. An empty table
@@ -18,11 +19,13 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from segeval.llm.flow import min_cost_transfers
 from segeval.scratch import materialize
@@ -90,37 +93,97 @@ def plan_blocks(blocks: list[tuple[int, int, int]], capacities: list[int]) -> di
     return placed
 
 
-def reshard(docs: DataFrame, keys: list[str], old_shard: Column, shards: int = SHARDS, capacities: list[int] | None = None) -> DataFrame:
-    """``keys`` with ``size``, ``text_crc32``, ``old_shard``, ``shard`` and ``slot``, the row's place in its shard.
+@dataclass(frozen=True)
+class Moves:
+    """A finished plan: ``blocks``, the number of blocks by old shard, ``table``, one row per block, and the shards that gain or lose rows."""
 
-    ``old_shard`` numbers the shards that the rows lie in. ``capacities`` are bytes
-    per new shard, equal ones if not given.
-    """
+    keys: list[str]
+    old_shard: Column
+    blocks: DataFrame
+    table: DataFrame
+    affected: list[int]
+
+
+def _dealt(rows: DataFrame, keys: list[str], blocks: DataFrame) -> DataFrame:
+    """``rows`` with ``__block``, the row's block in its old shard."""
+    lot = F.xxhash64(F.lit("lot"), *keys, "__crc")
+    dealt = rows.join(F.broadcast(blocks), F.col("__old").eqNullSafe(F.col("__of")))
+    return dealt.withColumn("__block", F.pmod(lot, "__blocks").cast("int")).drop("__of", "__blocks")
+
+
+def plan_moves(docs: DataFrame, keys: list[str], old_shard: Column, shards: int = SHARDS, capacities: list[int] | None = None) -> Moves:
+    """The new shard of each block of rows and the places its rows take there."""
     spark = docs.sparkSession
-    rows = docs.select(*keys, row_size().alias("size"), text_crc32().alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
-    rows = materialize(rows.withColumn("lot", F.xxhash64(F.lit("lot"), *keys, "text_crc32")), "rows")
-    old = {r[0]: r[1] for r in rows.groupBy("old_shard").agg(F.sum("size")).collect()}
+    rows = materialize(_measured(docs, keys, old_shard).select(*keys, "__size", "__crc", "__old"), "rows")
+    old = {r[0]: r[1] for r in rows.groupBy("__old").agg(F.sum("__size")).collect()}
     total = sum(old.values())
     # Numbers of blocks by old shard are a small table of their own.
-    counts = spark.createDataFrame([(o, max(1, round(BLOCKS * s / total))) for o, s in old.items()], "of int, blocks int")
-    dealt = rows.join(F.broadcast(counts), F.col("old_shard").eqNullSafe(F.col("of")))
-    dealt = dealt.withColumn("block", F.pmod("lot", "blocks").cast("int")).drop("of", "blocks")
-    found = dealt.groupBy("old_shard", "block").agg(F.sum("size"), F.count("*")).collect()
+    counts = spark.createDataFrame([(o, max(1, round(BLOCKS * s / total))) for o, s in old.items()], "__of int, __blocks int")
+    found = _dealt(rows, keys, counts).groupBy("__old", "__block").agg(F.sum("__size"), F.count("*")).collect()
     # A row without an old shard has no place to stay in.
     blocks = [(-1 if o is None else o, b, s) for o, b, s, _ in found]
     placed = plan_blocks(blocks, capacities or even_capacities(total, shards))
     before: dict[int, int] = defaultdict(int)
-    plan = []
+    plan, affected = [], set()
     for (o, b, _, n), (name, _, _) in sorted(zip(found, blocks), key=lambda x: x[1]):
         shard = placed[name, b]
         plan.append((o, b, shard, before[shard]))
         before[shard] += n
-    table = spark.createDataFrame(plan, "of int, number int, shard int, ahead long")
-    own = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy(*keys, "text_crc32", "size")) - 1
+        affected |= {name, shard} if name != shard else set()
+    table = spark.createDataFrame(plan, "__of int, __number int, __shard int, __ahead long")
+    return Moves(keys, old_shard, counts, table, sorted(affected - {-1}))
+
+
+def _measured(docs: DataFrame, keys: list[str], old_shard: Column) -> DataFrame:
+    return docs.withColumns({"__size": row_size(), "__crc": text_crc32(), "__old": old_shard.cast("int")})
+
+
+def _placed(docs: DataFrame, moves: Moves, *only: Column) -> DataFrame:
+    """Rows of ``docs`` with ``__size``, ``__crc``, ``__old``, ``__shard`` and ``__slot``, those of shards that ``only`` lets pass.
+
+    Rows are dealt once, to ranges of a shard's places that hold whole blocks.
+    """
     # One row per block: bounded as the number of blocks is.
-    same = F.col("old_shard").eqNullSafe(F.col("of")) & (F.col("block") == F.col("number"))
-    joined = dealt.withColumn("own", own).join(F.broadcast(table), same)
-    return joined.select(*keys, "size", "text_crc32", "old_shard", "shard", (F.col("ahead") + F.col("own")).cast("long").alias("slot"))
+    same = F.col("__old").eqNullSafe(F.col("__of")) & (F.col("__block") == F.col("__number"))
+    rows = _dealt(_measured(docs, moves.keys, moves.old_shard), moves.keys, moves.blocks)
+    rows = rows.join(F.broadcast(moves.table), same).drop("__of", "__number", "__block")
+    for passes in only:
+        rows = rows.where(passes)
+    rows = rows.withColumn("__range", F.floor(F.col("__ahead") / FILE_ROWS)).repartition("__shard", "__range")
+    # The places ahead of a block name it within its shard.
+    block = Window.partitionBy("__shard", "__range", "__ahead").orderBy(*moves.keys, "__crc", "__size")
+    slot = F.col("__ahead") + F.row_number().over(block) - 1
+    return rows.withColumn("__slot", slot.cast("long")).drop("__range", "__ahead")
+
+
+def reshard(docs: DataFrame, keys: list[str], old_shard: Column, shards: int = SHARDS, capacities: list[int] | None = None) -> DataFrame:
+    """``keys`` with ``size``, ``text_crc32``, ``old_shard``, ``shard`` and ``slot``, the row's place in its shard.
+
+    ``old_shard`` numbers the shards that the rows lie in. ``capacities`` are bytes
+    per new shard, equal ones if not given.
+    """
+    return _assigned(_placed(docs, plan_moves(docs, keys, old_shard, shards, capacities)), keys)
+
+
+def _assigned(placed: DataFrame, keys: list[str]) -> DataFrame:
+    names = {"__size": "size", "__crc": "text_crc32", "__old": "old_shard", "__shard": "shard", "__slot": "slot"}
+    return placed.select(*keys, *[F.col(c).alias(name) for c, name in names.items()])
+
+
+def carry_out(docs: DataFrame, moves: Moves, path: str) -> DataFrame:
+    """Write the affected shards of ``docs`` as ``path/shard=<n>`` and give what ``reshard`` gives, as read from there.
+
+    Rows of other shards stay where they are and are read there. Texts are dealt once.
+    """
+    touched = F.col("__shard").isin(moves.affected)
+    stayed = _assigned(_placed(docs, moves, ~touched), moves.keys)
+    if not moves.affected:
+        return stayed
+    rows = _placed(docs, moves, touched).select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    kinds = StructType([*docs.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
+    written = _measured(docs.sparkSession.read.schema(kinds).parquet(path), moves.keys, moves.old_shard)
+    return _assigned(written.withColumnsRenamed({"shard": "__shard", "slot": "__slot"}), moves.keys).union(stayed)
 
 
 def _write(rows: DataFrame, path: str) -> None:
