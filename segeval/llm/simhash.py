@@ -20,7 +20,7 @@ fingerprint 0 and link like any other; equal fingerprints are one node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +123,13 @@ def near_duplicates(docs: DataFrame, keys: list[str], label: str) -> DataFrame:
     component of such rows alone has none.
     """
     prints = materialize(add_fingerprints(docs, keys), "fingerprints")
+    return grouped(prints, keys, label, near_links)
+
+
+def grouped(prints: DataFrame, keys: list[str], label: str, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``prints`` with ``component_id``; ``links`` gives ``a, b`` for distinct ``bits``."""
     distinct = materialize(prints.groupBy("bits").agg(F.min(label).alias("least"), F.count("*").alias("copies")), "distinct")
-    roots = materialize(components(near_links(distinct.select("bits"))), "roots")
+    roots = materialize(components(links(distinct.select("bits"))), "roots")
     linked = distinct.join(roots, F.col("bits") == F.col("node"))
     least = materialize(linked.groupBy("root").agg(F.min("least").alias("least")), "least")
     linked = roots.join(least, "root").select(F.col("node").alias("bits"), F.col("least").alias("component_id"))

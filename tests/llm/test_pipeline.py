@@ -1,12 +1,14 @@
 """The pipeline's stages against brute force, each on its own input, and the queries against their SQL."""
 
 import collections
+import random
 
 import duckdb
 import pytest
 
 import corpus_pipeline
 from segeval.llm import queries, stages
+from segeval.llm.shingles import similarity
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -34,6 +36,25 @@ def test_near_duplicates_with_repeated_rows(spark):
     assert sorted(kept, key=str) == sorted([(1, "a b c d"), (2, "p q r s t"), (3, None), (None, "u v w")], key=str)
 
 
+def test_near_duplicates_share_five_word_shingles(spark):
+    rng = random.Random(5)
+    rows, copies = [], {}
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        rows.append((1000 * i, " ".join(words)))
+        # One changed word takes 5 of 96 shingles: 91 of 101, three far apart 81 of 111.
+        for n in range(1, 4):
+            changed = list(words)
+            for at in (20, 50, 80)[:n]:
+                changed[at] = f"new{n}"
+            rows.append((1000 * i + n, " ".join(changed)))
+            copies[1000 * i + n] = similarity(rows[-1][1], rows[-1 - n][1])
+    assert {round(c, 2) for c in copies.values()} == {0.9, 0.81, 0.73}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in stages.one_of_each_group(docs).collect()}
+    assert kept == {i for i, _ in rows if copies.get(i, 0) < 0.8}
+
+
 def test_mix_repeats_documents(spark, odd_docs, odd_rows):
     rows = [(i, prose(i, 20), "ab"[i % 2]) for i in range(60)] + [(7, prose(7, 20), "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
