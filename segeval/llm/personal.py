@@ -2,10 +2,10 @@
 
 Base entities are e-mail addresses, IP addresses, card numbers and phone numbers.
 Information-theoretic sanitisation (Sanchez and Batet 2016) adds terms: the corpus
-tells how often a term stands near an entity, and a term ``t`` discloses the share
-``PMI(t; e) / IC(e)`` of an entity ``e``, with the probability of ``e`` and of ``t``
-taken over all documents. Terms at or above ``DISCLOSE`` for some entity, seen near
-it in at least ``SUPPORT`` documents, are marked wherever they occur; those at or
+tells which terms stand near an entity, and a term ``t`` discloses the share
+``PMI(t; e) / IC(e)`` of an entity ``e``, with the probabilities of ``e``, of ``t`` and
+of both taken over whole documents. Terms at or above ``DISCLOSE`` for some entity,
+with it in at least ``SUPPORT`` documents, are marked wherever they occur; those at or
 above ``REMOVE`` are to be removed, the others generalised.
 
 Edge cases: a null text is an empty one and has no spans. Repeated rows each count
@@ -195,21 +195,52 @@ def _frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("documents").alias("documents")).join(terms.select("term"), "term", "left_semi")
 
 
+def _pair(term: Column | str, entity: Column | str) -> Column:
+    return F.concat_ws("\n", term, entity).alias("term")
+
+
+def _together(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``term, entity, together``: documents that hold both of a given pair, wherever they stand in it."""
+    context = texts.sparkSession.sparkContext
+    of_terms, of_pairs = context.broadcast(term_filter(pairs.select("term"))), context.broadcast(term_filter(pairs.select(_pair("term", "entity"))))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term_passes, pair_passes = _Passes(of_terms.value), _Passes(of_pairs.value)
+        for batch in batches:
+            counts: Counter[tuple[str, str]] = Counter()
+            for text in batch.column("text").to_pylist():
+                if terms := [t for t in set(_TERM.findall(text.lower())) if term_passes[t]]:
+                    names = {entity(text, s) for s in base_spans(text)}
+                    counts.update((t, e) for e in names for t in terms if pair_passes[f"{t}\n{e}"])
+            columns = [pa.array([t for t, _ in counts], pa.string()), pa.array([e for _, e in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "entity", "together"])
+
+    partial = texts.select("text").mapInArrow(counted, "term string, entity string, together long")
+    return partial.groupBy("term", "entity").agg(F.sum("together").alias("together"))
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``term, entity, disclosure``: terms that reveal an entity, each with the entity it reveals most."""
+    """``term, entity, disclosure``: terms that reveal an entity, each with the entity it reveals most.
+
+    Terms near an entity are candidates; what they disclose is counted over whole documents.
+    """
     total = texts.count()
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("known"))
-    pairs = found.select(F.inline("near")).groupBy("term", "entity").agg(F.count("*").alias("together"))
-    pairs = pairs.where(F.col("together") >= SUPPORT)
-    content = -F.log(F.col("known") / F.lit(float(total)))
-    weighed = pairs.join(entities, "entity").withColumn("content", F.greatest(content, F.lit(1e-12)))
-    # A term discloses the pair's entity if it is in so many documents at most.
-    weighed = weighed.withColumn("most", F.col("together") * F.exp((1 - DISCLOSE) * F.col("content")))
-    best = F.max_by(F.struct("entity", "together", "content"), F.struct("most", "entity")).alias("best")
-    candidates = materialize(weighed.groupBy("term").agg(F.max("most").alias("most"), best), "candidates")
-    counted = _frequencies(texts, candidates).join(candidates, "term").where(F.col("documents") <= F.col("most"))
-    disclosure = 1 - F.log(F.col("documents") / F.col("best.together")) / F.col("best.content")
-    return counted.select("term", F.col("best.entity").alias("entity"), F.least(disclosure, F.lit(1.0)).alias("disclosure"))
+    content = F.greatest(-F.log(F.col("known") / F.lit(float(total))), F.lit(1e-12))
+    entities = entities.where(F.col("known") >= SUPPORT).withColumn("content", content)
+    # A term discloses an entity if it is in so many documents for each that holds both.
+    entities = entities.withColumn("factor", F.exp((1 - DISCLOSE) * F.col("content")))
+    near = found.select(F.inline("near")).distinct().join(entities, "entity")
+    # No pair is in more documents than its entity is.
+    near = materialize(near.withColumn("most", F.col("known") * F.col("factor")), "near")
+    terms = materialize(near.groupBy("term").agg(F.max("most").alias("most")), "terms")
+    counted = materialize(_frequencies(texts, terms), "counted")
+    candidates = materialize(near.join(counted, "term").where(F.col("documents").between(F.lit(SUPPORT), F.col("most"))), "candidates")
+    met = candidates.join(_together(texts, candidates), ["term", "entity"])
+    met = met.where((F.col("together") >= SUPPORT) & (F.col("documents") <= F.col("together") * F.col("factor")))
+    disclosure = F.least(1 - F.log(F.col("documents") / F.col("together")) / F.col("content"), F.lit(1.0))
+    best = F.max(F.struct(disclosure.alias("disclosure"), "entity")).alias("best")
+    return met.groupBy("term").agg(best).select("term", "best.entity", "best.disclosure")
 
 
 def _occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:

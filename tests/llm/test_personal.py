@@ -53,3 +53,13 @@ def test_revealing_terms_are_marked_everywhere(spark):
     assert not any(found[200 + i].terms for i in range(200))
     clean = personal.sanitise(rows[0][1], [("email", s.start, s.end) for s in found[0].base], [(s.start, s.end, s.remove) for s in found[0].terms])
     assert "[email]" in clean and "quill" not in clean.lower()
+
+
+def test_terms_far_from_the_entity_count_as_together(spark):
+    far = " ".join(["filler"] * 60)
+    rows = [(i, f"Quillon wrote {far if i % 2 else 'here'} to quill@mail.example.com") for i in range(10)]
+    rows += [(100 + i, f"{prose(i)} wrote here filler to nobody") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [s.term for s in r.terms] for r in personal.personal_spans(docs).collect()}
+    assert all(found[i] == ["quillon"] for i in range(10))
+    assert not any(found[100 + i] for i in range(300))
