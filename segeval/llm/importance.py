@@ -45,9 +45,9 @@ MIN_WORDS = 20
 SEED = 42
 
 #: Regular samples of all runs together, and segments between splitters; both bound what the driver holds.
-SAMPLES = 1 << 18
+SAMPLES = 1 << 16
 SEGMENT_ROWS = 1 << 20
-MIN_SEGMENTS, MAX_SEGMENTS = 64, 4096
+MIN_SEGMENTS, MAX_SEGMENTS = 512, 4096
 
 #: Words that a task keeps, and words that are combined at a time.
 KEPT_WORDS = 500_000

@@ -80,7 +80,7 @@ def test_copies_share_a_score_and_have_ranks_of_their_own(spark):
 
 
 @pytest.mark.parametrize("segments", [1, 7, 64])
-@pytest.mark.parametrize("samples", [10, 1 << 18])
+@pytest.mark.parametrize("samples", [10, 1 << 16])
 def test_ranks_with_ties_and_few_samples(spark, monkeypatch, segments, samples):
     monkeypatch.setattr(importance, "MIN_SEGMENTS", segments)
     monkeypatch.setattr(importance, "SAMPLES", samples)
