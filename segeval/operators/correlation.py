@@ -8,13 +8,14 @@ constant side gets NULL.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segeval.functions.expr import finite
 from segeval.functions.significance import kendall_p_value, t_test_p_value
-from segeval.operators.order import add_rank, assign_bins, find_cuts
+from segeval.operators.grouped import per_group
+from segeval.operators.order import rank_table
 from segeval.scratch import materialize
 
 COEFFICIENTS = ("pearson", "spearman", "kendall")
@@ -30,6 +31,13 @@ RESULT_COLUMNS = (
 )
 
 
+# Pairs per bin of a metric; beyond MAX_BINS * ROWS_PER_BIN pairs, bins grow with the data.
+ROWS_PER_BIN = 1 << 17
+MAX_BINS = 16384
+
+# Pairs of a group that are summed up in one task.
+GROUP_ROWS = 1 << 17
+
 # Per-metric statistics and sums from which all coefficients follow.
 STATS = ("n", "x_min", "x_max", "y_min", "y_max")
 SUMS = (
@@ -69,76 +77,95 @@ def pearson(scores: DataFrame) -> DataFrame:
     )
 
 
-def _weighted_pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs with their multiplicity, binned on both axes, with per-metric statistics."""
-    pairs = materialize(pairs.groupBy("metric", "x", "y").agg(F.count("*").cast("double").alias("w")), "pairs")
-    cuts = find_cuts(
-        pairs,
-        "metric",
-        ("x", "y"),
-        {
-            "n": F.sum("w"),
-            "x_mean": F.sum(F.col("w") * F.col("x")) / F.sum("w"),
-            "y_mean": F.sum(F.col("w") * F.col("y")) / F.sum("w"),
-            "x_min": F.min("x"),
-            "x_max": F.max("x"),
-            "y_min": F.min("y"),
-            "y_max": F.max("y"),
-        },
+def _ranks(pairs: DataFrame) -> DataFrame:
+    """``(metric, axis, value, weight, before, n, mean, bin)``: the rank table of both sides of the pairs.
+
+    Bins hold about ``ROWS_PER_BIN`` pairs. A value with more than that has a bin of its own, with an odd number.
+    """
+    side = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("value")) for c in "xy"]))
+    values = pairs.select("metric", "w", side.alias("s")).select("metric", "w", "s.*")
+    ranked = rank_table(values.groupBy("metric", "axis", "value").agg(F.sum("w").alias("weight")), "metric", "axis")
+    size = F.greatest(F.lit(float(ROWS_PER_BIN)), F.ceil(F.col("n") / MAX_BINS))
+    bin_ = 2 * F.floor(F.col("before") / size) + F.when(F.col("weight") >= size, 1).otherwise(0)
+    return ranked.withColumn("bin", bin_.cast("int"))
+
+
+def _side(ranks: DataFrame, axis: str) -> DataFrame:
+    """The rank table of one axis, to be joined to the pairs."""
+    columns = ("before", "weight", "n", "mean", "bin")
+    return ranks.where(F.col("axis") == axis).select("metric", F.col("value").alias(axis), *[F.col(c).alias(f"{axis}_{c}") for c in columns])
+
+
+def _side_sums(ranks: DataFrame, axis: str, **more: Column) -> DataFrame:
+    """Per metric: what follows from the distinct values of one side, and sums of ``more``."""
+    w = t = F.col("weight")
+    d, r = F.col("value") - F.col("mean"), _centred_rank()
+    terms = {f"s{axis}{axis}": d * d, f"r{axis}{axis}": r * r, f"{axis}_ties": (t - 1) / 2}
+    terms |= {f"{axis}_var": (t - 1) * (2 * t + 5), f"{axis}_cube": (t - 1) * (t - 2)}
+    return ranks.groupBy("metric").agg(
+        F.min("n").alias("n"),
+        F.min("value").alias(f"{axis}_min"),
+        F.max("value").alias(f"{axis}_max"),
+        *[F.sum(w * term).alias(name) for name, term in terms.items()],
+        *[F.sum(c).alias(name) for name, c in more.items()],
     )
-    return materialize(assign_bins(pairs, cuts, "metric"), "binned-pairs")
 
 
-def _moments(binned: DataFrame) -> DataFrame:
-    """Per metric: centred second moments of values and ranks, and the tie sums of Kendall's test."""
-    ranked = add_rank(add_rank(binned, "metric", "x", "w"), "metric", "y", "w", counted=binned)
+def _centred_rank() -> Column:
+    """Average rank of a rank table's value, less the mean rank, so that sums of products keep their digits."""
+    return F.col("before") + (F.col("weight") + 1) / 2 - (F.col("n") + 1) / 2
+
+
+def _rank_sums(scores: DataFrame) -> DataFrame:
+    """``STATS`` and the sums of values and ranks, one row per metric.
+
+    Ranks of ``x`` come from its histogram and join the pairs. The histogram of ``y`` then carries the sums of
+    those ranks, so the ranks of ``y`` are never joined to pairs.
+    """
+    pairs = finite_pairs(scores)
+    one = F.count("*").cast("double").alias("weight")
+    x = rank_table(pairs.groupBy("metric", F.col("x").alias("value")).agg(one), "metric")
+    ranks = x.select("metric", F.col("value").alias("x"), _centred_rank().alias("x_rank"), (F.col("value") - F.col("mean")).alias("x_off"))
+    of_x = [F.sum("x_rank").alias("x_ranks"), F.sum("x_off").alias("x_offs")]
+    y = rank_table(pairs.join(ranks, ["metric", "x"]).groupBy("metric", F.col("y").alias("value")).agg(one, *of_x), "metric")
+    products = {"rxy": _centred_rank() * F.col("x_ranks"), "sxy": (F.col("value") - F.col("mean")) * F.col("x_offs")}
+    return _side_sums(x, "x").join(_side_sums(y, "y", **products).drop("n"), "metric")
+
+
+def _cells(ranked: DataFrame) -> DataFrame:
+    """Per metric and pair of bins: the number of pairs, and sums over them."""
     w = F.col("w")
-    # Average rank of the tied values, centred at the mean rank.
-    centre = (F.col("n") + 1) / 2
-    dx, dy = F.col("x") - F.col("x_mean"), F.col("y") - F.col("y_mean")
-    rx = F.col("x_before") + (F.col("x_tied") + 1) / 2 - centre
-    ry = F.col("y_before") + (F.col("y_tied") + 1) / 2 - centre
-    tx, ty = F.col("x_tied"), F.col("y_tied")
-    sums = {
-        "sxx": dx * dx,
-        "syy": dy * dy,
-        "sxy": dx * dy,
-        "rxx": rx * rx,
-        "ryy": ry * ry,
-        "rxy": rx * ry,
-        "x_ties": (tx - 1) / 2,
-        "y_ties": (ty - 1) / 2,
-        "both_ties": (w - 1) / 2,
-        "x_var": (tx - 1) * (2 * tx + 5),
-        "y_var": (ty - 1) * (2 * ty + 5),
-        "x_cube": (tx - 1) * (tx - 2),
-        "y_cube": (ty - 1) * (ty - 2),
-    }
-    return ranked.groupBy("metric").agg(
-        *[F.min(c).alias(c) for c in STATS], *[F.sum(w * sums[name]).alias(name) for name in SUMS]
+    # Ranks are centred beforehand, so that the sum of products keeps its digits.
+    x_rank, y_rank = ((F.col(f"{c}_before") + (F.col(f"{c}_weight") + 1) / 2 - (F.col("x_n") + 1) / 2) for c in "xy")
+    return ranked.groupBy("metric", "x_bin", "y_bin").agg(
+        F.sum("w").alias("c"),
+        F.sum(w * (F.col("x") - F.col("x_mean")) * (F.col("y") - F.col("y_mean"))).alias("sxy"),
+        F.sum(w * x_rank * y_rank).alias("rxy"),
+        F.sum(w * (w - 1) / 2).alias("both_ties"),
     )
 
 
-def inversion_weight(first: np.ndarray, second: np.ndarray, weight: np.ndarray, block: np.ndarray) -> float:
-    """Sum of ``w_i * w_j`` over pairs of one block with ``first`` rising and ``second`` falling.
+def inversions(first: np.ndarray, second: np.ndarray, weight: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Per block, the sum of ``w_i * w_j`` over pairs with ``first`` rising and ``second`` falling.
 
-    Radix counting: pairs are split by the highest bit in which the ranks of
-    ``second`` differ, so each bit needs one pass of cumulative sums.
+    Blocks are numbered from 0. Radix counting: pairs are split by the highest bit in
+    which the ranks of ``second`` differ, so each bit needs one pass of cumulative sums
+    over the rows of all blocks together.
     """
+    blocks = int(block.max()) + 1 if len(block) else 0
     order = np.lexsort((second, first, block))
     weight = weight[order].astype(np.float64)
     _, rank = np.unique(second[order], return_inverse=True)
     bits = int(rank.max()).bit_length() if len(rank) else 0
-    _, group = np.unique(block[order], return_inverse=True)
-    key = (group.astype(np.int64) << bits) | rank
-    total = 0.0
+    key = (block[order].astype(np.int64) << bits) | rank
+    total = np.zeros(blocks)
     for bit in range(bits - 1, -1, -1):
         one = ((key >> bit) & 1).astype(bool)
         starts = np.flatnonzero(np.diff(key >> (bit + 1), prepend=-1))
         sizes = np.diff(starts, append=len(key))
         ones = np.cumsum(np.where(one, weight, 0.0))
         seen = ones - np.repeat(np.concatenate(([0.0], ones))[starts], sizes)
-        total += float(np.dot(seen[~one], weight[~one]))
+        total += np.bincount(key[~one] >> bits, weights=seen[~one] * weight[~one], minlength=blocks)
         # Move the zeros of every run before its ones, both in their old order.
         count = np.cumsum(one)
         before = np.concatenate(([0], count))[starts]
@@ -152,32 +179,47 @@ def inversion_weight(first: np.ndarray, second: np.ndarray, weight: np.ndarray,
     return total
 
 
-def _sums(scores: DataFrame, discordant: bool = True) -> DataFrame:
-    """``STATS``, ``SUMS`` and, if wanted, the discordant weight, one row per metric."""
-    binned = _weighted_pairs(finite_pairs(scores))
-    moments = _moments(binned)
-    table = moments.join(_discordant(binned), "metric") if discordant else moments.withColumn("discordant", F.lit(None).cast("double"))
-    return table.select("metric", *STATS, *SUMS, "discordant")
-
-
-def _discordant_in_bin(frame: pd.DataFrame) -> pd.DataFrame:
-    """Discordant weight inside one bin of one axis, leaving out pairs that share the other bin if ``other`` is set."""
-    own, cross = frame["own"].to_numpy(), frame["cross"].to_numpy()
-    weight, other = frame["w"].to_numpy(), frame["other"].to_numpy()
-    total = inversion_weight(own, cross, weight, np.zeros(len(frame), dtype=np.int64))
-    if other[0] >= 0:
-        total -= inversion_weight(own, cross, weight, other)
-    return pd.DataFrame({"metric": [frame["metric"].iloc[0]], "discordant": [total]})
-
-
-def _discordant_in_block(frame: pd.DataFrame) -> pd.DataFrame:
+def inversion_weight(first: np.ndarray, second: np.ndarray, weight: np.ndarray, block: np.ndarray) -> float:
+    """The same over all blocks."""
+    _, number = np.unique(block, return_inverse=True)
+    return float(inversions(first, second, weight, number).sum())
+
+
+def _sums(scores: DataFrame) -> DataFrame:
+    """``STATS``, ``SUMS`` and the discordant weight, one row per metric."""
+    pairs = finite_pairs(scores).groupBy("metric", "x", "y").agg(F.count("*").cast("double").alias("w"))
+    pairs = materialize(pairs, "pairs")
+    ranks = _ranks(pairs)
+    ranked = pairs.join(_side(ranks, "x"), ["metric", "x"]).join(_side(ranks, "y"), ["metric", "y"])
+    ranked = materialize(ranked, "ranked-pairs")
+    cells = materialize(_cells(ranked), "cells")
+    of_pairs = cells.groupBy("metric").agg(*[F.sum(c).alias(c) for c in ("sxy", "rxy", "both_ties")])
+    sides = [_side_sums(ranks.where(F.col("axis") == axis), axis) for axis in "xy"]
+    table = sides[0].join(sides[1].drop("n"), "metric").join(of_pairs, "metric")
+    return table.join(_discordant(ranked, cells), "metric").select("metric", *STATS, *SUMS, "discordant")
+
+
+def _discordant_in_bins(rows: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
+    """Discordant weight inside bins of one axis, leaving out pairs that share the other bin if ``other`` is set."""
+    own, cross, weight, other = (rows.column(c).to_numpy() for c in ("own", "cross", "w", "other"))
+    total = inversions(own, cross, weight, group)
+    # Within a group, rows of the same other bin are a block of their own.
+    inner = other >= 0
+    if inner.any():
+        _, block = np.unique(np.stack([group[inner], other[inner]]), axis=1, return_inverse=True)
+        block = block.reshape(-1)
+        owner = np.zeros(int(block.max()) + 1, dtype=np.int64)
+        owner[block] = group[inner]
+        total -= np.bincount(owner, weights=inversions(own[inner], cross[inner], weight[inner], block), minlength=len(total))
+    return {"discordant": total}
+
+
+def _discordant_in_blocks(rows: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
     """Discordant weight between cells of one block that differ in both bins."""
-    x, y, weight = (frame[c].to_numpy() for c in ("x_bin", "y_bin", "c"))
-    total = inversion_weight(x, y, weight, np.zeros(len(frame), dtype=np.int64))
-    return pd.DataFrame({"metric": [frame["metric"].iloc[0]], "discordant": [total]})
+    return {"discordant": inversions(*(rows.column(c).to_numpy() for c in ("x_bin", "y_bin", "c")), group)}
 
 
-def _discordant(binned: DataFrame) -> DataFrame:
+def _discordant(binned: DataFrame, cells: DataFrame) -> DataFrame:
     """``(metric, discordant)``: weight of pairs ordered differently by the two scores.
 
     Pairs in different bins on both axes are counted from the table of bin
@@ -186,13 +228,10 @@ def _discordant(binned: DataFrame) -> DataFrame:
     that share a bin are counted bin by bin. Bins of one value hold no discordant
     pair on their own axis.
     """
-    cells = binned.groupBy("metric", "x_bin", "y_bin").agg(F.sum("w").alias("c"))
     size = cells.groupBy("metric").agg(F.max("x_bin").alias("x_last"), F.max("y_bin").alias("y_last"))
     # As many blocks as bins in a block: the grid of blocks and bins stays far below that of all bins.
     size = size.withColumn("width", F.ceil(F.sqrt(F.col("x_last") + 1)).cast("int"))
-    cells = materialize(
-        cells.join(size.select("metric", "width"), "metric").withColumn("block", F.floor(F.col("x_bin") / F.col("width")).cast("int")), "cells"
-    )
+    cells = cells.join(size.select("metric", "width"), "metric").withColumn("block", F.floor(F.col("x_bin") / F.col("width")).cast("int"))
     sums = cells.groupBy("metric", "block", "y_bin").agg(F.sum("c").alias("c"))
     last_block = F.floor(F.col("x_last") / F.col("width")).cast("int")
     grid = (
@@ -205,20 +244,15 @@ def _discordant(binned: DataFrame) -> DataFrame:
     right = Window.partitionBy("metric", "y_bin").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     below = grid.withColumn("below", F.sum("c").over(lower)).withColumn("below_right", F.sum("below").over(right))
     across = below.select("metric", (F.col("c") * F.coalesce("below_right", F.lit(0.0))).alias("discordant"))
-    in_block = cells.groupBy("metric", "block").applyInPandas(_discordant_in_block, "metric string, discordant double")
+    in_block = per_group(cells, ["metric", "block"], _discordant_in_blocks, "discordant double").select("metric", "discordant")
     one_axis = F.explode(
         F.array(
             F.struct(F.lit("x").alias("axis"), F.col("x_bin").alias("bin"), F.col("x").alias("own"), F.col("y").alias("cross"), F.lit(-1).alias("other")),
             F.struct(F.lit("y").alias("axis"), F.col("y_bin").alias("bin"), F.col("y").alias("own"), F.col("x").alias("cross"), F.col("x_bin").alias("other")),
         )
     )
-    within = (
-        binned.select("metric", "w", one_axis.alias("side"))
-        .select("metric", "w", "side.*")
-        .where(F.col("bin") % 2 == 0)
-        .groupBy("metric", "axis", "bin")
-        .applyInPandas(_discordant_in_bin, "metric string, discordant double")
-    )
+    sided = binned.select("metric", "w", one_axis.alias("side")).select("metric", "w", "side.*").where(F.col("bin") % 2 == 0)
+    within = per_group(sided, ["metric", "axis", "bin"], _discordant_in_bins, "discordant double").select("metric", "discordant")
     return across.unionByName(in_block).unionByName(within).groupBy("metric").agg(F.sum("discordant").alias("discordant"))
 
 
@@ -251,7 +285,7 @@ def _kendall_columns(df: DataFrame) -> DataFrame:
 
 def spearman(scores: DataFrame) -> DataFrame:
     """``(metric, n, spearman)``: Pearson's coefficient of the average ranks."""
-    sums = _sums(scores, discordant=False)
+    sums = _rank_sums(scores)
     return sums.select("metric", F.col("n").cast("long").alias("n"), _spearman_column().alias("spearman"))
 
 
@@ -262,16 +296,11 @@ def kendall(scores: DataFrame) -> DataFrame:
     )
 
 
-def correlations(scores: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """All three coefficients and their p-values, one row per metric.
-
-    ``metrics`` (a column ``metric``) lists metrics that must appear even if
-    they have no usable pair; their values are NULL. The distinct pairs are
-    written and binned when this is called.
-    """
-    table = _kendall_columns(_sums(scores))
+def _coefficients(sums: DataFrame) -> DataFrame:
+    """``RESULT_COLUMNS`` from ``STATS``, ``SUMS`` and the discordant weight."""
+    table = _kendall_columns(sums)
     untied = (F.col("x_ties") == 0) & (F.col("y_ties") == 0)
-    result = table.select(
+    return table.select(
         "metric",
         F.col("n").cast("long").alias("n"),
         _pearson_column().alias("pearson"),
@@ -288,6 +317,75 @@ def correlations(scores: DataFrame, metrics: DataFrame | None = None) -> DataFra
         t_test_p_value(F.col("spearman"), F.col("n"), F.lit(None).cast("double")).alias("p_value_spearman"),
         kendall_p_value(F.col("kendall_z"), F.col("n"), F.col("discordant"), F.col("untied")).alias("p_value_kendall"),
     )
+
+
+def correlations(scores: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """All three coefficients and their p-values, one row per metric.
+
+    ``metrics`` (a column ``metric``) lists metrics that must appear even if
+    they have no usable pair; their values are NULL. The distinct pairs are
+    written and binned when this is called.
+    """
+    result = _coefficients(_sums(scores))
     if metrics is not None:
         result = metrics.select("metric").distinct().join(result, "metric", "left")
     return result.select(*RESULT_COLUMNS)
+
+
+def _tied(value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Average rank of every value in its group, and how many values of the group equal it."""
+    order = np.lexsort((value, group))
+    v, g = value[order], group[order]
+    starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (g[1:] != g[:-1])]))
+    sizes = np.diff(starts, append=len(v))
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    before = starts - np.repeat(first, np.diff(first, append=len(v)))[starts]
+    rank, tied = np.empty(len(v)), np.empty(len(v))
+    rank[order] = np.repeat(before + (sizes + 1) / 2, sizes)
+    tied[order] = np.repeat(sizes, sizes)
+    return rank, tied
+
+
+def _group_sums(rows: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
+    """``STATS``, ``SUMS`` and the discordant pairs of many small groups at once."""
+    x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+    n = np.bincount(group).astype(np.float64)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(group, weights=values, minlength=len(n))
+
+    out = {"n": n, "discordant": inversions(x, y, np.ones(len(x)), group)}
+    off, rank = {}, {}
+    for axis, value in (("x", x), ("y", y)):
+        out |= {f"{axis}_min": np.minimum.reduceat(value, starts), f"{axis}_max": np.maximum.reduceat(value, starts)}
+        off[axis] = value - (total(value) / n)[group]
+        mean_rank, t = _tied(value, group)
+        rank[axis] = mean_rank - ((n + 1) / 2)[group]
+        out |= {f"{axis}_ties": total((t - 1) / 2), f"{axis}_var": total((t - 1) * (2 * t + 5)), f"{axis}_cube": total((t - 1) * (t - 2))}
+    for a, b in ("xx", "yy", "xy"):
+        out |= {f"s{a}{b}": total(off[a] * off[b]), f"r{a}{b}": total(rank[a] * rank[b])}
+    # Equal pairs are found by numbering the values of one side within the groups.
+    _, number = np.unique(np.stack([group, x]), axis=1, return_inverse=True)
+    out["both_ties"] = total((_tied(y, number.reshape(-1))[1] - 1) / 2)
+    return out
+
+
+def group_correlations(scores: DataFrame, by: list[str]) -> DataFrame:
+    """The columns ``by``, ``n``, all three coefficients and their p-values: one row per group with a usable pair.
+
+    For many groups, such as raters or documents per metric: one shuffle by the group, and small groups are summed up
+    together, an Arrow table at a time. A group of more than ``GROUP_ROWS`` pairs goes through the rank tables of
+    ``correlations`` instead, so none has to fit a task. ``scores`` is read for the sizes of the groups first;
+    write it beforehand if it is costly to compute.
+    """
+    pairs = finite_pairs(scores.withColumn("__group", F.struct(*by)), metric="__group")
+    large = materialize(pairs.groupBy("metric").count().where(F.col("count") > GROUP_ROWS).select("metric"), "large-groups")
+    schema = ", ".join(f"{name} double" for name in (*STATS, *SUMS, "discordant"))
+    some = not large.isEmpty()
+    small = pairs.join(large, "metric", "left_anti") if some else pairs
+    found = _coefficients(per_group(small, ["metric"], _group_sums, schema))
+    if some:
+        pairs = pairs.join(large, "metric", "left_semi")
+        found = found.unionByName(_coefficients(_sums(pairs.select("metric", F.col("x").alias("score"), F.col("y").alias("human")))))
+    return found.select("metric.*", *RESULT_COLUMNS[1:])

@@ -1,120 +1,74 @@
-"""Exact ranks and quantiles without sorting a group in one task.
+"""Exact ranks and quantiles from value histograms.
 
-Values are cut into bins at approximate quantiles. Every cut value gets a bin of
-its own (odd bin numbers), so a value that holds a large share of the rows never
-fills a bin of ordered values. Wrong cuts would only unbalance the bins: ranks
-are exact for any cuts, and the cuts are fixed in the plan once computed.
+A histogram has one row per group and distinct value. It is dealt into ranges of
+group and value, so a range holds no hot key, however many rows share a value. Sums
+within a range, plus the totals of the ranges before it, give every value's rank.
+Nothing goes through the driver, and no task orders more than a range of distinct
+values.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segeval.functions.expr import let
-from segeval.operators.skew import spread_lane
+from segeval.operators.grouped import group_starts
 from segeval.scratch import materialize
 
-# Most bins per group and column; beyond MAX_BINS * ROWS_PER_BIN rows, bins grow with the data.
-MAX_BINS = 16384
-MIN_BINS = 8
-ROWS_PER_BIN = 1 << 17
-# Tables of cuts and offsets up to this size are broadcast; larger ones are joined.
-BROADCAST_BYTES = 32 << 20
 
+def ranges(df: DataFrame, *keys: str, name: str = "ranges") -> DataFrame:
+    """``df`` dealt into ranges of its keys and written; the range number ``part`` rises with the keys."""
+    return materialize(df.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), name)
 
-def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Marked for broadcast if its size, known from the number of bins, is small enough."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
+def _running(group: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``upto``: the weight of the smaller values of the group in the same range. Rows come sorted."""
 
-@dataclass
-class Cuts:
-    """Cut values per group, with per-group statistics alongside; one row per group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            weight = batch.column("weight").to_numpy(zero_copy_only=False)
+            first = [batch.column(g)[0].as_py() for g in group]
+            starts = group_starts(batch, group)
+            before = np.cumsum(weight) - weight
+            offset = -before[starts]
+            offset[0] = carried if first == last else 0.0
+            upto = before + np.repeat(offset, np.diff(starts, append=batch.num_rows))
+            last, carried = [batch.column(g)[-1].as_py() for g in group], upto[-1] + weight[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto, pa.float64())], [*batch.schema.names, "upto"])
 
-    table: DataFrame
-    columns: tuple[str, ...]
-    longest: int
-    groups: int
+    return run
 
 
-def find_cuts(df: DataFrame, group: str, columns: tuple[str, ...], extra: dict[str, Column] | None = None) -> Cuts:
-    """Cut values per group for every column, about ``ROWS_PER_BIN`` rows apart.
+def rank_table(counts: DataFrame, *group: str) -> DataFrame:
+    """``counts`` with the weight of smaller values in the group, ``before``, and the group's weight ``n`` and ``mean``.
 
-    They go through the driver: one row per group and at most ``MAX_BINS``
-    values per column, so ``group`` must be a small set such as metric names.
-    ``df`` should be a written table: its rows are counted first.
+    ``counts`` has one row per group and ``value``, with its ``weight`` as a double, and may have more columns. Its ranges are written, with
+    their running sums, when this is called; what is joined to them is one row per group and range.
     """
-    extra = extra or {}
-    bins = min(MAX_BINS, max(MIN_BINS, -(-df.count() // ROWS_PER_BIN)))
-    shares = F.lit([i / bins for i in range(1, bins)]).cast("array<double>")
-    aggregates = [F.percentile_approx(c, shares, max(1000, 8 * bins)).alias(c) for c in columns]
-    aggregates += [expr.alias(name) for name, expr in extra.items()]
-    grouped = df.groupBy(group).agg(*aggregates)
-    rows, longest = [], 0
-    for row in grouped.collect():
-        cuts = [sorted(set(row[c] or [])) for c in columns]
-        longest = max(longest, *map(len, cuts))
-        rows.append([row[group], *cuts, *[row[name] for name in extra]])
-    fields = [grouped.schema[group]]
-    fields += [T.StructField(f"__cuts_{c}", T.ArrayType(T.DoubleType())) for c in columns]
-    fields += [grouped.schema[name] for name in extra]
-    table = df.sparkSession.createDataFrame(rows, T.StructType(fields))
-    return Cuts(table, tuple(columns), longest, len(rows))
-
-
-def _bin(value: Column, cuts: Column, longest: int) -> Column:
-    """``2 * (cuts below value)``, plus one if the value is itself a cut; by binary search."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(longest.bit_length()))] or [F.lit(1)])
-    below = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(F.get(cuts, low + step - 1) < value, low + step).otherwise(low),
+    dealt = counts.repartitionByRange(*group, "value").sortWithinPartitions(*group, "value")
+    dealt = dealt.withColumn("part", F.spark_partition_id())
+    ranged = materialize(dealt.mapInArrow(_running(list(group)), T.StructType([*dealt.schema, T.StructField("upto", T.DoubleType())])), "ranges")
+    totals = ranged.groupBy(*group, "part").agg(
+        F.sum("weight").alias("__total"), F.sum(F.col("weight") * F.col("value")).alias("__values")
     )
-    return let(below, lambda b: 2 * b + F.when(F.get(cuts, b) == value, 1).otherwise(0))
-
-
-def assign_bins(df: DataFrame, cuts: Cuts, group: str) -> DataFrame:
-    """Add ``<column>_bin`` for every cut column, and the per-group statistics."""
-    joined = df.join(small_side(cuts.table, cuts.groups * len(cuts.columns) * max(1, cuts.longest), 8), group)
-    bins = [_bin(F.col(c), F.col(f"__cuts_{c}"), cuts.longest).alias(f"{c}_bin") for c in cuts.columns]
-    kept = [c for c in joined.columns if not c.startswith("__cuts_")]
-    return joined.select(*kept, *bins)
-
-
-def add_rank(binned: DataFrame, group: str, column: str, weight: str, counted: DataFrame | None = None) -> DataFrame:
-    """Add ``<column>_before`` and ``<column>_tied``: weight of smaller and of equal values in the group.
-
-    ``counted`` is a cheaper table with the same rows, such as the written one that
-    ``binned`` comes from; bins are counted there.
-    """
-    bin_ = f"{column}_bin"
-    single = F.col(bin_) % 2 == 1
-    totals = (binned if counted is None else counted).groupBy(group, bin_).agg(F.sum(weight).alias("__bin_total"))
-    by_bin = Window.partitionBy(group).orderBy(bin_)
+    whole, ahead = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("part")
     offsets = totals.select(
-        group,
-        bin_,
-        "__bin_total",
-        F.coalesce(F.sum("__bin_total").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
-    )
-    # A single-value bin needs no order, so its rows are spread over lanes.
-    lanes = binned.withColumn("__lane", F.when(single, spread_lane(binned.columns)).otherwise(0))
-    # Both windows share one shuffle and one sort.
-    order = Window.partitionBy(group, bin_, "__lane").orderBy(column)
-    through = F.sum(weight).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    tied = F.sum(weight).over(Window.partitionBy(group, bin_, "__lane", column))
-    ranked = lanes.select(*binned.columns, through.alias("__through"), tied.alias("__tied"))
-    # Spark sees the size of the offsets when they are there, and broadcasts them if they are small.
-    placed = ranked.join(offsets, [group, bin_])
-    return placed.select(
-        *binned.columns,
-        (F.col("__offset") + F.when(single, 0).otherwise(F.col("__through") - F.col("__tied"))).alias(f"{column}_before"),
-        F.when(single, F.col("__bin_total")).otherwise(F.col("__tied")).alias(f"{column}_tied"),
+        *group,
+        "part",
+        (F.sum("__total").over(ahead) - F.col("__total")).alias("__ahead"),
+        F.sum("__total").over(whole).alias("n"),
+        (F.sum("__values").over(whole) / F.sum("__total").over(whole)).alias("mean"),
     )
+    joined = ranged.join(offsets, [*group, "part"])
+    return joined.select(*counts.columns, (F.col("__ahead") + F.col("upto")).alias("before"), "n", "mean")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -124,7 +78,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
         df.select(F.lit("all").alias("grp"), value.alias("value"))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("grp", "value")
-        .agg(F.count("*").alias("weight"))
+        .agg(F.count("*").cast("double").alias("weight"))
     )
 
 
@@ -132,15 +86,12 @@ def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> Dat
     """One row with the linearly interpolated quantiles of a column, NULL and NaN skipped.
 
     The value at each needed position is found through exact cumulative counts,
-    so no task ever holds all values. The distinct values are written and their
-    cuts found when this is called.
+    so no task ever holds all values. The distinct values are written when this is called.
     """
-    counts = materialize(value_counts(df, column), "value-counts")
-    cuts = find_cuts(counts, "grp", ("value",), {"n": F.sum("weight")})
-    ranked = add_rank(assign_bins(counts, cuts, "grp"), "grp", "value", "weight")
+    ranked = rank_table(value_counts(df, column), "grp")
 
     def at(position: Column) -> Column:
-        holds = (F.col("value_before") <= position) & (position < F.col("value_before") + F.col("value_tied"))
+        holds = (F.col("before") <= position) & (position < F.col("before") + F.col("weight"))
         return F.min(F.when(holds, F.col("value")))
 
     aggregates = []
@@ -162,20 +113,16 @@ def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> Dat
 def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
     """The ``n`` rows with the smallest values of ``order``, a unique numeric row id.
 
-    Ids are counted in bins first, and only the bin that holds the last row kept
-    is looked at by value, so no task ever orders more than a bin. Texts stay
-    where they are and are filtered by the id of that row. Runs three jobs over
-    the ids when it is called.
+    Ids are dealt into ranges, and only the range that holds the last row kept is
+    looked at by value, so no task ever orders more than a range. Texts stay where
+    they are and are filtered by the id of that row. The driver gets one count per
+    range. Runs jobs over the ids when it is called.
     """
-    key = F.col(order).cast("long")
-    # Bins of doubles: casting keeps the order, so a bin's ids are a range.
-    ids = df.select(F.lit("all").alias("grp"), key.cast("double").alias("value"), key.alias("id")).where("id is not null")
-    cuts = find_cuts(ids, "grp", ("value",))
-    binned = assign_bins(ids, cuts, "grp")
+    ids = ranges(df.select(F.col(order).cast("long").alias("id")).where("id is not null"), "id", name="ids")
     left = n
-    for row in sorted(binned.groupBy("value_bin").count().collect()):
+    for row in sorted(ids.groupBy("part").count().collect()):
         if row["count"] >= left:
-            within = binned.where(F.col("value_bin") == row["value_bin"]).orderBy("id").limit(max(left, 1))
+            within = ids.where(F.col("part") == row["part"]).orderBy("id").limit(max(left, 1))
             last = within.agg(F.max("id")).first()[0]
             return df.where((F.col(order) <= last) & F.lit(n > 0))
         left -= row["count"]

@@ -9,8 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from segeval.functions import significance
-from segeval.operators import correlation, order
-from segeval.operators.correlation import correlations, inversion_weight, kendall, pearson, spearman
+from segeval.operators import correlation, grouped, order
+from segeval.operators.correlation import correlations, group_correlations, inversion_weight, kendall, pearson, spearman
 
 # Published agreement of seven metrics with 400 human ratings: coefficients and p-values.
 PUBLISHED = {
@@ -53,7 +53,7 @@ def long_table(spark, samples):
 
 @pytest.mark.parametrize("rows_per_bin", [40, 1 << 17], ids=["many bins", "few bins"])
 def test_coefficients_equal_brute_force(long_table, samples, monkeypatch, rows_per_bin):
-    monkeypatch.setattr(order, "ROWS_PER_BIN", rows_per_bin)
+    monkeypatch.setattr(correlation, "ROWS_PER_BIN", rows_per_bin)
     got = {r.metric: r for r in correlations(long_table.repartition(3)).collect()}
     pairs = {r.metric: r for r in kendall(long_table).collect()}
     assert set(got) == set(samples)
@@ -135,8 +135,7 @@ def test_spearman_ignores_monotone_maps(long_table):
     assert before == pytest.approx(after)
 
 
-def test_quantiles(spark, monkeypatch):
-    monkeypatch.setattr(order, "ROWS_PER_BIN", 16)
+def test_quantiles(spark):
     rng = np.random.default_rng(1)
     for values in (rng.random(501), rng.integers(0, 7, 400).astype(float), np.array([3.0])):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
@@ -145,7 +144,33 @@ def test_quantiles(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("n", [0, 1, 40, 499, 500, 900])
-def test_first_rows(spark, monkeypatch, n):
-    monkeypatch.setattr(order, "ROWS_PER_BIN", 30)
+def test_first_rows(spark, n):
     df = spark.range(500).selectExpr("id * 7 AS row_id", "id").repartition(5)
     assert sorted(r.row_id for r in order.first_rows(df, n, "row_id").collect()) == [7 * i for i in range(min(n, 500))]
+
+
+@pytest.mark.parametrize("rows_at_once", [7, 1 << 16])
+@pytest.mark.parametrize("group_rows", [120, 1 << 17])
+def test_many_groups(spark, monkeypatch, rows_at_once, group_rows):
+    monkeypatch.setattr(grouped, "ROWS_AT_ONCE", rows_at_once)
+    monkeypatch.setattr(correlation, "GROUP_ROWS", group_rows)
+    rng = np.random.default_rng(8)
+    groups = {(m, r): (rng.integers(0, 6, n).astype(float), rng.integers(0, 9, n).astype(float)) for m in "ab" for r, n in ((None, 30), (1, 2), (2, 1), (3, 300), (4, 40))}
+    groups["b", 5] = (np.ones(20), rng.random(20))
+    rows = [(m, r, float(x), float(y)) for (m, r), pairs in groups.items() for x, y in zip(*pairs)] + [("a", 9, None, 1.0), ("a", 1, float("nan"), 2.0)]
+    table = spark.createDataFrame(rows, "metric string, rater int, score double, human double").repartition(4)
+    got = {(r.metric, r.rater): r for r in group_correlations(table, ["metric", "rater"]).collect()}
+    assert set(got) == set(groups)
+    whole = {r.metric: r for r in correlations(table.selectExpr("concat(metric, coalesce(cast(rater AS string), 'null')) AS metric", "score", "human")).collect()}
+    for (m, r), (x, y) in groups.items():
+        row, one = got[m, r], whole[f"{m}{'null' if r is None else r}"]
+        assert row.n == len(x)
+        for name in correlation.RESULT_COLUMNS[2:]:
+            assert row[name] == (None if one[name] is None else pytest.approx(one[name], abs=1e-12)), (m, r, name)
+        if len(x) > 2 and r != 5:
+            assert (row.pearson, row.spearman, row.kendall) == pytest.approx(brute(x, y)[:3], abs=1e-12)
+
+
+def test_no_groups(spark):
+    empty = spark.createDataFrame([], "metric string, rater int, score double, human double")
+    assert group_correlations(empty, ["metric", "rater"]).collect() == []
