@@ -296,6 +296,31 @@ FIVE = """f AS (
   UNION ALL SELECT 'minus', 3, -pearson, -spearman, -kendall FROM c WHERE metric = 'hour'
   UNION ALL SELECT 'hour', 4, pearson, spearman, kendall FROM c WHERE metric = 'hour')"""
 
+
+
+def corpus_scored(by: str) -> str:
+    """Corpus scores of the rated documents, over the columns ``by``."""
+    return f"""WITH {RATED}, {BLEU}, {CHRF},
+bsum AS (
+  SELECT {by}, n, sum(match)::DOUBLE AS match, sum(greatest(total, 0))::DOUBLE AS total, sum(hl)::DOUBLE AS hl, sum(fl)::DOUBLE AS fl
+  FROM bo JOIN r USING (row_id) GROUP BY {by}, n),
+bnum AS (SELECT *, count(*) FILTER (WHERE match = 0) OVER (PARTITION BY {by} ORDER BY n) AS unmatched FROM bsum),
+bcorpus AS (
+  SELECT {by}, CASE WHEN sum(match) = 0 OR min(total) = 0 THEN 0.0
+      ELSE (CASE WHEN any_value(hl) < any_value(fl) THEN exp(1 - any_value(fl) / any_value(hl)) ELSE 1.0 END)
+        * exp(avg(CASE WHEN total = 0 THEN 0 WHEN match > 0 THEN ln(100.0 * match / total) ELSE ln(100.0 / (2 ** unmatched * total)) END)) END AS corpus_bleu
+  FROM bnum GROUP BY {by}),
+csum AS (
+  SELECT {by}, tag, n, sum(match)::DOUBLE AS match, sum(CASE WHEN ft > 0 THEN greatest(ht, 0) ELSE 0 END)::DOUBLE AS ht, sum(greatest(ft, 0))::DOUBLE AS ft
+  FROM co JOIN r USING (row_id) GROUP BY {by}, tag, n),
+cavg AS (
+  SELECT {by}, coalesce(avg(match / ht) FILTER (WHERE ht > 0 AND ft > 0), 0) AS p,
+         coalesce(avg(match / ft) FILTER (WHERE ht > 0 AND ft > 0), 0) AS q FROM csum GROUP BY {by}),
+counted AS (SELECT {by}, count(*) AS n_rows FROM r WHERE targetText IS NOT NULL AND referenceText IS NOT NULL GROUP BY {by})
+SELECT {by}, n_rows, round(corpus_bleu, 6) AS corpus_bleu, round(CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0.0 END, 6) AS corpus_chrfplusplus
+FROM counted JOIN bcorpus USING ({by}) JOIN cavg USING ({by})"""
+
+
 # --- one statement per query ----------------------------------------------------------------
 
 ORACLES: dict[str, str] = {
@@ -442,4 +467,25 @@ WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.row_id = o_orderkey AND status = '
     CASE WHEN o_orderstatus = 'F' THEN coalesce(status, 'missing') ELSE 'not_sent' END AS status
   FROM orders LEFT JOIN res ON res.row_id = o_orderkey)
 SELECT row_id, o_orderstatus, round(coalesce(score, avg(score) OVER ()), 9) AS score, status, status = 'not_sent' AS is_imputed FROM t""",
+    "rater_agreement": f"""WITH s AS (
+  SELECT event_id AS id, 'hour/' || user_id AS metric, hour(ts)::DOUBLE AS x, value AS y FROM events
+  UNION ALL SELECT event_id, 'key/' || user_id, (props::JSON ->> '$.k')::DOUBLE, value FROM events WHERE props::JSON ->> '$.k' IS NOT NULL),
+{CORRELATED}
+SELECT split_part(base.metric, '/', 1) AS metric, split_part(base.metric, '/', 2)::BIGINT AS rater, base.n, round(base.pearson, 9) + 0.0 AS pearson,
+  round(base.spearman, 9) + 0.0 AS spearman, round(kendall, 9) + 0.0 AS kendall FROM base LEFT JOIN c USING (metric)""",
+    "corpus_scores_by_source": corpus_scored("createdBy_id, score"),
+    "corpus_scores_added": corpus_scored("createdBy_id"),
+    "scores_of_distinct_texts": f"""WITH r AS (
+  SELECT doc_id AS row_id, d.text AS targetText, b.text AS referenceText
+  FROM documents d JOIN benchmark b ON b.item_id = length(d.text) % (SELECT count(*) FROM benchmark)),
+{CHRF}, {EDITS}
+SELECT row_id, min(row_id) OVER (PARTITION BY targetText, referenceText) AS scored_key,
+  round(greatest(0.0, 1 - word_edit_rate / 100), 6) AS wer_score, round(chrfplusplus_score, 6) AS chrfplusplus_score
+FROM r JOIN wer USING (row_id) JOIN chrf USING (row_id)""",
+    "evaluation_resumed": f"""WITH {WER_ALONE}
+SELECT row_id, round(human_score, 6) AS human_score, CASE WHEN row_id % 2 = 0 THEN 0.5 ELSE round(wer_score, 6) END AS wer_score FROM w""",
+    "registered_table_metric": f"""WITH {WER_ALONE}
+SELECT row_id, round(human_score, 6) AS human_score, round(wer_score, 6) AS wer_score,
+  round(length(targetText) - avg(length(targetText)) OVER (PARTITION BY len(string_split(sourceText, ' '))), 6) + 0.0 AS length_offset_score
+FROM w JOIN r USING (row_id)""",
 }

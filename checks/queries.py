@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from checks.tables import event_ratings, event_scores, line_scores, rated_documents, replies, table, LINE_METRICS
 from segeval.functions.expr import score_column, score_column_expr
 from segeval.functions.judging import extract_score
-from segeval.operators import judge, lexical, profile, ranking, ratings, scoring, training
-from segeval.operators.correlation import correlations, kendall, pearson, spearman
+from segeval.operators import corpus, judge, lexical, profile, ranking, ratings, scoring, training
+from segeval.operators.correlation import correlations, group_correlations, kendall, pearson, spearman
 from segeval.operators.order import first_rows
 from segeval.plans.annotate import annotate_csv
 from segeval.plans.evaluate import evaluate
@@ -522,6 +522,62 @@ def judge_mean_fill(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(judge.join_and_fill(rows, judge.parse_results(_result_lines(spark, sf)), sent, "reference_free"), 9)
 
 
+# --- groups, corpus scores, repeated texts, stored scores ------------------------------------------
+
+
+def rater_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement of both event metrics with the value, for every user on their own."""
+    users = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("rater"))
+    found = group_correlations(event_scores(spark, sf).join(users, "row_id"), ["metric", "rater"])
+    return rounded(found.select("metric", "rater", "n", "pearson", "spearman", "kendall"), 9)
+
+
+def corpus_scores_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """BLEU and chrF++ of all rated documents of a source and label together."""
+    by = ["createdBy_id", "score"]
+    return rounded(corpus.corpus_scores(corpus.corpus_counts(rated_documents(spark, sf), by), by))
+
+
+def corpus_scores_added(spark: SparkSession, sf: str) -> DataFrame:
+    """The same per source, from stored counts per source and label; no text is read again."""
+    counts = materialize(corpus.corpus_counts(rated_documents(spark, sf), ["createdBy_id", "score"]), "corpus-counts")
+    return rounded(corpus.corpus_scores(corpus.add_counts(counts, ["createdBy_id"]), ["createdBy_id"]))
+
+
+def scores_of_distinct_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents against a reference that their length picks: copies are scored once, as the row ``scored_key``."""
+    benchmark = table(spark, sf, "benchmark")
+    size = benchmark.agg(F.count("*")).scalar()
+    pairs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("targetText"))
+    pairs = pairs.withColumn("item_id", F.length("targetText") % size).join(benchmark.withColumnRenamed("text", "referenceText"), "item_id")
+    return rounded(scoring.scores_once(pairs.drop("item_id"), ["WER", "CHRF++"]))
+
+
+def evaluation_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that finds the scores of even rows in the store, each of them 0.5, and computes the others."""
+    store = f"{scratch_root(spark)}/store-{uuid.uuid4().hex}"
+    rated = rated_documents(spark, sf)
+    stored = rated.where("row_id % 2 = 0").select("row_id", F.lit("WER").alias("metric"), F.lit(0.5).alias("score"))
+    score_io.add_to_store(stored, store)
+    return rounded(evaluate(rated, ["WER"], store=store).wide())
+
+
+def _length_offset(texts: DataFrame) -> DataFrame:
+    """How much longer a candidate is than the mean of all candidates of its source text's length in words."""
+    words = F.size(F.split("sourceText", " "))
+    means = texts.groupBy(words.alias("words")).agg(F.avg(F.length("targetText")).alias("mean"))
+    return texts.join(means, words == F.col("words")).select("row_id", (F.length("targetText") - F.col("mean")).alias("score"))
+
+
+def registered_table_metric(spark: SparkSession, sf: str) -> DataFrame:
+    """An own metric that needs the whole table, next to one that needs a row."""
+    scoring.register_table_metric("Length-Offset", _length_offset)
+    try:
+        return rounded(evaluate(rated_documents(spark, sf), ["Length-Offset", "WER"]).wide())
+    finally:
+        scoring.unregister_metric("Length-Offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -587,5 +643,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         judge_requests_with_references,
         judge_open_rows,
         judge_mean_fill,
+        rater_agreement,
+        corpus_scores_by_source,
+        corpus_scores_added,
+        scores_of_distinct_texts,
+        evaluation_resumed,
+        registered_table_metric,
     )
 }

@@ -79,6 +79,64 @@ def chrf_plus_plus(hypothesis: Column, reference: Column) -> Column:
     return F.when(_present(hypothesis, reference), let(let(counts, averages), score))
 
 
+def bleu_counts(hypothesis: Column, reference: Column) -> Column:
+    """What a row adds to the BLEU of many rows: matches per order, n-grams per order, and both lengths."""
+    counts = word_matches(text.bleu_text(hypothesis), text.bleu_text(reference), BLEU_ORDERS)
+
+    def listed(c: Column) -> Column:
+        hyp = c[BLEU_ORDERS]
+        return F.concat(F.slice(c, 1, BLEU_ORDERS), F.array(*[_total(hyp, n) for n in range(1, BLEU_ORDERS + 1)]), F.slice(c, BLEU_ORDERS + 1, 2))
+
+    return F.when(_present(hypothesis, reference), let(counts, listed))
+
+
+def corpus_bleu(c: list[Column]) -> Column:
+    """BLEU of many rows, 0 to 100, from the sums of ``bleu_counts``: exponential smoothing, all orders count."""
+    hyp, ref = c[2 * BLEU_ORDERS], c[2 * BLEU_ORDERS + 1]
+    log_sum, unmatched = F.lit(0.0), F.lit(0)
+    for match, total in zip(c[:BLEU_ORDERS], c[BLEU_ORDERS : 2 * BLEU_ORDERS]):
+        unmatched = unmatched + F.when(match == 0, 1).otherwise(0)
+        smoothed = F.when(match > 0, match.cast("double")).otherwise(F.pow(F.lit(0.5), unmatched))
+        log_sum = log_sum + F.ln(F.try_divide(100.0 * smoothed, total))
+    penalty = F.when(hyp < ref, F.exp(1 - F.try_divide(ref, hyp))).otherwise(1.0)
+    # Without a match, or without an n-gram of the longest order, nothing is left to average.
+    return F.when((c[0] == 0) | (c[2 * BLEU_ORDERS - 1] == 0), 0.0).otherwise(penalty * F.exp(log_sum / BLEU_ORDERS))
+
+
+def chrf_counts(hypothesis: Column, reference: Column) -> Column:
+    """What a row adds to the chrF++ of many rows: matches, hypothesis and reference n-grams, characters before words."""
+    counts = F.struct(
+        character_matches(text.chrf_characters(hypothesis), text.chrf_characters(reference), CHRF_CHARACTER_ORDERS).alias("c"),
+        word_matches(text.chrf_text(hypothesis), text.chrf_text(reference), CHRF_WORD_ORDERS).alias("w"),
+    )
+
+    def listed(s: Column) -> Column:
+        match, hyp, ref = [], [], []
+        for counted, last in ((s["c"], CHRF_CHARACTER_ORDERS), (s["w"], CHRF_WORD_ORDERS)):
+            for n in range(1, last + 1):
+                match.append(counted[n - 1])
+                ref.append(_total(counted[last + 1], n))
+                # A row whose reference has no n-gram of an order does not count for it.
+                hyp.append(F.when(ref[-1] > 0, _total(counted[last], n)).otherwise(F.lit(0)))
+        return F.array(*match, *hyp, *ref)
+
+    return F.when(_present(hypothesis, reference), let(counts, listed))
+
+
+def corpus_chrf(c: list[Column]) -> Column:
+    """chrF++ of many rows, 0 to 100, from the sums of ``chrf_counts``."""
+    orders = CHRF_CHARACTER_ORDERS + CHRF_WORD_ORDERS
+    precision, recall, usable_orders = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for match, hyp, ref in zip(c[:orders], c[orders : 2 * orders], c[2 * orders :]):
+        usable = (hyp > 0) & (ref > 0)
+        precision = precision + F.when(usable, match / hyp).otherwise(0.0)
+        recall = recall + F.when(usable, match / ref).otherwise(0.0)
+        usable_orders = usable_orders + F.when(usable, 1).otherwise(0)
+    p, r = (F.coalesce(F.try_divide(total, usable_orders), F.lit(0.0)) for total in (precision, recall))
+    weight = CHRF_BETA**2
+    return F.coalesce(F.try_divide(100.0 * (1 + weight) * p * r, weight * p + r), F.lit(0.0))
+
+
 def word_edit_rate(hypothesis: Column, reference: Column) -> Column:
     """Word edits per 100 reference words, without block moves."""
     rate = edit_rate(text.edit_words(hypothesis), text.edit_words(reference))

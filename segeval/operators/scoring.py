@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import warnings
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segeval.functions.expr import score_column
+from segeval.functions.worker import held
 from segeval.operators import lexical
 from segeval.operators.order import first_rows
 from segeval.operators.profile import to_long
@@ -106,6 +109,35 @@ def add_scores(
     return df.select("*", *[_METRICS[m](*texts).cast("double").alias(score_column(m)) for m in select_metrics(metrics)])
 
 
+def scores_once(
+    df: DataFrame,
+    metrics: list[str] | None = None,
+    key: str = "row_id",
+    hypothesis: str = "targetText",
+    reference: str = "referenceText",
+    source: str = "sourceText",
+) -> DataFrame:
+    """``key, scored_key`` and the score columns: rows with the same texts are scored once, as the row ``scored_key``.
+
+    Texts are compared by their SHA-256, and no more than that is shuffled to find equal ones. The rows that need no
+    scoring are then left out where the texts are: their ids are a written table, which Spark broadcasts if it
+    is below the session's threshold; if it is larger, so is the work it saves. ``key`` must be unique.
+    """
+    present = [c for c in (hypothesis, reference, source) if c in df.columns]
+    # Lengths keep texts apart, and a missing text differs from an empty one.
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in present]
+    rows = materialize(df.select(key, F.unhex(F.sha2(F.concat(*parts), 256)).alias("digest")), "digests")
+    firsts = materialize(rows.groupBy("digest").agg(F.min(key).alias("scored_key"), F.count("*").alias("rows")), "firsts")
+    repeated = firsts.where("rows > 1").select("digest", "scored_key")
+    others = materialize(rows.join(repeated, "digest").where(F.col(key) != F.col("scored_key")).select(key), "repeats")
+    names = select_metrics(metrics)
+    scored = add_scores(df.join(others, key, "left_anti"), names, hypothesis, reference, source)
+    columns = [score_column(m) for m in names]
+    scored = scored.select(F.col(key).alias("scored_key"), *columns)
+    by_digest = materialize(firsts.drop("rows").join(scored, "scored_key"), "distinct-scores")
+    return rows.join(by_digest, "digest").select(key, "scored_key", *columns)
+
+
 def scores_long(df: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
     """``(keys, metric, score)`` from the wide score columns, under the metrics' own names."""
     renamed = df.select(*keys, *[F.col(score_column(m)).alias(m) for m in metrics])
@@ -137,16 +169,19 @@ def model_score(
     batch_size: int = 8,
     on_failure: str = "fail",
 ) -> Column:
-    """Score with a model: ``load`` runs once per task and returns a function over ``{src, mt, ref}`` rows.
+    """Score with a model: ``load`` returns a function over ``{src, mt, ref}`` rows.
 
-    ``on_failure="zero"`` scores the rows of a failing call 0.0 instead of failing the job.
+    ``load`` runs once per Python worker, however many tasks the worker gets. ``on_failure="zero"`` scores the rows of a failing call 0.0 instead of failing the job.
     """
     if on_failure not in ("fail", "zero"):
         raise ValueError(f"unsupported failure policy: {on_failure}")
 
+    # Functions reach the workers by value, so what they hold tells loaders apart.
+    loader = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
+
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = load()
+        model = held(("model", loader), load)
         for src, mt, ref in batches:
             rows = [{"src": s, "mt": h, "ref": r} for s, h, r in zip(src, mt, ref)]
             scores: list[float] = []

@@ -15,10 +15,10 @@ from segeval.operators.correlation import COEFFICIENTS, correlations
 from segeval.operators.profile import metric_summary
 from segeval.operators.ranking import average_correlation, with_ordinal
 from segeval.operators.ratings import TEXT_COLUMNS, drop_null_texts, require_rows, standardize_by_rater
-from segeval.operators.scoring import add_scores, is_table_metric, scores_long, select_metrics, table_scores
+from segeval.operators.scoring import add_scores, is_table_metric, scores_long, scores_once, select_metrics, table_scores
 from segeval.scratch import materialize
 from segeval.sources.csv import write_csv
-from segeval.sources.scores import write_summary
+from segeval.sources.scores import add_to_store, read_store, write_summary
 
 
 HUMAN_DIGITS = 12
@@ -55,7 +55,34 @@ class Evaluation:
         write_summary(self.correlations, self.summary, available, self.metrics, summary_path)
 
 
-def _written_scores(texts: DataFrame, human: DataFrame, names: list[str], spread: bool) -> tuple[DataFrame, list[str], dict[str, str]]:
+def _fill_store(texts: DataFrame, names: list[str], store: str, spread: bool, once: bool) -> None:
+    """Score the rows that a score store lacks, one metric after the other, each with a commit of its own."""
+    spark = texts.sparkSession
+    ids = texts.select("row_id")
+    for name in names:
+        # Only ids are compared with what is there; texts stay where they are if all of a metric's rows are open.
+        stored = read_store(spark, store).where(F.col("metric") == name).select("row_id")
+        if stored.isEmpty():
+            todo = texts
+        else:
+            left = materialize(ids.join(stored, "row_id", "left_anti"), "open-rows")
+            if left.isEmpty():
+                continue
+            todo = texts.join(left, "row_id", "left_semi")
+        # A metric over the whole table always sees all of it.
+        scored = table_scores(texts, name).join(todo.select("row_id"), "row_id", "left_semi") if is_table_metric(name) else _row_scores(todo, [name], spread, once)
+        add_to_store(scored, store)
+
+
+def _row_scores(texts: DataFrame, names: list[str], spread: bool, once: bool) -> DataFrame:
+    """``row_id, metric, score`` of metrics that look at one row at a time."""
+    scored = scores_once(texts, names) if once else add_scores(texts, names, spread=spread)
+    return scores_long(scored, names, ["row_id"])
+
+
+def _written_scores(
+    texts: DataFrame, human: DataFrame, names: list[str], spread: bool, once: bool = False, store: str | None = None
+) -> tuple[DataFrame, list[str], dict[str, str]]:
     """Long scores with the human ones, the metrics that worked, and the errors of the others.
 
     All metrics share one pass over the texts. If it fails, each metric gets a
@@ -64,10 +91,16 @@ def _written_scores(texts: DataFrame, human: DataFrame, names: list[str], spread
 
     def written(some: list[str]) -> DataFrame:
         # Texts stay where they are; ids and scores alone are shuffled to meet the human scores.
+        if store is not None:
+            _fill_store(texts, some, store, spread, once)
+            wanted = read_store(texts.sparkSession, store).where(F.col("metric").isin(some))
+            # Only rows that are complete now count, also if the store has more.
+            wanted = wanted.join(texts.select("row_id"), "row_id", "left_semi")
+            return materialize(human.join(wanted, "row_id").select("row_id", "human", "metric", "score"), "metric-scores")
         by_row = [m for m in some if not is_table_metric(m)]
         parts = []
         if by_row:
-            scored = add_scores(texts, by_row, spread=spread).drop(*TEXT_COLUMNS)
+            scored = scores_once(texts, by_row) if once else add_scores(texts, by_row, spread=spread).drop(*TEXT_COLUMNS)
             parts.append(scores_long(scored.join(human, "row_id"), by_row, ["row_id", "human"]))
         parts += [human.join(table_scores(texts, m), "row_id").select("row_id", "human", "metric", "score") for m in some if m not in by_row]
         table = parts[0]
@@ -102,6 +135,8 @@ def evaluate(
     extra_scores: DataFrame | None = None,
     extra_metrics: tuple[str, ...] = (),
     spread: bool = False,
+    once: bool = False,
+    store: str | None = None,
 ) -> Evaluation:
     """Standardise ratings per rater, score all rows, and correlate each metric with the ratings.
 
@@ -110,7 +145,9 @@ def evaluate(
     ``extra_metrics``, computed elsewhere, such as judge or model scores. A metric
     that fails is reported and left out; no rater, no complete row or no metric
     left is an error. ``spread`` shuffles the texts before they are scored, for
-    input in a few partitions only.
+    input in a few partitions only. ``once`` scores rows with the same texts once. ``store`` is the path of a score
+    store: scores that it holds are taken from there, and new ones are added metric by metric, so that a run goes on
+    where an earlier one ended.
     """
     names = select_metrics(metrics)
     # Raters are judged by all their rows, also those whose texts are incomplete.
@@ -123,7 +160,7 @@ def evaluate(
         F.round("standardized_score", HUMAN_DIGITS).alias("human"),
     )
     texts = drop_null_texts(rated.select("row_id", *TEXT_COLUMNS))
-    scores, names, failed = _written_scores(texts, materialize(human, "human-scores"), names, spread)
+    scores, names, failed = _written_scores(texts, materialize(human, "human-scores"), names, spread, once, store)
     require_rows(scores, "no row has all texts and a rater who is kept")
     if extra_scores is not None:
         extra = extra_scores.where(F.col("metric").isin(*extra_metrics)).select("row_id", "metric", "score")

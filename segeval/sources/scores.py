@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from segeval.functions.expr import nan_to_null
+from segeval.operators.order import ranges
 from segeval.scratch import materialize
 
+#: Most scores of one record of a score file.
+RECORD_SCORES = 100_000
+
 SCORE_FILE_SCHEMA = "metric_name string, scores array<double>, num_samples bigint, offset bigint"
 
 
@@ -24,22 +28,41 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def add_to_store(scores: DataFrame, path: str) -> None:
+    """Append ``row_id, metric, score`` to a score store. What a job commits is there for good, whatever fails later."""
+    scores.select("row_id", F.col("score").cast("double").alias("score"), "metric").write.mode("append").partitionBy("metric").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """``row_id, score, metric`` of a score store, empty if there is none yet."""
+    try:
+        return spark.read.schema("row_id long, score double, metric string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "row_id long, score double, metric string")
+
+
 def export_score_files(scores: DataFrame, path: str, key: str = "row_id") -> None:
     """JSON files of one record each: scores of a metric in key order, with the ``offset`` of the first one.
 
-    A metric that fits one range of keys is one record with the offset 0; a
-    larger one is several records, so no task holds more than its range. The
-    ranges are written to the scratch folder when this is called.
+    A record holds ``RECORD_SCORES`` scores at most, whatever the size of the table. The
+    ranges of keys are written to the scratch folder when this is called.
     """
-    ranged = scores.select("metric", key, "score").repartitionByRange("metric", key).withColumn("part", F.spark_partition_id())
-    listed = materialize(ranged, "ranges").groupBy("metric", "part").agg(F.sort_array(F.collect_list(F.struct(key, "score"))).alias("s"))
-    sized = materialize(listed.withColumn("n", F.size("s").cast("bigint")), "lists")
-    before = F.sum("n").over(Window.partitionBy("metric").orderBy("part")) - F.col("n")
-    offsets = sized.select("metric", "part", before.alias("offset"))
-    sized.join(offsets, ["metric", "part"]).select(
+    ranged = ranges(scores.select("metric", key, "score"), "metric", key)
+    counts = ranged.groupBy("metric", "part").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("metric").orderBy("part")) - F.col("n")
+    before = materialize(counts.select("metric", "part", ahead.alias("ahead")), "offsets")
+    place = F.row_number().over(Window.partitionBy("metric", "part").orderBy(key)) - 1
+    placed = ranged.withColumn("place", place).join(before, ["metric", "part"])
+    record = placed.withColumn("record", F.floor(F.col("place") / RECORD_SCORES))
+    listed = record.groupBy("metric", "part", "record").agg(
+        F.sort_array(F.collect_list(F.struct("place", "score"))).alias("s"), F.min(F.col("ahead") + F.col("place")).cast("bigint").alias("offset")
+    )
+    listed.select(
         F.col("metric").alias("metric_name"),
         F.transform("s", lambda e: e["score"]).alias("scores"),
-        F.col("n").alias("num_samples"),
+        F.size("s").cast("bigint").alias("num_samples"),
         "offset",
     ).write.option("ignoreNullFields", False).option("maxRecordsPerFile", 1).json(path)
 
