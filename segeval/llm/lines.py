@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segeval.functions.expr import let
 from segeval.scratch import materialize
 
 #: Keys of at least so many code points in at least so many documents are dropped.
@@ -116,15 +117,22 @@ def drop_repeated_lines(docs: DataFrame, columns: list[str], batches: int = BATC
         store.add(hashes.where(F.col("batch") == number))
     frequent = materialize(store.frequent(LEAST_DOCS), "frequent")
     repeated = hashes.join(frequent, ["h1", "h2"]).where("doc_id is null or doc_id < keeper")
-    drops = repeated.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("__drop"))
+    drops = repeated.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("__drop"))
     drops = materialize(drops.toDF("__id", "__mark", "__drop"), "drops")
     texts = docs.select(*columns, F.col("doc_id").alias("__doc"), _text().alias("__text"))
     same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__mark"))
     joined = texts.join(drops, same, "left")
-    kept = F.filter(F.split("__text", "\n"), lambda line, i: ~F.array_contains("__drop", i))
+
+    def remaining(lines: Column) -> Column:
+        """The lines between dropped ones, gap by gap, so that the work grows with the number of lines."""
+        begins = F.concat(F.array(F.lit(0)), F.transform("__drop", lambda place: place + 1))
+        ends = F.concat("__drop", F.array(F.size(lines)))
+        gaps = F.transform(F.arrays_zip(begins, ends), lambda g: F.slice(lines, g["0"] + 1, g["1"] - g["0"]))
+        return F.array_join(F.flatten(gaps), "\n")
+
     return joined.select(
         *columns,
         F.size(F.split("__text", "\n")).cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.isnull("__drop"), F.col("__text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.when(F.isnull("__drop"), F.col("__text")).otherwise(let(F.split("__text", "\n"), remaining)).alias("kept"),
     )

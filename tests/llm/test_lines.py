@@ -46,3 +46,19 @@ def test_runs_level_up_and_know_new_keys(spark):
         assert len(store.runs()) == bin(batch + 1).count("1")
     counts = store.frequent(1)
     assert counts.count() == len(seen) and counts.agg(F.max("keeper")).first()[0] == 47
+
+
+def test_many_dropped_lines_in_one_text(spark):
+    import time
+
+    lines = [f"{LINE} number {i}" for i in range(40_000)]
+    text = "\n".join(x for i, line in enumerate(lines) for x in ([line, f"own {i}"] if i % 2 else [line]))
+    docs = spark.createDataFrame([(i, text) for i in range(5)] + [(9, "\n".join(lines[:20_000]))], "doc_id long, text string").repartition(6)
+    left = drop_repeated_lines(docs, ["doc_id"])
+    start = time.perf_counter()
+    got = kept(left)
+    # Gaps between dropped lines are sliced: the work does not grow with their square.
+    assert time.perf_counter() - start < 60
+    first = [f"own {i}" for i in range(1, 40_000, 2)]
+    assert got[0] == (60_000, 40_000, "\n".join(first)) and got[9][1] == 0
+    assert got[4][1] == 20_000 and got[4][2].split("\n")[-1] == "own 39999"
