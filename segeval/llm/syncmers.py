@@ -156,9 +156,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / buckets for i in range(1, buckets + 1)]
-    found = rows.agg(F.percentile_approx("doc_id", shares, 100 * buckets)).first()[0] or []
-    cuts = np.unique(np.array(found, dtype=np.int64))
+    # The largest id of each range is a cut, so every cut is an id, and the last one is the largest of all.
+    ids = rows.select("doc_id").where("doc_id is not null").repartitionByRange(buckets, "doc_id")
+    found = ids.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("last")).collect()
+    cuts = np.unique(np.array([row["last"] for row in found], dtype=np.int64))
 
     @F.pandas_udf("long")
     def place(ids: pd.Series) -> pd.Series:
@@ -176,7 +177,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     dealt = (
         rows.withColumn("place", F.when(F.isnull("doc_id"), 0).otherwise(place(F.coalesce("doc_id", F.lit(0)))))
         .select("doc_id", "text", F.inline(targets.otherwise(F.array(target(number, False)))))
-        .repartition("bucket")
+        .repartitionById(max(1, len(cuts)), "bucket")
         .sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
     )
     return dealt.mapInArrow(_compare, RESULT)

@@ -56,3 +56,18 @@ def test_ties_and_missing_ids(spark, ids):
 
 def test_no_rows(no_docs):
     assert syncmers.fingerprint_edits(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("first", [2**53, 2**62, -(2**62)])
+def test_large_ids_are_told_apart(spark, first):
+    rows = [(first + i, prose(i, 30)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in syncmers.fingerprint_edits(docs).collect()}
+    texts = brute.edited(rows)
+    plain = {i: syncmers.sketch(t) for i, t in rows}
+    order = sorted(plain, reverse=True)
+    following = dict(zip(order, [*order[1:], order[0]]))
+    assert set(got) == set(texts)
+    for i in texts:
+        assert got[i].edited_sha256 == brute.sha(texts[i])
+        assert got[i].near_next == syncmers.likeness(plain[i], plain[following[i]])
