@@ -171,7 +171,7 @@ def _assigned(placed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def carry_out(docs: DataFrame, moves: Moves, path: str) -> DataFrame:
-    """Write the affected shards of ``docs`` as ``path/shard=<n>`` and give what ``reshard`` gives, as read from there.
+    """Write the affected shards of ``docs`` as ``path/shard=<n>`` (``new_shard`` beside a column ``shard``) and give what ``reshard`` gives, as read from there.
 
     Rows of other shards stay where they are and are read there. Texts are dealt once.
     """
@@ -179,11 +179,19 @@ def carry_out(docs: DataFrame, moves: Moves, path: str) -> DataFrame:
     stayed = _assigned(_placed(docs, moves, ~touched), moves.keys)
     if not moves.affected:
         return stayed
-    rows = _placed(docs, moves, touched).select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
-    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    kinds = StructType([*docs.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
+    shard, slot = (_free_name(name, docs) for name in ("shard", "slot"))
+    rows = _placed(docs, moves, touched).select(*docs.columns, F.col("__shard").alias(shard), F.col("__slot").alias(slot))
+    rows.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    kinds = StructType([*docs.schema.fields, StructField(slot, LongType()), StructField(shard, IntegerType())])
     written = _measured(docs.sparkSession.read.schema(kinds).parquet(path), moves.keys, moves.old_shard)
-    return _assigned(written.withColumnsRenamed({"shard": "__shard", "slot": "__slot"}), moves.keys).union(stayed)
+    return _assigned(written.withColumnsRenamed({shard: "__shard", slot: "__slot"}), moves.keys).union(stayed)
+
+
+def _free_name(name: str, docs: DataFrame) -> str:
+    """``name``, or a longer one if the table has a column of that name; Spark does not tell cases apart."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"new_{name}"
+    return name
 
 
 def _write(rows: DataFrame, path: str) -> None:

@@ -118,3 +118,16 @@ def test_query_reads_written_shards(spark):
     assert any("/shards-" in f for f in df.inputFiles())
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert df.count() == docs.count()
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows = [(i, f"text {i}" * (i % 7), i % 4, -i, f"s{i}", 1, 2.5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot long, new_shard string, size int, old_shard double")
+    moves = plan_moves(docs, ["doc_id"], F.col("shard"), 5)
+    path = str(tmp_path / "out")
+    got = sorted(map(tuple, carry_out(docs, moves, path).select("doc_id", "old_shard", "shard", "slot").collect()))
+    assert got == sorted(map(tuple, reshard(docs, ["doc_id"], F.col("shard"), 5).select("doc_id", "old_shard", "shard", "slot").collect()))
+    assert [r[:2] for r in got] == [(i, i % 4) for i in range(60)]
+    written = spark.read.parquet(path)
+    assert sorted(map(tuple, written.select("doc_id", "shard", "slot", "new_shard", "size").collect())) <= sorted((r[0], r[2], r[3], r[4], r[5]) for r in rows)
+    assert {"new_new_shard", "new_slot"} <= set(written.columns)
