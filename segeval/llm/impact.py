@@ -13,10 +13,13 @@ when that proves that all but a few rows cannot be members, or when all is
 processed; the rows left are scored exactly.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no
-part, and neither do those with a component beyond ``LIMIT``, whose products would
-not fit a long. Vectors of different lengths do not meet. An empty vector scores 0.
-Equal scores go to the smaller ``vec_id``; rows of equal ``vec_id`` and vector are
-told apart by nothing and both count.
+part, and neither do rows without ``vec_id``, which no result could name. Vectors with a
+component beyond ``LIMIT`` lie in blocks of their own and are scored one by one in integers
+of any length, as are queries with such a component; a score among the best that does not
+fit a long raises ValueError. Vectors of different lengths do not meet. An empty vector
+scores 0. Equal scores go to the smaller ``vec_id``; rows of equal ``vec_id`` and vector are
+told apart by nothing and both count. Query rows of equal id are one query, with the
+best scores of any of them.
 """
 
 from __future__ import annotations
@@ -29,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segeval.functions.expr import finite
 from segeval.scratch import materialize
 
 SCALE = 1024
 K = 10
 
-#: Largest magnitude of a component after scaling.
+#: Largest magnitude of a component after scaling that the index takes.
 LIMIT = 1 << 28
 
-#: Rows of one block of the index, about, and queries that meet a block together.
-BLOCK_ROWS = 8192
+#: Components of one block of the index, about, and queries that meet a block together.
+BLOCK_VALUES = 8192 * 64
 QUERY_ROWS = 512
 
 #: Levels that the range of components of a block is cut into.
@@ -49,12 +53,23 @@ STOPS = 4
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v, dims``: components times ``SCALE``, rounded down, of the vectors that take part."""
-    floats = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), floats.alias("x"))
-    good = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= float(LIMIT // SCALE)))
-    rows = rows.where(F.isnotnull("vec_id") & F.isnotnull("x")).where(good)
-    return rows.select("vec_id", F.transform("x", lambda x: F.floor(x * SCALE).cast("int")).alias("v"), F.size("x").alias("dims"))
+    """``vec_id, v, dims``: components times ``SCALE``, rounded down, of the vectors that take part, as doubles, which hold them exactly."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = rows.where(F.isnotnull("vec_id") & F.isnotnull("x")).where(F.forall("x", finite))
+    # Beyond 2^52 a double is whole already, and `floor` would not hold it.
+    v = F.transform("x", lambda x: F.when(F.abs(x * SCALE) < float(1 << 52), F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
+    return rows.select("vec_id", v.alias("v"), F.size("x").alias("dims"))
+
+
+def _wide(values: np.ndarray) -> bool:
+    return bool(np.abs(values).max(initial=0.0) > LIMIT)
+
+
+def _exact(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as Python integers."""
+    out = np.empty(values.shape, dtype=object)
+    out.reshape(-1)[:] = [int(x) for x in values.reshape(-1).tolist()]
+    return out
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -125,19 +140,42 @@ class BlockIndex:
         return candidates, self.rows[candidates] @ query.astype(np.int64)
 
 
+class WideBlock:
+    """Rows that the index cannot take: all are candidates, and scores are exact integers of any length."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.ids, self.rows = ids, _exact(rows)
+
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        others = np.flatnonzero(self.ids != own)
+        return others, self.rows[others].dot(_exact(query)) if len(query) else np.zeros(len(others), dtype=np.int64)
+
+
+def _unpacked(held: bytes) -> BlockIndex | WideBlock:
+    return WideBlock(*pickle.loads(held[1:])) if held[:1] == b"w" else BlockIndex.unpack(held[1:])
+
+
 def _packed(block: pa.Table) -> pa.Table:
     dims = block.column("dims")[0].as_py()
     ids = block.column("vec_id").to_numpy()
     by_id = np.argsort(ids, kind="stable")
-    held = BlockIndex(ids[by_id], _matrix(block.column("v"), dims)[by_id]).pack()
+    rows = _matrix(block.column("v"), dims)[by_id]
+    held = b"w" + pickle.dumps((ids[by_id], rows)) if _wide(rows) else b"i" + BlockIndex(ids[by_id], rows.astype(np.int64)).pack()
     number = block.column("block")[0].as_py()
     return pa.table({"dims": pa.array([dims], pa.int32()), "block": pa.array([number], pa.int32()), "index": pa.array([held], pa.binary())})
 
 
-def build_index(whole: DataFrame, rows: int) -> DataFrame:
-    """One row per block: ``dims, block, index``. Every vector is in one block."""
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    dealt = whole.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+def build_index(whole: DataFrame) -> DataFrame:
+    """One row per block: ``dims, block, index``. Every vector is in one block.
+
+    ``whole`` is a written table of ``whole_vectors`` with a number ``lot`` for each row, which keeps
+    rows of one id apart.
+    """
+    values = whole.agg(F.sum("dims")).first()[0] or 0
+    blocks = max(1, -(-values // BLOCK_VALUES))
+    wide = F.exists("v", lambda x: F.abs(x) > float(LIMIT))
+    block = F.pmod(F.xxhash64("vec_id", "lot"), F.lit(blocks)).cast("int")
+    dealt = whole.select("vec_id", "v", "dims", F.when(wide, -1 - block).otherwise(block).alias("block"))
     packed = dealt.groupBy("dims", "block").applyInArrow(_packed, "dims int, block int, index binary")
     return materialize(packed, "index")
 
@@ -149,10 +187,16 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for row in range(batch.num_rows):
             dims, block, index, query_ids, queries = (batch.column(i)[row].as_py() for i in range(5))
             if held is None or held[0] != (dims, block):
-                held = ((dims, block), BlockIndex.unpack(index))
-            for query_id, query in zip(query_ids, np.array(queries, dtype=np.int64).reshape(len(query_ids), dims)):
-                found, scores = held[1].search(query, query_id, k)
-                best = np.lexsort((held[1].ids[found], -scores))[:k]
+                held = ((dims, block), _unpacked(index))
+            for query_id, query in zip(query_ids, np.array(queries, dtype=np.float64).reshape(len(query_ids), dims)):
+                of = WideBlock(held[1].ids, held[1].rows) if _wide(query) else held[1]
+                found, scores = of.search(query, query_id, k)
+                if scores.dtype == object:
+                    best = np.array(sorted(range(len(found)), key=lambda i: (-scores[i], of.ids[found[i]]))[:k], dtype=np.int64)
+                    if any(not -(1 << 63) <= s < 1 << 63 for s in scores[best].tolist()):
+                        raise ValueError("a score does not fit a long")
+                else:
+                    best = np.lexsort((held[1].ids[found], -scores))[:k]
                 out[0] += [query_id] * len(best)
                 out[1] += held[1].ids[found[best]].tolist()
                 out[2] += scores[best].tolist()
@@ -165,12 +209,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Both tables have ``vec_id`` and ``embedding``. Queries meet blocks of the index in groups, so
     what moves is each query group once per block; each meeting returns ``k`` rows per query.
     """
-    whole = materialize(whole_vectors(vectors), "vectors")
+    whole = materialize(whole_vectors(vectors).withColumn("lot", F.monotonically_increasing_id()), "vectors")
     asked = materialize(whole_vectors(queries), "queries")
-    index = build_index(whole, whole.count())
+    index = build_index(whole)
     groups = max(1, -(-asked.count() // QUERY_ROWS))
     # Rows of equal id ask the same question only if their vectors are equal.
-    grouped = asked.distinct().withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
+    grouped = asked.distinct().withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)))
     grouped = grouped.groupBy("dims", "part").agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("queries"))
     blocks = index.select("dims", "block").groupBy("dims").agg(F.collect_list("block").alias("blocks"))
     meetings = grouped.join(blocks, "dims").select("dims", F.explode("blocks").alias("block"), "query_ids", "queries")
