@@ -19,8 +19,8 @@ import numpy as np
 END_ID = 2
 
 #: Words that a worker keeps for good, and words that it keeps until that many more have come.
-KEPT_WORDS = 250_000
-PASSING_WORDS = 250_000
+KEPT_WORDS = 400_000
+PASSING_WORDS = 400_000
 
 #: New words that are encoded as one text.
 WORDS_A_TEXT = 64
