@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 import checks  # noqa: E402
 import segeval  # noqa: E402
+from segeval.scratch import clear_scratch  # noqa: E402
 
 cloudpickle.register_pickle_by_value(segeval)
 cloudpickle.register_pickle_by_value(checks)
@@ -29,4 +30,5 @@ def spark(tmp_path_factory):
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

@@ -9,7 +9,11 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 # One query of each area; set SEGEVAL_ALL_CHECKS=1 to run them all.
-SAMPLE = "rating_join reference_lookup_lenient rater_zscore score_histogram20 corr_pvalues bleu_sentence chrf_pp rouge_l_stemmed judge_requests evaluation_report"
+SAMPLE = (
+    "rating_join reference_lookup_lenient rater_zscore score_histogram20 corr_pvalues bleu_sentence chrf_pp rouge_l_stemmed judge_requests "
+    "evaluation_report describe_scores spearman_avg_rank rater_agreement corpus_scores_by_source corpus_scores_added scores_of_distinct_texts "
+    "evaluation_resumed registered_table_metric score_files"
+)
 
 
 def chosen():
