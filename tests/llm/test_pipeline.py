@@ -108,7 +108,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     cursor = con.execute(queries.ORACLES[name])
     columns = sorted(d[0] for d in cursor.description)
