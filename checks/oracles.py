@@ -484,8 +484,10 @@ SELECT row_id, min(row_id) OVER (PARTITION BY targetText, referenceText) AS scor
 FROM r JOIN wer USING (row_id) JOIN chrf USING (row_id)""",
     "evaluation_resumed": f"""WITH {WER_ALONE}
 SELECT row_id, round(human_score, 6) AS human_score, CASE WHEN row_id % 2 = 0 THEN 0.5 ELSE round(wer_score, 6) END AS wer_score FROM w""",
-    "registered_table_metric": f"""WITH {WER_ALONE}
-SELECT row_id, round(human_score, 6) AS human_score, round(wer_score, 6) AS wer_score,
-  round(length(targetText) - avg(length(targetText)) OVER (PARTITION BY len(string_split(sourceText, ' '))), 6) + 0.0 AS length_offset_score
-FROM w JOIN r USING (row_id)""",
+    "registered_table_metric": f"""WITH {WER_ALONE},
+o AS (
+  SELECT row_id, length(targetText) - avg(length(targetText)) OVER (PARTITION BY len(string_split(sourceText, ' '))) AS length_offset
+  FROM r WHERE sourceText IS NOT NULL AND targetText IS NOT NULL AND referenceText IS NOT NULL)
+SELECT row_id, round(human_score, 6) AS human_score, round(wer_score, 6) AS wer_score, round(length_offset, 6) + 0.0 AS length_offset_score
+FROM w JOIN o USING (row_id)""",
 }
