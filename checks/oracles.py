@@ -490,4 +490,7 @@ o AS (
   FROM r WHERE sourceText IS NOT NULL AND targetText IS NOT NULL AND referenceText IS NOT NULL)
 SELECT row_id, round(human_score, 6) AS human_score, round(wer_score, 6) AS wer_score, round(length_offset, 6) + 0.0 AS length_offset_score
 FROM w JOIN o USING (row_id)""",
+    "sketched_scores": f"""WITH {LINE_SCORES}, t AS (SELECT metric, x FROM s UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem)
+SELECT metric, count(x) AS n, round(avg(x), 6) AS mean, round(min(x), 6) AS min, round(max(x), 6) AS max, true AS p01_held, true AS p25_held,
+  true AS p50_held, true AS p75_held, true AS p99_held, true AS distinct_held FROM t GROUP BY metric""",
 }

@@ -15,6 +15,7 @@ from segeval.functions.judging import extract_score
 from segeval.operators import corpus, judge, lexical, profile, ranking, ratings, scoring, training
 from segeval.operators.correlation import correlations, group_correlations, kendall, pearson, spearman
 from segeval.operators.order import first_rows
+from segeval.operators.sketches import distinct_error, merge_sketches, rank_error, sketch_scores, sketch_summary
 from segeval.plans.annotate import annotate_csv
 from segeval.plans.evaluate import evaluate
 from segeval.scratch import materialize, scratch_root
@@ -580,6 +581,30 @@ def registered_table_metric(spark: SparkSession, sf: str) -> DataFrame:
         scoring.unregister_metric("Length-Offset")
 
 
+SHARES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+
+
+def sketched_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Line item scores sketched per metric and status, stored and merged per metric; do the estimates keep their errors?"""
+    scores = line_scores(spark, sf).select("metric", "score")
+    scores = scores.union(table(spark, sf, "lineitem").select(F.lit("l_extendedprice"), "l_extendedprice"))
+    stored = materialize(sketch_scores(scores.withColumn("part", F.floor(F.col("score") * 10) % 7), ["metric", "part"]), "sketches")
+    found = materialize(sketch_summary(merge_sketches(stored, ["metric"]), ["metric"], SHARES), "summaries")
+    met = scores.join(found.drop("n", "mean", "min", "max"), "metric")
+    counts = [F.avg((F.col("score") < F.col(q)).cast("int")).alias(f"below_{q}") for q in SHARES]
+    counts += [F.avg((F.col("score") <= F.col(q)).cast("int")).alias(f"up_to_{q}") for q in SHARES]
+    exact = met.groupBy("metric").agg(*counts, F.countDistinct("score").alias("values"))
+    # The stated bound holds with a probability of 0.99 a quantile; twice the bound, practically always.
+    error = 2 * rank_error()
+    held = [F.lit(share).between(F.col(f"below_{q}") - error, F.col(f"up_to_{q}") + error) for q, share in SHARES.items()]
+    apart = F.abs(F.col("n_distinct") - F.col("values"))
+    return rounded(
+        found.join(exact, "metric").select(
+            "metric", "n", "mean", "min", "max", *[h.alias(f"{q}_held") for q, h in zip(SHARES, held)], (apart <= distinct_error() * F.col("values")).alias("distinct_held")
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -651,5 +676,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scores_of_distinct_texts,
         evaluation_resumed,
         registered_table_metric,
+        sketched_scores,
     )
 }

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = (
     "rating_join reference_lookup_lenient rater_zscore score_histogram20 corr_pvalues bleu_sentence chrf_pp rouge_l_stemmed judge_requests "
     "evaluation_report describe_scores spearman_avg_rank rater_agreement corpus_scores_by_source corpus_scores_added scores_of_distinct_texts "
-    "evaluation_resumed registered_table_metric score_files"
+    "evaluation_resumed registered_table_metric score_files sketched_scores"
 )
 
 
