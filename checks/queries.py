@@ -230,6 +230,12 @@ def word_edit_score(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf, "wer_score", lexical.word_edit_score)
 
 
+def translation_edit_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Edits with moves of every reply. A greedy search is beyond SQL; tests compare it with a plain one."""
+    rate = lexical.translation_edit_rate(F.col("targetText"), F.col("referenceText"))
+    return rounded(replies(spark, sf).select("row_id", rate.alias("translation_edit_rate")))
+
+
 def rouge_l(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf, "rouge_score", lambda h, r: lexical.rouge_l(h, r, stem=False))
 
@@ -638,6 +644,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chrf_pp,
         word_edit_rate,
         word_edit_score,
+        translation_edit_rate,
         rouge_l,
         rouge_l_stemmed,
         rouge_l_unicode,

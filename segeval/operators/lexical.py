@@ -9,6 +9,7 @@ from segeval.functions import text
 from segeval.functions.expr import let
 from segeval.functions.ngrams import character_matches, word_matches
 from segeval.functions.sequence import edit_rate, overlap_f1
+from segeval.functions.shifts import shift_rate
 
 # N-gram orders and the recall weight of the two n-gram metrics.
 BLEU_ORDERS = 4
@@ -143,13 +144,26 @@ def word_edit_rate(hypothesis: Column, reference: Column) -> Column:
     return F.when(_present(hypothesis, reference), rate)
 
 
+def translation_edit_rate(hypothesis: Column, reference: Column) -> Column:
+    """Word edits per 100 reference words, where moving a run of words is one edit."""
+    rate = shift_rate(text.edit_words(hypothesis), text.edit_words(reference))
+    return F.when(_present(hypothesis, reference), rate)
+
+
+def _turned(rate: Column) -> Column:
+    """A rate turned around and cut at 0: higher is better, 0 to 1."""
+    # `greatest` skips NULL, so a missing rate is kept apart.
+    return let(rate, lambda r: F.when(r.isNotNull(), F.greatest(F.lit(0.0), 1 - r / 100)))
+
+
+def translation_edit_score(hypothesis: Column, reference: Column) -> Column:
+    """``translation_edit_rate`` turned around and cut at 0: higher is better, 0 to 1."""
+    return _turned(translation_edit_rate(hypothesis, reference))
+
+
 def word_edit_score(hypothesis: Column, reference: Column) -> Column:
     """``word_edit_rate`` turned around and cut at 0: higher is better, 0 to 1."""
-    # `greatest` skips NULL, so a missing rate is kept apart.
-    return let(
-        word_edit_rate(hypothesis, reference),
-        lambda rate: F.when(rate.isNotNull(), F.greatest(F.lit(0.0), 1 - rate / 100)),
-    )
+    return _turned(word_edit_rate(hypothesis, reference))
 
 
 def rouge_l(hypothesis: Column, reference: Column, stem: bool = True, unicode_tokens: bool = False) -> Column:

@@ -75,6 +75,7 @@ def select_metrics(requested: list[str] | None = None) -> list[str]:
 register_metric("BLEU", lambda hyp, ref, src: lexical.bleu(hyp, ref))
 register_metric("CHRF++", lambda hyp, ref, src: lexical.chrf_plus_plus(hyp, ref))
 register_metric("WER", lambda hyp, ref, src: lexical.word_edit_score(hyp, ref))
+register_metric("TER", lambda hyp, ref, src: lexical.translation_edit_score(hyp, ref))
 register_metric("ROUGE", lambda hyp, ref, src: lexical.rouge_l(hyp, ref))
 
 
