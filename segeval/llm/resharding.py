@@ -6,6 +6,9 @@ leave their shard; shard ``i`` stays where it is if there is a new shard ``i``.
 flow is carried out in blocks: fixed sets of documents of one old shard. Where the
 flow would cut a block, the block goes to the shard with the most room left.
 
+Copies of one row would all meet in one block. Copies that outweigh a block get a salt,
+drawn once and written with them, and are dealt by it as well.
+
 What reaches the driver is one row per block, ``BLOCKS`` in expectation for any
 size of the data; documents meet the finished plan in one join, and the shards that
 gain or lose rows are written with their texts.
@@ -39,8 +42,9 @@ BLOCKS = 32_768
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 
-#: Rows of one file of a shard, about.
+#: Rows of one file of a shard, about, and bytes of its texts.
 FILE_ROWS = 100_000
+FILE_BYTES = 1 << 27
 
 
 def row_size() -> Column:
@@ -95,43 +99,99 @@ def plan_blocks(blocks: list[tuple[int, int, int]], capacities: list[int]) -> di
 
 @dataclass(frozen=True)
 class Moves:
-    """A finished plan: ``blocks``, the number of blocks by old shard, ``table``, one row per block, and the shards that gain or lose rows."""
+    """A finished plan: ``blocks``, the number of blocks by old shard, ``table``, one row per block, the shards that gain or lose rows, and copies with a salt."""
 
     keys: list[str]
     old_shard: Column
     blocks: DataFrame
     table: DataFrame
     affected: list[int]
+    split: tuple[DataFrame, DataFrame] | None
 
 
 def _dealt(rows: DataFrame, keys: list[str], blocks: DataFrame) -> DataFrame:
     """``rows`` with ``__block``, the row's block in its old shard."""
-    lot = F.xxhash64(F.lit("lot"), *keys, "__crc")
+    salt = ["__salt"] if "__salt" in rows.columns else []
+    lot = F.xxhash64(F.lit("lot"), *keys, "__crc", *salt)
     dealt = rows.join(F.broadcast(blocks), F.col("__old").eqNullSafe(F.col("__of")))
     return dealt.withColumn("__block", F.pmod(lot, "__blocks").cast("int")).drop("__of", "__blocks")
 
 
+def _alike(keys: list[str], heavy: DataFrame) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(h)) for c, h in zip([*keys, "__crc", "__size", "__old"], heavy.columns)])
+
+
+def _heavy_copies(rows: DataFrame, keys: list[str], counts: DataFrame, found: list, total: int) -> DataFrame | None:
+    """What copies of a row have in common, for those that outweigh a block; None if there are none. They are fewer than the blocks."""
+    large = [(o, b) for o, b, size, n in found if n > 1 and size * BLOCKS > 2 * total]
+    if not large:
+        return None
+    spark = rows.sparkSession
+    # Heavy copies make a heavy block: only rows of such blocks are compared.
+    large = spark.createDataFrame(large, "__in int, __number int")
+    same = F.col("__old").eqNullSafe(F.col("__in")) & (F.col("__block") == F.col("__number"))
+    alike = [*keys, "__crc", "__size", "__old"]
+    met = _dealt(rows, keys, counts).join(F.broadcast(large), same, "left_semi").groupBy(*alike).agg(F.sum("__size").alias("__weight"), F.count("*").alias("__n"))
+    met = met.where((F.col("__n") > 1) & (F.col("__weight") * BLOCKS > total)).select(*[F.col(c).alias(f"__heavy_{i}") for i, c in enumerate(alike)])
+    met = materialize(met, "heavy")
+    return None if met.isEmpty() else met
+
+
+def _rows(docs: DataFrame, keys: list[str], old_shard: Column, split: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """Measured rows of ``docs``. With ``split`` they have ``__salt``, a number for heavy copies and 0 for all others."""
+    rows = _measured(docs, keys, old_shard)
+    if split is None:
+        return rows
+    heavy, copies = split
+    others = rows.join(F.broadcast(heavy), _alike(keys, heavy), "left_anti")
+    return others.withColumn("__salt", F.lit(0).cast("long")).unionByName(copies)
+
+
+def _salted(docs: DataFrame, keys: list[str], old_shard: Column, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``heavy`` and its copies, written with their salts: every reader finds the same ones, also after the loss of an executor."""
+    copies = _measured(docs, keys, old_shard).join(F.broadcast(heavy), _alike(keys, heavy), "left_semi")
+    return heavy, materialize(copies.withColumn("__salt", F.monotonically_increasing_id()), "salted")
+
+
 def plan_moves(docs: DataFrame, keys: list[str], old_shard: Column, shards: int = SHARDS, capacities: list[int] | None = None) -> Moves:
     """The new shard of each block of rows and the places its rows take there."""
     spark = docs.sparkSession
-    rows = materialize(_measured(docs, keys, old_shard).select(*keys, "__size", "__crc", "__old"), "rows")
+    columns = [*keys, "__size", "__crc", "__old"]
+    rows = materialize(_measured(docs, keys, old_shard).select(*columns), "rows")
     old = {r[0]: r[1] for r in rows.groupBy("__old").agg(F.sum("__size")).collect()}
     total = sum(old.values())
     # Numbers of blocks by old shard are a small table of their own.
     counts = spark.createDataFrame([(o, max(1, round(BLOCKS * s / total))) for o, s in old.items()], "__of int, __blocks int")
-    found = _dealt(rows, keys, counts).groupBy("__old", "__block").agg(F.sum("__size"), F.count("*")).collect()
+    found = _block_sizes(rows, keys, counts)
+    split = None
+    heavy = _heavy_copies(rows, keys, counts, found, total)
+    if heavy is not None:
+        split = _salted(docs, keys, old_shard, heavy)
+        rows = rows.join(F.broadcast(heavy), _alike(keys, heavy), "left_anti").withColumn("__salt", F.lit(0).cast("long"))
+        found = _block_sizes(rows.unionByName(split[1].select(*columns, "__salt")), keys, counts)
     # A row without an old shard has no place to stay in.
     blocks = [(-1 if o is None else o, b, s) for o, b, s, _ in found]
     placed = plan_blocks(blocks, capacities or even_capacities(total, shards))
+    # Rows ahead by shard, and the number, rows and bytes of its last file.
     before: dict[int, int] = defaultdict(int)
+    files: dict[int, tuple[int, int, int]] = defaultdict(lambda: (0, 0, 0))
     plan, affected = [], set()
-    for (o, b, _, n), (name, _, _) in sorted(zip(found, blocks), key=lambda x: x[1]):
+    for (o, b, size, n), (name, _, _) in sorted(zip(found, blocks), key=lambda x: x[1]):
         shard = placed[name, b]
-        plan.append((o, b, shard, before[shard]))
+        file, held, weight = files[shard]
+        if held and (held + n > FILE_ROWS or weight + size > FILE_BYTES):
+            file, held, weight = file + 1, 0, 0
+        files[shard] = file, held + n, weight + size
+        plan.append((o, b, shard, before[shard], file))
         before[shard] += n
         affected |= {name, shard} if name != shard else set()
-    table = spark.createDataFrame(plan, "__of int, __number int, __shard int, __ahead long")
-    return Moves(keys, old_shard, counts, table, sorted(affected - {-1}))
+    table = spark.createDataFrame(plan, "__of int, __number int, __shard int, __ahead long, __range int")
+    return Moves(keys, old_shard, counts, table, sorted(affected - {-1}), split)
+
+
+def _block_sizes(rows: DataFrame, keys: list[str], counts: DataFrame) -> list:
+    """Old shard, block, bytes and rows of every block."""
+    return _dealt(rows, keys, counts).groupBy("__old", "__block").agg(F.sum("__size"), F.count("*")).collect()
 
 
 def _measured(docs: DataFrame, keys: list[str], old_shard: Column) -> DataFrame:
@@ -145,11 +205,11 @@ def _placed(docs: DataFrame, moves: Moves, *only: Column) -> DataFrame:
     """
     # One row per block: bounded as the number of blocks is.
     same = F.col("__old").eqNullSafe(F.col("__of")) & (F.col("__block") == F.col("__number"))
-    rows = _dealt(_measured(docs, moves.keys, moves.old_shard), moves.keys, moves.blocks)
+    rows = _dealt(_rows(docs, moves.keys, moves.old_shard, moves.split), moves.keys, moves.blocks)
     rows = rows.join(F.broadcast(moves.table), same).drop("__of", "__number", "__block")
     for passes in only:
         rows = rows.where(passes)
-    rows = rows.withColumn("__range", F.floor(F.col("__ahead") / FILE_ROWS)).repartition("__shard", "__range")
+    rows = rows.repartition("__shard", "__range")
     # The places ahead of a block name it within its shard.
     block = Window.partitionBy("__shard", "__range", "__ahead").orderBy(*moves.keys, "__crc", "__size")
     slot = F.col("__ahead") + F.row_number().over(block) - 1

@@ -131,3 +131,28 @@ def test_clashing_columns(spark, tmp_path):
     written = spark.read.parquet(path)
     assert sorted(map(tuple, written.select("doc_id", "shard", "slot", "new_shard", "size").collect())) <= sorted((r[0], r[2], r[3], r[4], r[5]) for r in rows)
     assert {"new_new_shard", "new_slot"} <= set(written.columns)
+
+
+def test_copies_of_a_row_spread(spark, tmp_path):
+    rows = [(i, f"text {i} " * 20, "a") for i in range(1500)] + [(5, "the same text " * 15, "b")] * 1000 + [(None, None, None)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    moves = plan_moves(docs, ["doc_id", "source"], F.pmod(F.xxhash64("source"), F.lit(32)))
+    assert moves.split and moves.split[1].count() == 1500
+    path = str(tmp_path / "out")
+    got = carry_out(docs, moves, path).collect()
+    assert sorted(((r.doc_id, r.source, r.text_crc32) for r in got), key=str) == sorted(((i, s, zlib.crc32((t or "").encode())) for i, t, s in rows), key=str)
+    check_shards(got, 40, max(r.size for r in got))
+    written = sorted(((r.doc_id, r.text, r.source) for r in spark.read.parquet(path).collect()), key=str)
+    assert written == sorted(rows, key=str) or len(moves.affected) < 40
+
+
+def test_files_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr("segeval.llm.resharding.FILE_BYTES", 5_000)
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(100)], "doc_id long, text string")
+    table = plan_moves(docs, ["doc_id"], F.lit(0), 2).table
+    sizes = {}
+    for r in table.collect():
+        sizes.setdefault(r["__shard"], set()).add(r["__range"])
+    assert all(files == set(range(len(files))) and len(files) >= 8 for files in sizes.values())
+    rows = reshard(docs, ["doc_id"], F.lit(0), shards=2).collect()
+    check_shards(rows, 2, 1016)
