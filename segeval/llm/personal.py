@@ -4,20 +4,24 @@ Base entities are e-mail addresses, IP addresses, card numbers and phone numbers
 Information-theoretic sanitisation (Sanchez and Batet 2016) adds terms: the corpus
 tells which terms stand near an entity, and a term ``t`` discloses the share
 ``PMI(t; e) / IC(e)`` of an entity ``e``, with the probabilities of ``e``, of ``t`` and
-of both taken over whole documents. Terms at or above ``DISCLOSE`` for some entity,
-with it in at least ``SUPPORT`` documents, are marked wherever they occur; those at or
-above ``REMOVE`` are to be removed, the others generalised.
+of both taken over whole documents, base entities themselves left out. Terms that
+disclose at least ``Rules.disclose`` of some entity, with it in at least ``Rules.support``
+documents, are marked wherever they occur; those at or above ``Rules.remove`` are to be
+removed, the others generalised.
 
 Edge cases: a null text is an empty one and has no spans. Repeated rows each count
-as a document. Texts are never cut; work is linear in their length.
+as a document. Texts are never cut. Work is linear in their length, but for one look at a
+bitmap for each entity and candidate term of a text, a few nanoseconds each.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +33,23 @@ from segeval.scratch import materialize
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-#: Code points on either side of an entity in which terms stand near it.
-NEAR = 100
-SUPPORT = 5
-DISCLOSE = 0.95
-REMOVE = 0.99
 
-#: Bits of the filter that is broadcast, for any number of terms.
-FILTER_BITS = 1 << 23
+@dataclass(frozen=True)
+class Rules:
+    """When a term reveals an entity. ``near``: code points on either side of an entity in which candidates stand; ``support``: documents with both."""
+
+    near: int = 100
+    support: int = 1
+    disclose: float = 0.95
+    remove: float = 0.99
+
+
+#: Bits of a filter for each value it holds, and the bounds of its size: at most 16 MB are broadcast.
+BITS_EACH = 16
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+
+#: Weighs the checksum of a pair's term against that of its entity.
+PAIR_FACTOR = 40_503
 
 #: Terms whose counts a task holds before it passes them on.
 HELD_TERMS = 200_000
@@ -105,58 +118,79 @@ def entity(text: str, span: Span) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _NO_DIGIT.sub('', value)}"
 
 
-def _without(text: str, start: int, end: int, spans: list[Span]) -> str:
-    """A part of a text with blanks in place of spans."""
-    part = list(text[start:end])
+def _hidden(text: str, spans: list[Span]) -> str:
+    """A text with blanks in place of spans."""
+    if not spans:
+        return text
+    parts, at = [], 0
     for _, a, b in spans:
-        for i in range(max(a, start), min(b, end)):
-            part[i - start] = " "
-    return "".join(part)
+        if b > at:
+            parts += [text[at:a], " " * (b - max(a, at))]
+            at = b
+    return "".join([*parts, text[at:]])
+
 
+def _terms(text: str, spans: list[Span]) -> set[str]:
+    """Terms outside the spans, in lower case."""
+    return {t.lower() for t in _TERM.findall(_hidden(text, spans))}
 
-def contexts(text: str, spans: list[Span]) -> set[tuple[str, str]]:
-    """Pairs of a term and an entity near which it stands. Terms of entities do not count."""
+
+def contexts(text: str, spans: list[Span], near: int) -> set[tuple[str, str]]:
+    """Pairs of a term and an entity near which it stands, as a whole. Terms of entities do not count."""
+    found = [(*m.span(), m[0].lower()) for m in _TERM.finditer(_hidden(text, spans))]
+    starts, ends = [a for a, _, _ in found], [b for _, b, _ in found]
     pairs = set()
-    for i, span in enumerate(spans):
-        start, end = max(0, span[1] - NEAR), span[2] + NEAR
-        # Only neighbours in order can reach into the part; overlapping kinds are a few at most.
-        low, high = i, i + 1
-        while low > 0 and spans[low - 1][1] > start - NEAR:
-            low -= 1
-        while high < len(spans) and spans[high][1] < end:
-            high += 1
+    for span in spans:
         name = entity(text, span)
-        pairs |= {(t.lower(), name) for t in _TERM.findall(_without(text, start, end, spans[low:high]))}
+        pairs |= {(t, name) for _, _, t in found[bisect_left(starts, span[1] - near) : bisect_right(ends, span[2] + near)]}
     return pairs
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(near: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     pair = pa.struct([("term", pa.string()), ("entity", pa.string())])
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        spans = [base_spans(t) for t in texts]
-        near = [[{"term": t, "entity": e} for t, e in sorted(contexts(t, s))] if s else [] for t, s in zip(texts, spans)]
-        names = [sorted({entity(t, x) for x in s}) for t, s in zip(texts, spans)]
-        listed = [[{"start": a, "kind": KINDS.index(k), "end": b} for k, a, b in s] for s in spans]
-        arrays = [batch.column("doc_id"), batch.column("mark"), pa.array(listed, pa.list_(span)), pa.array(names, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(near, pa.list_(pair))], ["doc_id", "mark", "base", "entities", "near"])
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            spans = [base_spans(t) for t in texts]
+            pairs = [[{"term": t, "entity": e} for t, e in sorted(contexts(t, s, near))] if s else [] for t, s in zip(texts, spans)]
+            names = [sorted({entity(t, x) for x in s}) for t, s in zip(texts, spans)]
+            listed = [[{"start": a, "kind": KINDS.index(k), "end": b} for k, a, b in s] for s in spans]
+            arrays = [batch.column("doc_id"), batch.column("mark"), pa.array(listed, pa.list_(span)), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(pairs, pa.list_(pair))], ["doc_id", "mark", "base", "entities", "near"])
 
-def _bit(term: str) -> int:
-    return zlib.crc32(term.encode()) % FILTER_BITS
+    return found
 
 
-def term_filter(terms: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds every ``term``; it may let others pass."""
-    bit = F.crc32(F.col("term").cast("binary")) % FILTER_BITS
+def _crc(column: Column | str) -> Column:
+    return F.crc32(F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary"))
+
+
+def hash_filter(values: DataFrame, hashed: Column) -> np.ndarray:
+    """A bitmap that holds ``hashed``, a number from 0, of every row; it may let others pass. It grows with the rows up to a bound."""
+    size = LEAST_BITS
+    wanted = BITS_EACH * values.count()
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+    bit = hashed % size
     cell = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))
-    words = terms.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(cell).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    words = values.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(cell).alias("bits")).toArrow()
+    out = np.zeros(size // 32, dtype=np.uint32)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A bitmap of the checksums of ``term``."""
+    return hash_filter(terms, _crc("term"))
+
+
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(32 * len(bits))
+    return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 class _Passes(dict):
     """Whether the filter lets a term pass; forgets all when it has grown large."""
 
@@ -166,7 +200,7 @@ class _Passes(dict):
     def __missing__(self, term: str) -> bool:
         if len(self) > HELD_TERMS:
             self.clear()
-        at = _bit(term)
+        at = zlib.crc32(term.encode()) % (32 * len(self._bits))
         self[term] = passes = bool(int(self._bits[at >> 5]) >> (at & 31) & 1)
         return passes
 
@@ -184,8 +218,8 @@ def _frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["term", "documents"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(t for t in set(_TERM.findall(text.as_py().lower())) if passes[t])
+            for text in batch.column("text").to_pylist():
+                counts.update(t for t in _terms(text, base_spans(text)) if passes[t])
             if len(counts) > HELD_TERMS:
                 yield packed()
                 counts.clear()
@@ -195,23 +229,25 @@ def _frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("documents").alias("documents")).join(terms.select("term"), "term", "left_semi")
 
 
-def _pair(term: Column | str, entity: Column | str) -> Column:
-    return F.concat_ws("\n", term, entity).alias("term")
-
-
 def _together(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``term, entity, together``: documents that hold both of a given pair, wherever they stand in it."""
+    """``term, entity, together``: documents that hold both of a given pair, wherever they stand in it.
+
+    Every entity of a text is looked up with all its terms at once.
+    """
     context = texts.sparkSession.sparkContext
-    of_terms, of_pairs = context.broadcast(term_filter(pairs.select("term"))), context.broadcast(term_filter(pairs.select(_pair("term", "entity"))))
+    of_terms, of_pairs = context.broadcast(term_filter(pairs.select("term"))), context.broadcast(hash_filter(pairs, _crc("term") * PAIR_FACTOR + _crc("entity")))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term_passes, pair_passes = _Passes(of_terms.value), _Passes(of_pairs.value)
+        passes, bits = _Passes(of_terms.value), of_pairs.value
         for batch in batches:
             counts: Counter[tuple[str, str]] = Counter()
             for text in batch.column("text").to_pylist():
-                if terms := [t for t in set(_TERM.findall(text.lower())) if term_passes[t]]:
-                    names = {entity(text, s) for s in base_spans(text)}
-                    counts.update((t, e) for e in names for t in terms if pair_passes[f"{t}\n{e}"])
+                if spans := base_spans(text):
+                    terms = [t for t in _terms(text, spans) if passes[t]]
+                    hashes = np.array([zlib.crc32(t.encode()) for t in terms], dtype=np.uint64) * np.uint64(PAIR_FACTOR)
+                    for name in {entity(text, s) for s in spans}:
+                        met = np.flatnonzero(_held(bits, hashes + np.uint64(zlib.crc32(name.encode()))))
+                        counts.update((terms[i], name) for i in met)
             columns = [pa.array([t for t, _ in counts], pa.string()), pa.array([e for _, e in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["term", "entity", "together"])
 
@@ -219,7 +255,7 @@ def _together(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return partial.groupBy("term", "entity").agg(F.sum("together").alias("together"))
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
+def disclosing_terms(found: DataFrame, texts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``term, entity, disclosure``: terms that reveal an entity, each with the entity it reveals most.
 
     Terms near an entity are candidates; what they disclose is counted over whole documents.
@@ -227,17 +263,17 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     total = texts.count()
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("known"))
     content = F.greatest(-F.log(F.col("known") / F.lit(float(total))), F.lit(1e-12))
-    entities = entities.where(F.col("known") >= SUPPORT).withColumn("content", content)
+    entities = entities.where(F.col("known") >= rules.support).withColumn("content", content)
     # A term discloses an entity if it is in so many documents for each that holds both.
-    entities = entities.withColumn("factor", F.exp((1 - DISCLOSE) * F.col("content")))
+    entities = entities.withColumn("factor", F.exp((1 - rules.disclose) * F.col("content")))
     near = found.select(F.inline("near")).distinct().join(entities, "entity")
     # No pair is in more documents than its entity is.
     near = materialize(near.withColumn("most", F.col("known") * F.col("factor")), "near")
     terms = materialize(near.groupBy("term").agg(F.max("most").alias("most")), "terms")
     counted = materialize(_frequencies(texts, terms), "counted")
-    candidates = materialize(near.join(counted, "term").where(F.col("documents").between(F.lit(SUPPORT), F.col("most"))), "candidates")
+    candidates = materialize(near.join(counted, "term").where(F.col("documents").between(F.lit(rules.support), F.col("most"))), "candidates")
     met = candidates.join(_together(texts, candidates), ["term", "entity"])
-    met = met.where((F.col("together") >= SUPPORT) & (F.col("documents") <= F.col("together") * F.col("factor")))
+    met = met.where((F.col("together") >= rules.support) & (F.col("documents") <= F.col("together") * F.col("factor")))
     disclosure = F.least(1 - F.log(F.col("documents") / F.col("together")) / F.col("content"), F.lit(1.0))
     best = F.max(F.struct(disclosure.alias("disclosure"), "entity")).alias("best")
     return met.groupBy("term").agg(best).select("term", "best.entity", "best.disclosure")
@@ -252,12 +288,9 @@ def _occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, mark, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")]):
-                if any(passes[t] for t in set(_TERM.findall(text.lower()))):
-                    spans = base_spans(text)
-                    hidden = _without(text, 0, len(text), spans) if spans else text
-                    for m in _TERM.finditer(hidden):
-                        if passes[term := m[0].lower()]:
-                            rows.append((doc_id, mark, term, *m.span()))
+                for m in _TERM.finditer(_hidden(text, base_spans(text))):
+                    if passes[term := m[0].lower()]:
+                        rows.append((doc_id, mark, term, *m.span()))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "term", "start", "end"])
@@ -266,7 +299,7 @@ def _occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return materialize(hits, "hits").join(terms.select("term", "disclosure"), "term")
 
 
-def personal_spans(docs: DataFrame) -> DataFrame:
+def personal_spans(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``doc_id``, ``base`` and ``terms``: arrays of spans of every row.
 
     A base span has ``start, kind`` (position in ``KINDS``) and ``end``, a term's
@@ -278,11 +311,11 @@ def personal_spans(docs: DataFrame) -> DataFrame:
         "doc_id long, mark long, base array<struct<start: long, kind: int, end: long>>, entities array<string>, "
         "near array<struct<term: string, entity: string>>"
     )
-    found = materialize(texts.mapInArrow(_found, schema), "found")
-    terms = materialize(disclosing_terms(found, texts), "terms")
+    found = materialize(texts.mapInArrow(_found(rules.near), schema), "found")
+    terms = materialize(disclosing_terms(found, texts, rules), "terms")
     hits = _occurrences(texts, terms)
     # Equal rows found the same spans; one set of them goes back to each.
-    span = F.struct("start", "end", "term", (F.col("disclosure") >= REMOVE).alias("remove"))
+    span = F.struct("start", "end", "term", (F.col("disclosure") >= rules.remove).alias("remove"))
     spans = hits.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(span)).alias("terms"))
     spans = materialize(spans.toDF("__id", "__mark", "terms"), "spans")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))

@@ -63,3 +63,60 @@ def test_terms_far_from_the_entity_count_as_together(spark):
     found = {r.doc_id: [s.term for s in r.terms] for r in personal.personal_spans(docs).collect()}
     assert all(found[i] == ["quillon"] for i in range(10))
     assert not any(found[100 + i] for i in range(300))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_contexts_equal_a_plain_search(seed):
+    rng = random.Random(seed)
+    pieces = ["word", "Other", "ab", "x@y.example", "10.0.0.1", "4111111111111111", "+1 555 010 9999", " ", " ", "é", "long" * 9, "a" * 60 + "@far.example.org"]
+    text = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(60))
+    spans = personal.base_spans(text)
+    inside = {i for _, a, b in spans for i in range(a, b)}
+    hidden = "".join(" " if i in inside else c for i, c in enumerate(text))
+    want = set()
+    for kind, a, b in spans:
+        for m in personal._TERM.finditer(hidden):
+            if m.start() >= a - 30 and m.end() <= b + 30:
+                want.add((m[0].lower(), personal.entity(text, (kind, a, b))))
+    assert personal.contexts(text, spans, 30) == want
+
+
+def test_rare_entities_reveal_their_terms(spark):
+    names = {k: [f"{c}{'o' * k}rvin" for c in "bdfghklm"] for k in (1, 2, 3)}
+    rows, far = [], " ".join(["filler"] * 60)
+    for k, of_k in names.items():
+        for name in of_k:
+            rows += [f"the man {name.title()} wrote from {name[:3]}.{k}@mail.example.org {far if i else 'here'} to {name}" for i in range(k)]
+    rows += ["the man wrote from here to filler"] * 200
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+    def marked(rules):
+        found = {r.doc_id: r.terms for r in personal.personal_spans(docs, rules).collect()}
+        assert not any(found[i] for i, t in enumerate(rows) if "@" not in t)
+        return {rows[i][s.start : s.end].lower() for i, spans in found.items() for s in spans}
+
+    assert marked(personal.Rules()) == {n for of_k in names.values() for n in of_k}
+    assert marked(personal.Rules(support=2)) == {*names[2], *names[3]}
+    assert marked(personal.Rules(support=4)) == set()
+
+
+def test_words_inside_entities_are_not_counted(spark):
+    # "quillon" stands in many addresses, but outside of them only beside one entity.
+    rows = [(i, "Quillon wrote to desk@mail.example.org") for i in range(3)] + [(10 + i, f"to quillon@host{i}.example.org") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [s.term for s in r.terms] for r in personal.personal_spans(docs).collect()}
+    assert all("quillon" in found[i] for i in range(3)) and not any("quillon" in found[10 + i] for i in range(50))
+
+
+def test_many_entities_in_one_text(spark):
+    text = " ".join(f"name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]} a{i}@mail.example.org" for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, "nothing here")] + [(i, "common words") for i in range(3, 60)], "doc_id long, text string")
+    found = {r.doc_id: len(r.terms) for r in personal.personal_spans(docs).collect()}
+    assert found[1] == 3000 and sum(found.values()) == 3000
+
+
+def test_filter_holds_its_values(spark):
+    terms = spark.range(20_000).selectExpr("concat('t', id) AS term")
+    passes = personal._Passes(personal.term_filter(terms))
+    assert all(passes[f"t{i}"] for i in range(20_000))
+    assert sum(passes[f"u{i}"] for i in range(20_000)) < 3_000
