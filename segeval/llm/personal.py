@@ -45,7 +45,7 @@ class Rules:
 
 
 #: Bits of a filter for each value it holds, and the bounds of its size: at most 16 MB are broadcast.
-BITS_EACH = 16
+BITS_EACH = 256
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 #: Weighs the checksum of a pair's term against that of its entity.
