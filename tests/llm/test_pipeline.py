@@ -5,9 +5,11 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from segeval.llm import queries, stages
+from segeval.llm.mixing import Mix, mix_documents
 from segeval.llm.shingles import similarity
 from tests.llm import brute
 from tests.llm.conftest import prose
@@ -67,6 +69,26 @@ def test_mix_repeats_documents(spark, odd_docs, odd_rows):
     assert stages.mixed(odd_docs).schema.names == odd_docs.schema.names
 
 
+@pytest.mark.parametrize("rows_a_piece", [50_000, 2])
+def test_mix_goes_by_shard_and_place(spark, monkeypatch, rows_a_piece):
+    monkeypatch.setattr(stages, "PIECE_ROWS", rows_a_piece)
+    docs = spark.createDataFrame([(i, prose(i, 20), "ab"[i % 2]) for i in range(90)], "doc_id long, text string, source string")
+    once = Mix(share=0.9, most=1.0, levels=2)
+    # Each document is taken once at most, so that it has one place.
+    places = {}
+    for r in mix_documents(stages._marked(docs), ["doc_id", stages._MARK], once).collect():
+        for d in r.draws:
+            if 2 * d.words >= r["size"]:
+                places[r.doc_id] = (d.shard, d.place)
+    got = stages.mixed(docs, once).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(r.doc_id for r in got) == sorted(places)
+    by_part = collections.defaultdict(list)
+    for r in got:
+        by_part[r.part].append(places[r.doc_id])
+    assert all(found == sorted(found) for found in by_part.values())
+    assert len({shard for shard, _ in places.values()}) == 4
+
+
 def test_quality_rejects_junk_only(spark, odd_docs):
     docs = spark.createDataFrame([(i, prose(i) if i % 4 else "%%% " * 40 + str(i)) for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int")
