@@ -59,8 +59,35 @@ def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE, settings
     known = materialize(known.select("doc_id", "statistics", "quality"), "labelled")
     count = known.count()
     if count > sample:
-        share = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-        known = known.where(share < sample / count)
+        known = known.where(_share("doc_id") < sample / count)
+    return _fitted(known, settings)
+
+
+def train_on_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, settings: Settings = Settings()) -> Forest:
+    """Fit as ``train`` does, but choose about ``sample`` labels first, by a hash of ``doc_id``, and measure only their texts.
+
+    Equal rows count once. Rows of one ``doc_id`` are chosen by a hash of their own where they are too many.
+    """
+    marks = labels.where("quality in (0, 1)").where(~held_out()).select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("quality"))
+    marks = materialize(marks.where("__id is not null").distinct(), "labels")
+    count = marks.count()
+    chosen = marks.where(_share("__id") < sample / count) if count > sample else marks
+    # About ``sample`` ids and labels at most, whatever the size of the tables.
+    texts = docs.join(F.broadcast(chosen.select("__id").distinct()), F.col("doc_id") == F.col("__id"), "left_semi")
+    known = add_statistics(texts, ["doc_id"]).distinct().join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    known = materialize(known.select("doc_id", "statistics", "quality"), "labelled")
+    count = known.count()
+    if count > sample:
+        known = known.where(_share("doc_id", "statistics") < sample / count)
+    return _fitted(known, settings)
+
+
+def _share(*columns: str) -> Column:
+    """A number from 0 to 1 that the columns fix."""
+    return F.pmod(F.xxhash64(F.lit("fit"), *columns), F.lit(1 << 20)) / float(1 << 20)
+
+
+def _fitted(known: DataFrame, settings: Settings) -> Forest:
     # Sums of doubles depend on the order, so the rows get a fixed one.
     table = known.select("doc_id", "quality", "statistics").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     x = np.array(table.column("statistics").to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from segeval.llm.boosting import Settings, fit
-from segeval.llm.quality import quality_scores
+from segeval.llm.quality import add_statistics, quality_scores, train, train_on_texts
 from segeval.llm.statistics import NAMES, statistics
 from tests.llm.conftest import prose
 
@@ -68,3 +68,21 @@ def test_odd_rows_and_no_rows(spark, odd_docs, odd_rows, no_docs):
     assert len(rows) == len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     assert quality_scores(no_docs, labels).collect() == []
     assert {r.score for r in quality_scores(odd_docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_trees_of_chosen_texts_equal_those_of_all(spark):
+    docs = spark.createDataFrame([(i, prose(i) if i % 3 else "### " * 30 + str(i)) for i in range(150)] + [(None, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)] + [(None, 1), (4, None)], "doc_id long, quality int")
+    a, b = train(add_statistics(docs, ["doc_id"]), labels), train_on_texts(docs, labels)
+    x = np.array([statistics(prose(i)) for i in range(150, 180)] + [statistics("### " * i) for i in range(30)])
+    assert np.array_equal(a.predict(x), b.predict(x)) and a.predict(x)[0] > 0.3 > a.predict(x)[-1]
+
+
+def test_chosen_texts_are_bounded_even_under_one_id(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr("segeval.llm.quality.fit", lambda x, y, settings: sizes.append(len(x)) or fit(x, y, settings))
+    docs = spark.createDataFrame([(i, prose(i)) for i in range(400)] + [(1, prose(i)) for i in range(400, 1400)] + [(1, "same")] * 1000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    for sample in (50, 10_000):
+        train_on_texts(docs, labels, sample)
+    assert 0 < sizes[0] < 100 and sizes[1] == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(400)) + 1001
