@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segeval.functions.expr import score_column
 from segeval.operators.profile import column_summary
-from segeval.operators.ratings import require_rows
 from segeval.operators.scoring import add_scores, select_metrics
 from segeval.sources.csv import read_csv, read_pairs_csv, write_csv
 
@@ -16,7 +15,6 @@ def annotate_csv(
 ) -> DataFrame:
     """Read pairs, write them with one score column per metric, and return the statistics of the new columns."""
     names = select_metrics(metrics)
-    pairs = require_rows(read_pairs_csv(spark, input_path, types), "no valid rows after removing rows with missing texts")
-    write_csv(add_scores(pairs, names), output_path)
+    write_csv(add_scores(read_pairs_csv(spark, input_path, types), names), output_path)
     columns = [score_column(m) for m in names]
     return column_summary(read_csv(spark, output_path, {c: "double" for c in columns}), columns)

@@ -229,3 +229,7 @@ def test_annotated_csv(spark, pairs, tmp_path):
     assert {r.column_name: r["count"] for r in stats.collect()} == {"bleu_score": 40, "wer_score": 40}
     out = read_csv(spark, str(tmp_path / "out"))
     assert out.columns == ["row_id", "sourceText", "targetText", "referenceText", "bleu_score", "wer_score"]
+    write_csv(pairs.withColumn("targetText", F.lit(None).cast("string")), str(tmp_path / "incomplete"))
+    with pytest.raises(ValueError, match="no row of"):
+        annotate_csv(spark, str(tmp_path / "incomplete"), str(tmp_path / "never"), ["BLEU"])
+    assert not (tmp_path / "never").exists()

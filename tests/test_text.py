@@ -202,6 +202,29 @@ def test_edit_rate_and_rouge_hand_worked(spark):
     assert [r.rouge for r in rows] == pytest.approx([8 / 13, 0, 0, 0, 1])
 
 
+def test_document_overlap_query(spark, tmp_path):
+    """The query that has no SQL, over whole long texts, against row-by-row tables."""
+    from checks.queries import document_overlap
+
+    rng = random.Random(12)
+    vocabulary = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{n}" for n in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(200, 900))) for _ in range(8)]
+    # A near copy, an exact copy, an empty text, a missing one, and an id without a next one.
+    texts += [texts[-1].replace(vocabulary[0], "other"), texts[-1], "", None, texts[0], texts[0]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.word_edit_rate, r.rouge_score) for r in document_overlap(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts) - 1))
+    for i, (h, r) in enumerate(zip(texts, texts[1:])):
+        if h is None or r is None:
+            assert got[i] == (None, None)
+            continue
+        a, b = h.split(), r.split()
+        rate = 100 * edit_distance(a, b) / len(b) if b else 100.0 * bool(a)
+        common = common_length(a, b)
+        assert got[i] == pytest.approx((rate, 2 * common / (len(a) + len(b)) if common else 0), abs=1e-6)
+
+
 def test_missing_text_has_no_score(spark):
     df = spark.createDataFrame([(None, "a"), ("a", None)], "h string, r string")
     for metric in (lexical.bleu, lexical.chrf_plus_plus, lexical.word_edit_score, lexical.rouge_l):
