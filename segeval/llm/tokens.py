@@ -9,26 +9,33 @@ text with other white space (runs, tabs, no-break spaces) is encoded in one piec
 from __future__ import annotations
 
 import os
+import string
 import sys
 import types
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Id written after each document.
 END_ID = 2
 
 #: Words that a worker keeps for good, and words that it keeps until that many more have come.
-KEPT_WORDS = 400_000
-PASSING_WORDS = 400_000
+KEPT_WORDS = 200_000
+PASSING_WORDS = 200_000
 
 #: New words that are encoded as one text.
 WORDS_A_TEXT = 64
 
+#: Marks at a word's end that are looked up apart.
+MARKS = ".,"
+
 #: Characters of text that are cut into words at a time.
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 2_000_000
 
 # ASCII white space other than single blanks and line breaks between words (fixed values).
+_LETTERS = frozenset(string.ascii_letters)
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
 _ASCII_SPACE = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -55,9 +62,15 @@ class WordEncoder:
         self._kept: dict[str, bytes] = {}
         self._passing: list[str] = []
         (self._break,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        # Marks that are cut off after a letter: a word and its mark are encoded apart, so that fewer words are kept.
+        self._marks = {m: self._whole(m) for m in MARKS if self._is_cut_off(m)}
         # A vocabulary with added tokens could join words; then every text is encoded whole.
         self._added = tuple(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
 
+    def _is_cut_off(self, mark: str) -> bool:
+        cutter = self._tokenizer.pre_tokenizer
+        return cutter is not None and [at for _, at in cutter.pre_tokenize_str(f" a{mark} b\na{mark}\n")] == [(0, 2), (2, 3), (3, 5), (5, 6), (6, 7), (7, 8), (8, 9)]
+
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -85,17 +98,25 @@ class WordEncoder:
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         # The first word of a text has nothing before it: it is encoded as after a line break, which goes again.
-        cut = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        found = [list(map(self._kept.get, words)) for words in cut]
-        holes = [[i for i, ids in enumerate(got) if ids is None] if None in got else [] for got in found]
-        missing = {words[i] for words, hole in zip(cut, holes) for i in hole}
+        cut = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        bare = [w[:-1] if w[-1:] in self._marks and w[-2:-1] in _LETTERS else w for w in words]
+        missing = {w for w in bare if w not in self._kept}
         if missing:
             self._learn(list(missing))
-        for words, got, hole in zip(cut, found, holes):
-            for i in hole:
-                got[i] = self._kept[words[i]]
+        kept, marks = self._kept, self._marks
+        found = [kept[b] if b is w else kept[b] + marks[w[-1]] for w, b in zip(words, bare)]
         self._forget()
-        return [b"".join(got)[4:] for got in found]
+        sizes = np.array([len(ids) // 4 for ids in found])
+        starts = np.cumsum(sizes) - sizes
+        # The ids of each distinct word go to all its places.
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        place = np.repeat(starts[which] - ends + lengths, lengths) + np.arange(ends[-1])
+        raw = np.frombuffer(b"".join(found), dtype="<u4")[place].tobytes()
+        bounds = np.append(0, ends)[cut.offsets.to_numpy()].tolist()
+        return [raw[4 * (a + 1) : 4 * b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []

@@ -1,6 +1,8 @@
+import numpy as np
 import public_tokenizers
 
 from segeval.llm.token_files import encode_documents, read_token_files
+from segeval.llm.tokens import WordEncoder
 from tests.llm import brute
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +41,14 @@ def test_files_hold_indexes_and_filters(spark, odd_docs, tmp_path):
     assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
 
 
+def test_workers_keep_a_word_once_for_all_its_marks():
+    texts = ["word. word, word\nword. Word", "a.b, a., x's. 3.14, 7. (end.) ends... é. z.\ny,", "...", ".", ", .", "word."]
+    worker = WordEncoder(PATH)
+    found = worker.encode(texts)
+    assert [np.frombuffer(ids, dtype="<u4").tolist() + [2] for ids in found] == brute.token_ids(texts, PATH)
+    assert {w for w in worker._kept if w.strip("\n").startswith("word")} == {"word", "\nword"}
+
+
 def test_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b c"), (0, None)], "doc_id long, text string")
     rows = sorted((r.start, r.n_tokens) for r in encode_documents(docs, PATH).collect())
