@@ -61,6 +61,15 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; 0 if there is none."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for start in range(0, len(hashes), _BLOCK):
+        part = np.ascontiguousarray(hashes[start : start + _BLOCK], dtype="<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)

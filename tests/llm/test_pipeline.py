@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from segeval.llm import queries, stages
+from segeval.llm import queries, shingles, simhash, stages
 from segeval.llm.mixing import Mix, mix_documents
 from segeval.llm.shingles import similarity
 from tests.llm import brute
@@ -57,6 +57,21 @@ def test_near_duplicates_share_five_word_shingles(spark):
     assert kept == {i for i, _ in rows if copies.get(i, 0) < 0.8}
 
 
+def test_near_duplicates_meet_by_covering_hashing(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "bands", lambda hashes: [])
+    rng = random.Random(7)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+        changed = [*words[:1000], "new", *words[1001:]]
+        near = [simhash.majority(shingles._hashes(shingles._words(" ".join(w)), shingles.WORDS)) for w in (words, changed)]
+        rows += [(10 * i, " ".join(words), True)] + [(10 * i + 1, " ".join(changed), (near[0] ^ near[1]).bit_count() > simhash.RADIUS)]
+    rows += [(500 + i, text, i == 0 or "x" in text) for i, text in enumerate(["", " ", "x"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, apart boolean")
+    assert sum(not apart for _, _, apart in rows) > 6
+    assert {r.doc_id for r in stages.one_of_each_group(docs).collect()} == {i for i, _, apart in rows if apart}
+
+
 def test_mix_repeats_documents(spark, odd_docs, odd_rows):
     rows = [(i, prose(i, 20), "ab"[i % 2]) for i in range(60)] + [(7, prose(7, 20), "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
