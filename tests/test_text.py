@@ -6,10 +6,12 @@ import string
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from segeval.functions import text
+from segeval.functions import sequence, text
 from segeval.functions.ngrams import character_matches, word_matches
 from segeval.functions.sequence import lcs_length, word_edits
 from segeval.functions.stem import porter_stem
@@ -190,6 +192,27 @@ def test_long_sequences():
     assert time.perf_counter() - start < 6
 
 
+@pytest.mark.parametrize("together", [1, 16])
+def test_edit_distances_side_by_side(monkeypatch, together):
+    monkeypatch.setattr(sequence, "TOGETHER", together)
+    monkeypatch.setattr(sequence, "TOKENS", 3000)
+    rng = random.Random(3)
+    sizes = [0, 1, 2, 7, 63, 64, 65, 200]
+    lists = [[[rng.randrange(6) for _ in range(rng.choice(sizes))] for _ in range(150)] for _ in range(2)]
+    places = np.array([t for side in lists for tokens in side for t in tokens], dtype=np.int32)
+    ends = np.cumsum([len(tokens) for side in lists for tokens in side]).tolist()
+    parts = list(zip([0, *ends], ends))
+    assert sequence._distances(places, list(zip(parts[:150], parts[150:]))) == [sequence.edit_distance(x, y) for x, y in zip(*lists)]
+
+
+def test_tokens_of_a_batch_are_read_at_once():
+    left = pa.array([["a", "b"], None, [], ["b", None, "c"], ["d"]], pa.list_(pa.string()))[1:]
+    right = pa.array([["a"], ["c", "c"], None, ["é"]], pa.list_(pa.string()))
+    tokens, places, x, y = sequence._coded(left, right)
+    read = [[None if part is None else [tokens[i] for i in places[part[0] : part[1]]] for part in side] for side in (x, y)]
+    assert read == [left.to_pylist(), right.to_pylist()] and len(tokens) == len(set(tokens))
+
+
 def test_edit_rate_and_rouge_hand_worked(spark):
     df = spark.createDataFrame([PLAIN, ("a", ""), ("", ""), ("", "a b"), ("x y", "X y")], "h string, r string")
     rows = df.select(
