@@ -41,6 +41,9 @@ GATHERED = 200_000
 #: Pre-tokens whose tokens are counted in one call.
 COUNTED = 2_000
 
+#: Rare pre-tokens of documents that a task lists before it hands them on, but for the last document's.
+LISTED = 50_000
+
 _BLANK = "▁"  # fixed value: how the model writes a blank
 _PRE_TOKENS = re.compile(" *[^ \n]+| +|\n+")
 
@@ -131,6 +134,35 @@ def frequent(counted: DataFrame, most: int = HEAD) -> dict[str, int]:
     return dict(zip(rows.column("key").to_pylist(), rows.column("pieces").to_pylist()))
 
 
+def _weighed(batches: Iterator[pa.RecordBatch], pieces: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """The tokens of the pre-tokens in ``pieces``, and the other pre-tokens with their numbers as ``rest``."""
+    for batch in batches:
+        begin, sums, ends = 0, [], [0]
+        rare: list[str] = []
+        numbers: list[int] = []
+        for at, text in enumerate(batch.column("text"), 1):
+            total = 0
+            for token, n in Counter(pre_tokens(text.as_py())).items():
+                one = pieces.get(token)
+                if one is None:
+                    key = key_of(token)
+                    one = pieces.get(key)
+                if one is None:
+                    rare.append(key)
+                    numbers.append(n)
+                else:
+                    total += n * one
+            sums.append(total)
+            ends.append(len(rare))
+            # Handed on before many have gathered, whatever the number of rows that a batch brings.
+            if len(rare) >= LISTED or at == batch.num_rows:
+                rest = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(numbers, pa.int64())], ["key", "n"])
+                kept = [batch.column(c).slice(begin, at - begin) for c in ("row", "of", "n_bytes")]
+                rests = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(sums, pa.int64()), rests], ["row", "of", "n_bytes", "known", "rest"])
+                begin, sums, ends, rare, numbers = at, [], [0], [], []
+
+
 def token_counts(docs: DataFrame, model: str, keys: list[str], limit: int = 4096, head: int = HEAD) -> DataFrame:
     """``keys``, ``n_bytes`` of the text as UTF-8, ``n_tokens``, and whether they exceed ``limit``. Jobs run when this is called."""
     spark = docs.sparkSession
@@ -138,25 +170,7 @@ def token_counts(docs: DataFrame, model: str, keys: list[str], limit: int = 4096
     known = spark.sparkContext.broadcast(frequent(counted, head))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = known.value
-        rest_type = pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())]))
-        for batch in batches:
-            sums, rests = [], []
-            for text in batch.column("text"):
-                total, rest = 0, []
-                for token, n in Counter(pre_tokens(text.as_py())).items():
-                    one = pieces.get(token)
-                    if one is None:
-                        key = key_of(token)
-                        one = pieces.get(key)
-                    if one is None:
-                        rest.append({"key": key, "n": n})
-                    else:
-                        total += n * one
-                sums.append(total)
-                rests.append(rest)
-            kept = [batch.column(c) for c in ("row", "of", "n_bytes")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sums, pa.int64()), pa.array(rests, rest_type)], ["row", "of", "n_bytes", "known", "rest"])
+        return _weighed(batches, known.value)
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(

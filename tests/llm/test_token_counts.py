@@ -1,7 +1,9 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
+from segeval.llm import token_counts as counts
 from segeval.llm.token_counts import KEY, PieceCounter, distinct_pre_tokens, frequent, key_of, pre_tokens, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -69,6 +71,18 @@ def test_long_pre_tokens_go_by_digest(spark, whole):
     assert {r["n_tokens"] for r in token_counts(docs, MODEL, ["doc_id"], head=0).collect()} == {whole(f"{long} {long}y")}
 
 
+def test_rare_pre_tokens_are_handed_on_before_many_gather(monkeypatch):
+    monkeypatch.setattr(counts, "LISTED", 20)
+    texts = [" ".join(f"w{i}x{j}" for j in range(i % 9)) + " known" * (i % 3) for i in range(100)]
+    columns = {"row": range(100), "of": [{"doc_id": i} for i in range(100)], "n_bytes": [len(t) for t in texts], "text": texts}
+    batch = pa.RecordBatch.from_pydict({name: list(values) for name, values in columns.items()})
+    found = list(counts._weighed(iter([batch, batch.slice(0, 0)]), {" known": 3}))
+    assert len(found) > 10 and all(len(b.column("rest").flatten()) < 20 + 9 for b in found)
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert [(r["row"], r["of"]["doc_id"], r["n_bytes"], r["known"]) for r in rows] == [(i, i, len(t), 3 * (i % 3)) for i, t in enumerate(texts)]
+    assert [[(p["key"], p["n"]) for p in r["rest"]] for r in rows] == [[(f" w{i}x{j}", 1) for j in range(i % 9)] for i in range(100)]
+
+
 def test_a_model_that_joins_words_is_refused():
     class Joined:
         def get_piece_size(self):
