@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 OTHER_SPACES = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-SPACE = f"[ {OTHER_SPACES}]"
 
 # Rewrite rules of the mteval-v13a tokeniser, applied in this order.
 TOKENS_13A = [
@@ -36,8 +35,9 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 def squeeze(text: Column) -> Column:
     """Collapse whitespace runs to one blank and trim both ends."""
-    # Single blanks, by far the most common case, are not matched at all.
-    return F.trim(F.regexp_replace(text, f"[{OTHER_SPACES}]{SPACE}*| {SPACE}+", " "))
+    # Characters are mapped without a pattern; single blanks, by far the most common case, are not matched at all.
+    blanks = F.translate(text, OTHER_SPACES, " " * len(OTHER_SPACES))
+    return F.trim(F.regexp_replace(blanks, "  +", " "))
 
 
 def words(text: Column) -> Column:
@@ -59,7 +59,7 @@ def bleu_text(text: Column) -> Column:
 
 def chrf_characters(text: Column) -> Column:
     """Text without any whitespace."""
-    return F.regexp_replace(text, SPACE + "+", "")
+    return F.translate(text, " " + OTHER_SPACES, "")
 
 
 def chrf_text(text: Column) -> Column:

@@ -192,6 +192,16 @@ def test_long_sequences():
     assert time.perf_counter() - start < 6
 
 
+def test_spaces_go_whatever_their_kind_without_a_pattern_of_them(spark):
+    rng = random.Random(11)
+    rows = [("".join(rng.choice(["a", "é", "\U0001f600", "\x00", " ", *text.OTHER_SPACES]) for _ in range(30)),) for _ in range(60)] + [("",), (" ",), (None,)]
+    df = spark.createDataFrame(rows, "t string").select("t", text.squeeze(F.col("t")).alias("one"), text.chrf_characters(F.col("t")).alias("none"))
+    for r in df.collect():
+        assert (r.one, r.none) == ((None, None) if r.t is None else (" ".join(r.t.split()), "".join(r.t.split())))
+    plan = spark.createDataFrame(rows, "t string").select(text.chrf_characters(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in plan
+
+
 @pytest.mark.parametrize("together", [1, 16])
 def test_edit_distances_side_by_side(monkeypatch, together):
     monkeypatch.setattr(sequence, "TOGETHER", together)
