@@ -83,5 +83,10 @@ def rouge_words(text: Column, unicode_tokens: bool = False) -> Column:
     The default keeps only ``a-z0-9``: other letters vanish, which is how the
     standard scorer behaves. ``unicode_tokens`` keeps letters and digits of any script.
     """
-    keep = r"[^\p{L}\p{M}\p{N}]+" if unicode_tokens else r"[^a-z0-9]+"
-    return F.filter(F.split(F.regexp_replace(F.lower(text), keep, " "), " "), lambda t: t != "")
+    spaced = spaced_words(text) if unicode_tokens else F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")
+    return F.filter(F.split(spaced, " "), lambda t: t != "")
+
+
+def spaced_words(text: Column) -> Column:
+    """Lower-cased text with a blank for all that is no letter, mark or digit of any script."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")

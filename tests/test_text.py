@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from segeval.functions import sequence, text
+from segeval.functions import sequence, text, units
 from segeval.functions.ngrams import character_matches, word_matches
 from segeval.functions.sequence import lcs_length, word_edits
 from segeval.functions.stem import porter_stem
@@ -215,6 +215,83 @@ def test_edit_distances_side_by_side(monkeypatch, together):
     assert sequence._distances(places, list(zip(parts[:150], parts[150:]))) == [sequence.edit_distance(x, y) for x, y in zip(*lists)]
 
 
+@pytest.mark.parametrize("together", [1, 16])
+def test_long_pairs_go_side_by_side(monkeypatch, together):
+    """Short sides of more than a machine word, to which carries go from word to word."""
+    monkeypatch.setattr(sequence, "TOGETHER", together)
+    monkeypatch.setattr(sequence, "LANES_AT_ONCE", 40)
+    rng = random.Random(9)
+    sizes = [0, 1, 63, 64, 65, 128, 129, 300]
+    for vocabulary in (2, 40):
+        left, right = ([np.array([rng.randrange(vocabulary) for _ in range(rng.choice(sizes))], dtype=np.int32) for _ in range(60)] for _ in range(2))
+        left, right = left + [x[:200] for x in left], right + [x[1:] for x in left]
+        pairs = [(x.tolist(), y.tolist()) for x, y in zip(left, right)]
+        expected = [[f(x, y) for x, y in pairs] for f in (sequence.edit_distance, sequence.common_length)]
+        if together == 1:  # then no pair goes alone
+            for name in ("edit_distance", "common_length"):
+                monkeypatch.setattr(sequence, name, lambda x, y: pytest.fail("a pair went alone") if x and y else max(len(x), len(y)) * (name == "edit_distance"))
+        found = [f(left, right) for f in (sequence.edit_distances, sequence.common_lengths)]
+        monkeypatch.undo()
+        monkeypatch.setattr(sequence, "TOGETHER", together)
+        if together == 1:  # pairs with an empty side are compared by the stand-ins
+            empty = [not (x and y) for x, y in pairs]
+            expected = [[w if e else x for e, w, x in zip(empty, g, xs)] for g, xs in zip(found, expected)]
+        assert found == expected
+
+
+TRICKY = ["a", "b", "5", ",", ".", "-", " ", "1", "'", '"', "!", "[", "]", "/", "&", ";", "é", "\u10d4", "\U0001f600", "\u20ac", "\x00"]
+TRICKY += ["&quot;", "&amp;", "<skipped>", "-\n", *text.OTHER_SPACES]
+
+
+def test_words_of_a_batch_equal_those_of_each_text(spark):
+    rng = random.Random(10)
+    texts = ["", " "] + ["".join(rng.choices(TRICKY, k=rng.randrange(40))) for _ in range(2000)]
+    texts += ["".join(rng.choices("a5.,-", k=rng.randrange(9))) for _ in range(3000)]
+    t = F.col("t")
+    columns = [text.bleu_text(t), text.chrf_text(t), text.words(t), text.rouge_words(t), text.chrf_characters(t), F.lower(t)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", *[c.alias(n) for c, n in zip(columns, "bcwrkl")]).sort("i").collect()
+
+    def listed(found):
+        words = iter(found.distinct.take(pa.array(found.places)).to_pylist())
+        return [[next(words).decode() for _ in range(n)] for n in found.lengths.tolist()]
+
+    batch = pa.array(texts)
+    assert listed(units.bleu_words(batch)) == [[x for x in r.b.split(" ") if x] for r in rows]
+    assert listed(units.chrf_words(batch)) == [[x for x in r.c.split(" ") if x] for r in rows]
+    assert listed(units.words(batch)) == [r.w for r in rows]
+    assert listed(units.rouge_words(pa.array([r.l for r in rows]))) == [r.r for r in rows]
+    points, lengths = units.characters(batch)
+    assert points.tolist() == [ord(c) for r in rows for c in r.k] and lengths.tolist() == [len(r.k) for r in rows]
+
+
+@pytest.mark.parametrize("vocabulary", [2, 30, 40_000])
+def test_matches_of_many_pairs(vocabulary):
+    from segeval.functions.ngrams import matches_per_order
+
+    rng = random.Random(vocabulary)
+    sides = [[[rng.randrange(vocabulary) for _ in range(rng.choice([0, 1, 5, 400]))] for _ in range(40)] for _ in range(2)]
+    sides = [sides[0] + sides[0], sides[1] + [x[3:] for x in sides[0]]]
+    units_, lengths = np.array([u for s in sides for x in s for u in x]), np.array([len(x) for s in sides for x in s])
+    assert matches_per_order(units_, lengths, 5).tolist() == [[overlap(a, b, n) for n in range(1, 6)] for a, b in zip(*sides)]
+
+
+@pytest.mark.parametrize("metric", [lexical.word_edit_rate, lexical.rouge_l])
+def test_metrics_split_texts_without_patterns(spark, metric):
+    """Patterns and functions over word lists took most of the time of long texts."""
+    df = spark.createDataFrame([PLAIN], "h string, r string").select(metric(F.col("h"), F.col("r")))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in plan and "split(" not in plan and "translate(" not in plan
+
+
+def test_numbers_of_stems():
+    from segeval.functions.stem import stem_numbers
+
+    words, stems = zip(*(pair.split(":") for pair in STEMS.split()))
+    words, stems = [*words, "e", "zz", "", "caf\u00e9s", "caf\u00e9", "na\u00efve"], [*stems, "e", "zz", "", "caf\u00e9", "caf\u00e9", "na\u00efv"]
+    numbers = stem_numbers(pa.array([w.encode() for w in words], pa.binary())).tolist()
+    assert len(set(zip(numbers, stems))) == len(set(numbers)) == len(set(stems))
+
+
 def test_tokens_of_a_batch_are_read_at_once():
     left = pa.array([["a", "b"], None, [], ["b", None, "c"], ["d"]], pa.list_(pa.string()))[1:]
     right = pa.array([["a"], ["c", "c"], None, ["é"]], pa.list_(pa.string()))
