@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from segeval.functions import units
+
 # Units counted at once; longer batches are counted in several slices, whose arrays stay in the processor's caches.
 _UNITS_PER_SLICE = 1 << 18
 
@@ -29,13 +33,14 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], np.where(empty, 0, lengths)
 
 
-def _numbered(keys: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the place of every key among them."""
-    if span <= 8 * len(keys) + 65536:
-        seen = np.zeros(span, dtype=bool)
-        seen[keys] = True
-        return np.flatnonzero(seen), (np.cumsum(seen) - 1)[keys]
-    return np.unique(keys, return_inverse=True)
+def _coded(units: np.ndarray, lengths: np.ndarray, alphabet_of: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the units with a 0 after each text, the places of those that are not 0, and the pair of each place."""
+    codes = np.zeros(len(units) + len(lengths), dtype=np.int64)
+    pairs = np.repeat(owner, lengths)
+    at = np.arange(len(units)) + pairs
+    codes[at] = numbers = alphabet_of[units]
+    known = numbers > 0
+    return codes, at[known], pairs[known]
 
 
 def matches_per_order(units: np.ndarray, lengths: np.ndarray, orders: int) -> np.ndarray:
@@ -47,29 +52,50 @@ def matches_per_order(units: np.ndarray, lengths: np.ndarray, orders: int) -> np
     """
     pairs = len(lengths) // 2
     out = np.zeros((pairs, orders), dtype=np.int64)
-    if not len(units):
+    middle = int(lengths[:pairs].sum())
+    if not middle or middle == len(units):
         return out
-    owner = np.repeat(np.arange(2 * pairs), lengths)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    second = owner >= pairs
-    alphabet, unit = _numbered(units, int(units.max()) + 1)
+    # Only units of second texts can match. All others are number 0, as are the ends of texts.
+    alphabet_of = np.zeros(int(units.max()) + 1, dtype=np.int64)
+    alphabet_of[units[middle:]] = 1
+    alphabet = np.flatnonzero(alphabet_of)
+    alphabet_of[alphabet] = np.arange(1, len(alphabet) + 1)
+    size, owner = len(alphabet) + 1, np.arange(pairs)
+    first, second = (_coded(u, n, alphabet_of, owner) for u, n in ((units[:middle], lengths[:pairs]), (units[middle:], lengths[pairs:])))
     # Grams are numbered per pair, starting from one empty gram for each pair.
-    at, gram, pair_of = np.arange(len(units)), owner % pairs, np.arange(pairs)
+    pair_of = owner
     for n in range(orders):
-        inside = at + n < ends[at]
-        at, gram = at[inside], gram[inside]
-        keys, gram = _numbered(gram * len(alphabet) + unit[at + n], len(pair_of) * len(alphabet))
-        pair_of = pair_of[keys // len(alphabet)]
-        right = second[at]
-        clipped = np.minimum(
-            np.bincount(gram[~right], minlength=len(keys)), np.bincount(gram[right], minlength=len(keys))
-        )
-        out[:, n] = np.bincount(pair_of, weights=clipped, minlength=pairs)
-        matched = clipped > 0
-        alive = matched[gram]
-        at, gram, pair_of = at[alive], (np.cumsum(matched) - 1)[gram[alive]], pair_of[matched]
-        if not len(at):
+        keys = []
+        for codes, at, gram in (first, second):
+            unit = codes[at + n]
+            if n:
+                inside = unit > 0
+                at, gram, unit = at[inside], gram[inside], unit[inside]
+            keys.append((at, gram * size + unit))
+        (at, left), (other, right) = keys
+        span = len(pair_of) * size
+        if span <= 8 * (len(left) + len(right)) + 65536:
+            clipped = np.minimum(np.bincount(left, minlength=span), np.bincount(right, minlength=span))
+            found = np.flatnonzero(clipped)
+            clipped = clipped[found]
+            numbers = np.full(span, -1)
+            numbers[found] = np.arange(len(found))
+            left, right = numbers[left], numbers[right]
+        else:
+            found, right, counts = np.unique(right, return_inverse=True, return_counts=True)
+            place = np.minimum(np.searchsorted(found, left), max(len(found) - 1, 0))
+            left = np.where(found[place] == left, place, -1) if len(found) else np.full(len(left), -1)
+            clipped = np.minimum(np.bincount(left[left >= 0], minlength=len(found)), counts)
+            matched = clipped > 0
+            numbers = np.where(matched, np.cumsum(matched) - 1, -1)
+            left, right = np.where(left >= 0, numbers[left], -1) if len(found) else left, numbers[right]
+            found, clipped = found[matched], clipped[matched]
+        if not len(found):
             break
+        pair_of = pair_of[found // size]
+        out[:, n] = np.bincount(pair_of, weights=clipped, minlength=pairs)
+        alive, others = left >= 0, right >= 0
+        first, second = (first[0], at[alive], left[alive]), (second[0], other[others], right[others])
     return out
 
 
@@ -109,3 +135,25 @@ def word_matches(left: Column, right: Column, orders: int) -> Column:
         return _count(a, b, orders, _words)
 
     return count(F.coalesce(left, F.lit("")), F.coalesce(right, F.lit("")))
+
+
+def _words_of(split: Callable[[pa.Array], units.Words]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = split(texts)
+        return found.places.astype(np.int64), found.lengths
+
+    return numbered
+
+
+# How whole texts are split into the units whose n-grams are counted.
+SPLITS = {"bleu": _words_of(units.bleu_words), "chrf": _words_of(units.chrf_words), "chrf_characters": units.characters}
+
+
+def text_matches(left: Column, right: Column, split: str, orders: int) -> Column:
+    """``ARRAY<BIGINT>`` as above, for whole texts that are split in the same pass."""
+
+    @F.arrow_udf("array<bigint>")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _count(a.fill_null(""), b.fill_null(""), orders, SPLITS[split])
+
+    return count(left, right)

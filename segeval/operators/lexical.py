@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segeval.functions import text
 from segeval.functions.expr import let
-from segeval.functions.ngrams import character_matches, word_matches
+from segeval.functions.ngrams import text_matches
 from segeval.functions.sequence import edit_rate, overlap_f1
 from segeval.functions.shifts import shift_rate
 
@@ -32,7 +32,7 @@ def _present(*texts: Column) -> Column:
 
 def bleu(hypothesis: Column, reference: Column) -> Column:
     """Sentence BLEU, 0 to 100: 13a tokens, effective order, exponential smoothing."""
-    counts = word_matches(text.bleu_text(hypothesis), text.bleu_text(reference), BLEU_ORDERS)
+    counts = text_matches(hypothesis, reference, "bleu", BLEU_ORDERS)
 
     def score(c: Column) -> Column:
         hyp, ref = c[BLEU_ORDERS], c[BLEU_ORDERS + 1]
@@ -52,8 +52,8 @@ def bleu(hypothesis: Column, reference: Column) -> Column:
 def chrf_plus_plus(hypothesis: Column, reference: Column) -> Column:
     """chrF++, 0 to 100: six character orders, two word orders, recall weighted by beta = 2."""
     counts = F.struct(
-        character_matches(text.chrf_characters(hypothesis), text.chrf_characters(reference), CHRF_CHARACTER_ORDERS).alias("c"),
-        word_matches(text.chrf_text(hypothesis), text.chrf_text(reference), CHRF_WORD_ORDERS).alias("w"),
+        text_matches(hypothesis, reference, "chrf_characters", CHRF_CHARACTER_ORDERS).alias("c"),
+        text_matches(hypothesis, reference, "chrf", CHRF_WORD_ORDERS).alias("w"),
     )
 
     def averages(s: Column) -> Column:
@@ -80,7 +80,7 @@ def chrf_plus_plus(hypothesis: Column, reference: Column) -> Column:
 
 def bleu_counts(hypothesis: Column, reference: Column) -> Column:
     """What a row adds to the BLEU of many rows: matches per order, n-grams per order, and both lengths."""
-    counts = word_matches(text.bleu_text(hypothesis), text.bleu_text(reference), BLEU_ORDERS)
+    counts = text_matches(hypothesis, reference, "bleu", BLEU_ORDERS)
 
     def listed(c: Column) -> Column:
         hyp = c[BLEU_ORDERS]
@@ -105,8 +105,8 @@ def corpus_bleu(c: list[Column]) -> Column:
 def chrf_counts(hypothesis: Column, reference: Column) -> Column:
     """What a row adds to the chrF++ of many rows: matches, hypothesis and reference n-grams, characters before words."""
     counts = F.struct(
-        character_matches(text.chrf_characters(hypothesis), text.chrf_characters(reference), CHRF_CHARACTER_ORDERS).alias("c"),
-        word_matches(text.chrf_text(hypothesis), text.chrf_text(reference), CHRF_WORD_ORDERS).alias("w"),
+        text_matches(hypothesis, reference, "chrf_characters", CHRF_CHARACTER_ORDERS).alias("c"),
+        text_matches(hypothesis, reference, "chrf", CHRF_WORD_ORDERS).alias("w"),
     )
 
     def listed(s: Column) -> Column:

@@ -275,7 +275,7 @@ def test_matches_of_many_pairs(vocabulary):
     assert matches_per_order(units_, lengths, 5).tolist() == [[overlap(a, b, n) for n in range(1, 6)] for a, b in zip(*sides)]
 
 
-@pytest.mark.parametrize("metric", [lexical.word_edit_rate, lexical.rouge_l])
+@pytest.mark.parametrize("metric", [lexical.bleu, lexical.chrf_plus_plus, lexical.word_edit_rate, lexical.rouge_l])
 def test_metrics_split_texts_without_patterns(spark, metric):
     """Patterns and functions over word lists took most of the time of long texts."""
     df = spark.createDataFrame([PLAIN], "h string, r string").select(metric(F.col("h"), F.col("r")))
